@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chroma, hpylm, langid, mixing, packing, secrets, simhash, warc
+from . import ann, chroma, hpylm, langid, licenses, mixing, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -47,8 +47,12 @@ def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.recordings(table(spark, sf_dir, "embeddings"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
