@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, discovery, news, streams
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**news.QUERIES, **discovery.QUERIES, **corpus.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**news.SQL, **discovery.SQL, **corpus.SQL, **streams.SQL}
