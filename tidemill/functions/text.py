@@ -20,6 +20,11 @@ CATEGORY_KEYWORDS = [
 DEFAULT_CATEGORY = "Software"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; without it, what a nested lambda names is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @cache
 def _folding() -> tuple[str, str]:
     """Characters of the basic plane that decompose to one character and marks, and that character."""
@@ -60,10 +65,13 @@ def tokenize(normal: Column) -> Column:
 
 
 def shingles(tokens: Column, size: int = 2) -> Column:
-    """Sliding sequences of ``size`` tokens, space-joined; all as one if there are fewer, none of none."""
+    """Sliding sequences of ``size`` tokens, space-joined; all as one if there are fewer, none of none. Best given a column,
+    as it is read several times."""
     n = F.size(tokens)
-    slide = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(tokens, " "))).otherwise(slide)
+    cut = F.slice(tokens, 1, F.greatest(n - size + 1, F.lit(1)))
+    for k in range(2, size + 1):
+        cut = F.zip_with(cut, F.slice(tokens, k, F.greatest(n - size + 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(tokens, " "))).otherwise(cut)
 
 
 def slugify(normal: Column, most: int = 80) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.vectors import cosine
 
 #: Stories that keyword search scores; passages fetched, and kept after the filters; tokens a query has at most.
@@ -71,6 +72,10 @@ def passages(near: DataFrame, stories: DataFrame, since: Column, kept: int = KEP
     return fresh.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= kept)
 
 
+def _run(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def topic_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, slug, weight): topics of which a term stands as a whole phrase in the title (1.0) or the body (0.6).
 
@@ -79,10 +84,12 @@ def topic_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     is joined by key and scanned once, whatever the number of terms."""
     listed = terms.filter(F.length("term") >= 2).select("slug", "term", F.size(F.split("term", " ")).alias("_n")).distinct()
     lengths = [r["_n"] for r in listed.select("_n").distinct().collect()]  # a few word counts
-    grams = lambda c: F.array_distinct(F.flatten(F.array(*[
-        F.when(F.size(F.split(c, " ")) >= n, F.transform(F.sequence(F.lit(1), F.size(F.split(c, " ")) - n + 1), lambda i: F.array_join(F.slice(F.split(c, " "), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths
-    ])))
-    cut = lambda c, w: texts.select("id", F.explode(grams(F.col(c))).alias("term"), F.lit(w).alias("weight"))
+
+    def grams(words: Column) -> Column:
+        runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), _run(words, n))).otherwise(F.array().cast("array<string>")) for n in lengths]
+        return F.array_distinct(F.flatten(F.array(*runs)))
+
+    cut = lambda c, w: texts.select("id", F.explode(let(F.split(c, " "), grams)).alias("term"), F.lit(w).alias("weight"))
     return cut("title_n", 1.0).unionByName(cut("body_n", 0.6)).join(F.broadcast(listed.drop("_n")), "term").groupBy("id", "slug").agg(F.max("weight").alias("weight"))
 
 

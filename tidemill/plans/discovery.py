@@ -144,7 +144,8 @@ def topic_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with normal form, content hash and SimHash."""
     a = T.articles(spark, sf_dir).withColumn("normal", text.normalize(F.concat_ws(" ", "title", "content")))
-    shingles = text.shingles(text.tokenize(F.col("normal")))
+    a = a.withColumn("tokens", text.tokenize(F.col("normal")))
+    shingles = text.shingles(F.col("tokens"))
     return a.select("article_id", "source", "published_at", text.content_hash(F.col("normal")).alias("content_hash"), hashing.simhash(shingles).alias("simhash"))
 
 
@@ -168,5 +169,5 @@ def article_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = T.articles(spark, sf_dir)
     normal = text.normalize(F.substring(F.concat_ws("\n\n", "title", text.best_text(F.col("content"), F.lit(None).cast("string"), F.col("title"))), 1, 6000))
-    tokens = text.tokenize(normal)
-    return a.select("article_id", hashing.hashed_embedding()(text.shingles(tokens), tokens).alias("embedding"))
+    a = a.select("article_id", normal.alias("normal")).select("article_id", text.tokenize(F.col("normal")).alias("tokens"))
+    return a.select("article_id", hashing.hashed_embedding()(text.shingles(F.col("tokens")), F.col("tokens")).alias("embedding"))

@@ -1 +1,46 @@
-QUERIES, SQL = {}, {}
+"""Queries that run as streams over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.storage import new_path
+from ..streaming import pipeline as P
+from .registry import Registry
+
+R = Registry()
+QUERIES, SQL = R.queries, R.sql
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.read(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@R.add("SELECT event_type AS topic, CAST(date_trunc('week', ts) AS TIMESTAMP) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "stream-trends")
+    P.run(P.trend_windows(_events(spark, sf_dir), "ts", "event_type"), P.upsert_counts(path, ["topic", "window_start"]), "update", path)
+    return P.last_of(spark, path, ["topic", "window_start"]).select("topic", "window_start", "n")
+
+
+@R.add("SELECT user_id AS topic, date_trunc('minute', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a reader and minute."""
+    path = new_path(spark, "stream-rates")
+    P.run(P.trend_windows(_events(spark, sf_dir), "ts", "user_id", "1 minute", "0 seconds"), P.upsert_counts(path, ["topic", "window_start"]), "update", path)
+    return P.last_of(spark, path, ["topic", "window_start"]).select("topic", "window_start", "n")
+
+
+@R.add("SELECT event_id % 5000 AS external_id FROM events GROUP BY ALL")
+def stream_new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select((F.col("event_id") % 5000).alias("external_id"), "ts")
+    return spark.read.parquet(P.run(P.new_articles(e, "ts", "external_id"))).select("external_id")
+
+
+@R.add("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), r AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS run FROM d), g AS (SELECT user_id, run, CAST(count(*) AS INTEGER) AS n, max(d) AS last FROM r GROUP BY ALL)
+SELECT user_id, arg_max(n, last) AS current, max(n) AS longest, CAST(max(last) - DATE '1970-01-01' AS INTEGER) AS last_day FROM g GROUP BY user_id""")
+def stream_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "stream-streaks")
+    P.run(P.streaks(_events(spark, sf_dir)), P.upsert_counts(path, ["user_id"]), "update", path)
+    return P.last_of(spark, path, ["user_id"]).select("user_id", "current", "longest", "last_day")

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import html_to_text
 
@@ -151,6 +152,9 @@ def read_feeds(fetched: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+_PHOTOS = ArrayType(StructType().add("id", StringType()).add("image_url", StringType()).add("thumbnail_url", StringType()).add("caption", StringType()).add("post_url", StringType()))
+
+
 def _photo_nodes(text: str | None) -> list[dict]:
     """Photos in nested JSON, to a depth of ten; the first of each id."""
     try:
@@ -179,7 +183,7 @@ def _photo_nodes(text: str | None) -> list[dict]:
     return list(found.values())
 
 
-@F.pandas_udf("array<struct<id:string,image_url:string,thumbnail_url:string,caption:string,post_url:string>>")
+@F.pandas_udf(_PHOTOS)
 def photo_nodes(texts: pd.Series) -> pd.Series:
     return texts.map(_photo_nodes)
 

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What is taken out of a page, and where its text is looked for, in this order.
 NOISE = ["script", "style", "nav", "header", "footer", "aside", "form", ".sidebar", ".comments", ".related", ".newsletter", ".advertisement"]
@@ -107,6 +108,6 @@ def readable(html: str | None) -> str | None:
     return joined[:MOST_TEXT] or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def readable_body(html: pd.Series) -> pd.Series:
     return html.map(readable)
