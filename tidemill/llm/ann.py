@@ -3,8 +3,9 @@
 Fitting uses a sample of SAMPLE vectors: its neighbour graph is cut into balanced parts (spectral bisection, then moves
 that keep the parts' sizes), and a small network learns, from a vector, in which parts its neighbours are. Every vector
 is indexed in the part the network finds most probable; a query goes to the most probable parts, as many as reach
-RECALL on held-out sample vectors, and the vectors there are ranked by their exact inner product. Parts are searched in
-blocks of bounded size, so a part that holds most of the rows is many tasks.
+RECALL on held-out sample vectors, and the vectors there are ranked by their exact inner product. Neighbouring parts
+share a shelf of about BLOCK rows, which a query visits once for all its parts on it; a part larger than that is a shelf
+of many blocks, so that a part that holds most of the rows is many tasks.
 """
 
 from __future__ import annotations
@@ -77,6 +78,17 @@ def balanced_parts(graph: np.ndarray, parts: int, slack: float = 1.1) -> np.ndar
     return part
 
 
+def shelves(size: np.ndarray) -> np.ndarray:
+    """The shelf of each part: parts in order share one while they have at most BLOCK rows together."""
+    out, shelf, rows = np.zeros(len(size), np.int64), 0, 0
+    for part, n in enumerate(size.tolist()):
+        if rows and rows + n > BLOCK:
+            shelf, rows = shelf + 1, 0
+        out[part] = shelf
+        rows += n
+    return out
+
+
 @dataclass
 class Router:
     """A network with one hidden layer; gives the logarithm of each part's weight."""
@@ -187,25 +199,38 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     queries = indexed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    routed = stored(queries.mapInArrow(route, "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part")), "routed")
-    asked = np.zeros(parts, np.int64)
-    for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
-        asked[r["part"]] = r["n"]
-    blocks = F.array(*[F.lit(max(1, math.ceil(x / BLOCK))) for x in size.tolist()])
+    shelf = shelves(size)
+    shelf_of = F.element_at(F.array(*[F.lit(int(x)) for x in shelf]), F.col("part") + 1)
+    routed = stored(queries.mapInArrow(route, "id long, v array<double>, parts array<int>"), "routed")
+    on_shelves = F.explode(F.array_distinct(F.transform("parts", lambda p: F.element_at(F.array(*[F.lit(int(x)) for x in shelf]), p + 1))))
+    routed = routed.select("id", "v", "parts", on_shelves.alias("shelf"))
+    count = int(shelf.max()) + 1
+    asked = np.zeros(count, np.int64)
+    for r in routed.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each shelf
+        asked[r["shelf"]] = r["n"]
+    held = np.bincount(shelf, weights=size, minlength=count)
+    blocks = F.array(*[F.lit(max(1, math.ceil(x / BLOCK))) for x in held.tolist()])
     sets = F.array(*[F.lit(max(1, math.ceil(x / BLOCK))) for x in asked.tolist()])
-    of = lambda a: F.element_at(a, F.col("part") + 1)
+    of = lambda a: F.element_at(a, F.col("shelf") + 1)
     dealt = lambda a: F.pmod(F.xxhash64("id"), of(a).cast("long")).cast("int")
     each = lambda a: F.explode(F.sequence(F.lit(0), of(a) - 1))
-    left = routed.select("part", dealt(sets).alias("set"), each(blocks).alias("block"), "id", "v")
-    right = indexed.select("part", each(sets).alias("set"), dealt(blocks).alias("block"), "id", "v")
+    left = routed.select("shelf", dealt(sets).alias("set"), each(blocks).alias("block"), "id", "v", "parts")
+    right = indexed.withColumn("shelf", shelf_of).select("shelf", each(sets).alias("set"), dealt(blocks).alias("block"), "id", "v", "part")
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if q.num_rows and c.num_rows:
-            qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
+            qi, ci, cp = q["id"].to_numpy(), c["id"].to_numpy(), c["part"].to_numpy()
             qv, cv = _matrix(q["v"].combine_chunks()), _matrix(c["v"].combine_chunks())
+            wanted = q["parts"].combine_chunks()
+            asks = np.zeros((len(qi), parts), bool)
+            asks[np.repeat(np.arange(len(qi)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()] = True
+            here = [(p, np.flatnonzero(cp == p)) for p in np.unique(cp).tolist()]
             for i in range(0, len(qi), 256):
-                s = qv[i : i + 256] @ cv.T
+                s = np.full((len(qi[i : i + 256]), len(ci)), -np.inf)
+                for p, at in here:
+                    rows = np.flatnonzero(asks[i : i + 256, p])
+                    s[np.ix_(rows, at)] = qv[i + rows] @ cv[at].T
                 s[qi[i : i + 256, None] == ci[None, :]] = -np.inf
                 at = min(k, s.shape[1]) - 1
                 least = -np.partition(-s, at, axis=1)[:, at]
@@ -218,7 +243,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-    keys = ("part", "set", "block")
+    keys = ("shelf", "set", "block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
