@@ -2,10 +2,9 @@
 
 Audio becomes frames of energy by pitch class; frames are normalised and summed into an integral image, over which 16
 filters (differences of rectangles of frames and pitch classes) are read at each place and quantised to two bits in Gray
-code: one 32-bit integer a frame. Recordings are aligned by the histogram of offsets at which they share two successive
-integers (with the same distance between them), and confirmed by the share of bits that differ over the overlap at the
-commonest offset. One integer alone is shared by chance by a part of all pairs; two in a row hardly are, so the index
-finds what is alike and grows with the input.
+code: one 32-bit integer a frame. Recordings are aligned by the histogram of offsets at which they share integers, and
+confirmed by the share of bits that differ over the overlap at the commonest offset. The queries, in sets, meet all
+recordings, in blocks: a task holds one set and one block, and returns confirmed alignments only.
 """
 
 from __future__ import annotations
@@ -123,12 +122,49 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, read: Callable[[obj
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("m")).mapInArrow(work, f"id {kind}, fp array<int>").withColumnRenamed("id", id_col)
 
 
-def _bit_error() -> tuple[Column, Column]:
-    """Share of differing bits over the overlap of q and c at the offset (place in c less place in q), and its length."""
-    start_q, start_c = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    n = F.least(F.size("q") - start_q, F.size("c") - start_c)
-    pairs = F.zip_with(F.slice("q", start_q + 1, n), F.slice("c", start_c + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / (32.0 * n), n
+#: Recordings of a block, and queries of a set; queries that are aligned at once.
+BLOCK, SET, AT_ONCE = 4096, 2048, 32
+
+
+def _starts(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, recording and place of each run of equal integers: a run says no more than its start."""
+    first = [np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.empty(0, np.int64) for p in prints]
+    value = np.concatenate([np.empty(0, np.int32), *(p[f] for p, f in zip(prints, first, strict=True))])
+    return value, np.repeat(np.arange(len(prints)), [len(f) for f in first]), np.concatenate([np.empty(0, np.int64), *first])
+
+
+def alignments(queries: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, other, offset, bit error) of the confirmed pairs: those that share two integers or more at their commonest
+    offset (of equals the nearest to zero, then the larger), overlap there in OVERLAP places and differ in BIT_ERROR of
+    the bits or fewer."""
+    out: list[tuple[int, int, int, float]] = []
+    value, owner, place = _starts(others)
+    order = np.argsort(value, kind="stable")
+    value, owner, place = value[order], owner[order], place[order]
+    for at in range(0, len(queries), AT_ONCE):
+        v, q, t = _starts(queries[at : at + AT_ONCE])
+        low, high = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
+        n = high - low
+        hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(q, n) * len(others) + owner[hit]
+        offset = place[hit] - np.repeat(t, n)
+        far = 2 * int(np.abs(offset).max(initial=0)) + 1
+        key, shared = np.unique(pair * far + offset + far // 2, return_counts=True)
+        pair, offset = key // far, key % far - far // 2
+        several = shared > 1
+        pair, offset, shared = pair[several], offset[several], shared[several]
+        best = np.lexsort((-offset, np.abs(offset), -shared, pair))
+        best = best[np.flatnonzero(np.concatenate(([True], pair[best][1:] != pair[best][:-1])))] if len(best) else best
+        for p, o in zip(pair[best].tolist(), offset[best].tolist(), strict=True):
+            a, b = queries[at + p // len(others)], others[p % len(others)]
+            a, b = a[max(0, -o) :], b[max(0, o) :]
+            m = min(len(a), len(b))
+            if m >= OVERLAP:
+                error = int(np.bitwise_count(a[:m].view(np.uint32) ^ b[:m].view(np.uint32)).sum()) / (32.0 * m)
+                if error <= BIT_ERROR:
+                    out.append((at + p // len(others), p % len(others), o, error))
+    cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+    return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.int64), np.array(cols[3], np.float64)
 
 
 def align(prints: DataFrame, is_query: Column, id_col: str) -> DataFrame:
@@ -136,26 +172,29 @@ def align(prints: DataFrame, is_query: Column, id_col: str) -> DataFrame:
     fingerprint (MD5 of the integers); for rows of a class that holds a query row, n_matches, and best_match (a
     class_id), best_offset (in frames) and bit_error of the best one, null without.
 
-    A match is another class whose commonest offset of shared pairs of integers overlaps OVERLAP places or more with BIT_ERROR of
+    A match is another class whose commonest offset of shared integers overlaps OVERLAP places or more with BIT_ERROR of
     the bits or fewer different; the best has the fewest, of equals the smallest id. Recordings with equal fingerprints
     are one class; an empty fingerprint matches nothing. Integers of all places are compared, none is left out.
     """
     own = stored(prints.select(id_col, "fp", F.md5(F.array_join("fp", ",").cast("binary")).alias("fingerprint"), is_query.alias("asks")), "prints")
     classes = own.groupBy("fingerprint").agg(F.min(id_col).alias("class_id"), F.max("asks").alias("asks"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     classes = stored(classes, "classes")
-    # an integer that is held for a while counts once, at its first place: a run says no more than its start
-    starts = F.filter(F.transform("fp", lambda x, i: F.struct(x.alias("v"), i.alias("at"), F.when(i > 0, F.try_element_at("fp", i)).alias("before"))), lambda s: s["before"].isNull() | (s["before"] != s["v"]))
-    runs = classes.filter(F.size("fp") > 1).select("class_id", "asks", starts.alias("s"))
-    pairs = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s")), lambda x, y: F.struct(F.xxhash64(x["v"], y["v"], y["at"] - x["at"]).alias("v"), x["at"].alias("at")))
-    places = runs.filter(F.size("s") > 1).select("class_id", "asks", F.explode(pairs).alias("s")).select("class_id", "asks", F.col("s.v").alias("v"), F.col("s.at").alias("at"))
-    asked = places.filter("asks").select("v", F.col("class_id").alias("query"), F.col("at").alias("at_q"))
-    hits = places.select("v", F.col("class_id").alias("other"), "at").join(asked, "v").filter("query <> other")
-    offsets = hits.groupBy("query", "other", (F.col("at") - F.col("at_q")).alias("offset")).agg(F.count(F.lit(1)).alias("shared"))
-    common = offsets.groupBy("query", "other").agg(F.max(F.struct("shared", (-F.abs("offset")).alias("near"), "offset")).alias("top")).select("query", "other", F.col("top.offset").alias("offset"), F.col("top.shared").alias("shared"))
-    texts = classes.select("class_id", "fp")
-    both = common.join(texts.select(F.col("class_id").alias("query"), F.col("fp").alias("q")), "query").join(texts.select(F.col("class_id").alias("other"), F.col("fp").alias("c")), "other")
-    error, overlap = _bit_error()
-    matched = both.select("query", "other", "offset", error.alias("bit_error"), overlap.alias("overlap")).filter((F.col("overlap") >= OVERLAP) & (F.col("bit_error") <= BIT_ERROR))
+    heard = classes.filter(F.size("fp") > 0)
+    counts = heard.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    blocks, sets = max(1, math.ceil(counts["n"] / BLOCK)), max(1, math.ceil(counts["q"] / SET))
+    dealt = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = heard.filter("asks").select(dealt(sets).alias("set"), each(blocks).alias("block"), "class_id", "fp")
+    right = heard.select(each(sets).alias("set"), dealt(blocks).alias("block"), "class_id", "fp")
+
+    def confirmed(q: pa.Table, c: pa.Table) -> pa.Table:
+        prints = lambda t: [np.asarray(x, np.int32) for x in t["fp"].to_numpy()]
+        asks, has = q["class_id"].to_numpy(), c["class_id"].to_numpy()
+        i, j, offset, error = alignments(prints(q), prints(c))
+        other = asks[i] != has[j]
+        return pa.table({"query": pa.array(asks[i][other], pa.int64()), "other": pa.array(has[j][other], pa.int64()), "offset": offset[other].astype(np.int32), "bit_error": error[other]})
+
+    matched = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInArrow(confirmed, "query long, other long, offset int, bit_error double")
     best = matched.groupBy("query").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("bit_error", "other", "offset")).alias("b"))
     found = classes.select("fingerprint", "class_id", "asks", "n", F.size("fp").alias("n_ints")).join(best.withColumnRenamed("query", "class_id"), "class_id", "left")
     found = found.select(
