@@ -46,6 +46,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Slots of a sieve.
+SLOTS = 1 << 20
+
+
+def sieve(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be in ``ids``, and those whose isn't for certain (null keys included). Only
+    the slots (of SLOTS) that the hashes of ``ids`` fall in are broadcast, so its size is bounded at any number of ids; as
+    they fill up, more rows are in the first part, which is to be joined."""
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS)).cast("int").alias("_slot")
+    taken = F.broadcast(ids.select(slot).distinct())
+    marked = df.withColumn("_slot", F.when(F.col(key).isNotNull(), slot))
+    return marked.join(taken, "_slot", "left_semi").drop("_slot"), marked.join(taken, "_slot", "left_anti").drop("_slot")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
     """Join ``left`` with ``right`` on ``key``, which is unique in ``right``; ``weight`` says how many rows of ``left``
     have that key.

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import hot_join, sieve, stored
 
 BITS = 64
 #: Members of a node of the index.
@@ -34,11 +34,11 @@ RUN = 16
 BUCKET = 64
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of one text, unsigned. Null is as empty; a text without words has 0."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of ``words`` words, repeats included; none of a text without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in w), np.int64, len(w))) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -46,24 +46,38 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         starts, ends = starts[: len(w) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, n)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def _majority(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">u8")[0])
+    return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of one text, unsigned. Null is as empty; a text without words has 0."""
+    return _majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``id_col``, ``fp`` (the fingerprint as a signed long) for each row, repeated rows and null ids included."""
+    """``id_col``, ``fp`` (the fingerprint as a signed long) and ``m`` (distinct shingles) for each row, repeated rows and
+    null ids included."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp, m = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(b.column(1).to_pylist()):
+                h = shingle_hashes(t, words)
+                fp[i], m[i] = _majority(h), len(np.unique(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(m)], ["id", "fp", "m"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(work, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(work, f"id {kind}, fp long, m long").withColumnRenamed("id", id_col)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -91,12 +105,10 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct fingerprints (unsigned), the smallest index in the argument's order of each one's group."""
-    n = len(fps)
-    order = np.argsort(gray_rank(fps), kind="stable")
-    x = fps[order]
-    label = np.arange(n)
+def gray_pairs(x: np.ndarray, radius: int, open_: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of links in ``x``, which is in Gray order; arrays of bounded size. ``open_`` may drop pairs of
+    nodes (their width in members and places) that need no search."""
+    n = len(x)
     # levels[0]: single fingerprints; each upper level: runs of RUN nodes below, with the bits that all members share
     patterns, masks = [x], [np.full(n, ~np.uint64(0))]
     while len(patterns[-1]) > RUN:
@@ -110,21 +122,17 @@ def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
         p, m = patterns[level], masks[level]
         return np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) <= radius
 
-    def descend(level: int, i: np.ndarray, j: np.ndarray) -> None:
+    def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """i <= j: pairs of nodes that may hold links."""
-        nonlocal label
         if level == 0:
-            label = _join_labels(label, i, j)
+            yield i, j
             return
         below = len(patterns[level - 1])
         for at in range(0, len(i), 4096):  # bounded memory: so many pairs of nodes at a time
             a, b = i[at : at + 4096], j[at : at + 4096]
-            width = RUN**level
-            if width < n:  # groups linked already need no search
-                low = np.minimum.reduceat(label, np.arange(0, n, width))
-                high = np.maximum.reduceat(label, np.arange(0, n, width))
-                open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
-                a, b = a[open_], b[open_]
+            if open_ is not None:
+                keep = open_(RUN**level, a, b)
+                a, b = a[keep], b[keep]
             k = np.arange(RUN)
             c = (a[:, None, None] * RUN + k[None, :, None] + 0 * k[None, None, :]).ravel()
             d = (b[:, None, None] * RUN + 0 * k[None, :, None] + k[None, None, :]).ravel()
@@ -133,7 +141,7 @@ def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
             keep = near(level - 1, c, d)
             c, d = c[keep], d[keep]
             nearest = np.argsort(d - c, kind="stable")  # neighbours in Gray order first: most links are there
-            descend(level - 1, c[nearest], d[nearest])
+            yield from descend(level - 1, c[nearest], d[nearest])
 
     top = len(patterns) - 1
     i, j = np.triu_indices(len(patterns[top]), k=0 if top else 1)
@@ -142,7 +150,23 @@ def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
     if top:
         nearest = np.argsort(j - i, kind="stable")
         i, j = i[nearest], j[nearest]
-    descend(top, i, j)
+    yield from descend(top, i, j)
+
+
+def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
+    """For distinct fingerprints (unsigned), the smallest index in the argument's order of each one's group."""
+    n = len(fps)
+    order = np.argsort(gray_rank(fps), kind="stable")
+    label = np.arange(n)
+
+    def open_(width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if width >= n:
+            return np.ones(len(a), bool)
+        low, high = np.minimum.reduceat(label, np.arange(0, n, width)), np.maximum.reduceat(label, np.arange(0, n, width))
+        return (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])  # groups linked already need no search
+
+    for i, j in gray_pairs(fps[order], radius, open_):
+        label = _join_labels(label, i, j)
     out = np.empty(n, np.int64)
     least = np.full(n, n, np.int64)
     np.minimum.at(least, label, order)
@@ -150,6 +174,20 @@ def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def bucket_nearest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """For distinct fingerprints (unsigned), the place of each one's nearest other within ``radius``, the first of equals;
+    its own place where there is none."""
+    n = len(fps)
+    order = np.argsort(gray_rank(fps), kind="stable")
+    best = (np.full(n, radius + 1, np.int64) << 32) | np.arange(n)
+    for i, j in gray_pairs(fps[order], radius):
+        a, b = order[i], order[j]
+        d = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64) << 32
+        np.minimum.at(best, a, d | b)
+        np.minimum.at(best, b, d | a)
+    return best & 0xFFFFFFFF
+
+
 def agreeing_blocks(n: int, radius: int) -> int:
     """How many blocks have to agree, so that n random fingerprints fill a bucket with BUCKET members at most
     (the number of choices permitting)."""
@@ -167,45 +205,57 @@ def block_masks(radius: int, k: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, k)]
 
 
-def star_edges(nodes: DataFrame, radius: int, n: int) -> DataFrame:
-    """Edges (a, b), a < b as signed longs, that connect just what links of ``radius`` bits or fewer connect."""
+def star_edges(nodes: DataFrame, radius: int, n: int, nearest: bool = False) -> DataFrame:
+    """Edges (a, b), a < b as signed longs. By default they connect just what links of ``radius`` bits or fewer connect;
+    with ``nearest``, each edge is a link, that of a fingerprint to its nearest in some bucket. Only fingerprints with an
+    equal ``part`` column are compared, where ``nodes`` has one.
+
+    A bucket's key is a hash of table, part and bits: should two buckets fall together, more is compared, nothing is lost.
+    """
     signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in block_masks(radius, agreeing_blocks(n, radius))]
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for t, x in enumerate(signed)]))
-    dealt = nodes.select("fp", tables.alias("b")).select("b.t", "b.v", "fp")
-    together = dealt.repartition("t", "v").sortWithinPartitions("t", "v")
+    part = [F.col("part")] if "part" in nodes.columns else []
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), *part, F.col("fp").bitwiseAND(F.lit(x))) for t, x in enumerate(signed)])).alias("v")
+    together = nodes.select(keys, "fp").repartition("v").sortWithinPartitions("v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def groups(t: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (v[1:] != v[:-1]))))
-            sizes = np.diff(np.append(starts, len(t)))
+        def groups(v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            sizes = np.diff(np.append(starts, len(v)))
             small = np.repeat(sizes <= BUCKET, sizes)
             bucket = np.repeat(np.arange(len(sizes)), sizes)
-            label = np.arange(len(fp))
+            label, best = np.arange(len(fp)), np.full(len(fp), radius + 1, np.int64)
             at, shift = np.flatnonzero(small), 1
             while len(at):  # all small buckets at once: each member with the one so many places on
                 at = at[at + shift < len(fp)]
                 at = at[bucket[at] == bucket[at + shift]]
-                linked = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-                label = _join_labels(label, linked, linked + shift)
+                d = np.bitwise_count(fp[at] ^ fp[at + shift]).astype(np.int64)
+                if nearest:
+                    for own, other in ((at, at + shift), (at + shift, at)):
+                        closer = d < best[own]
+                        best[own[closer]], label[own[closer]] = d[closer], other[closer]
+                else:
+                    linked = at[d <= radius]
+                    label = _join_labels(label, linked, linked + shift)
                 shift += 1
+            find = bucket_nearest if nearest else bucket_groups
             for s, size in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
-                label[s : s + size] = s + bucket_groups(fp[s : s + size], radius)
+                label[s : s + size] = s + find(fp[s : s + size], radius)
             other = np.flatnonzero(label != np.arange(len(fp)))
-            a, b = fp[label[other]], fp[other]
-            x, y = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            x, y = fp[label[other]].view(np.int64), fp[other].view(np.int64)
+            both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            both = both[:, both[0] != both[1]]
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for batch in batches:
-            t, v, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            kept.append((t, v, fp.view(np.uint64)))
-            t, v = kept[-1][:2]
-            if len(t) and (t[0] != t[-1] or v[0] != v[-1]):  # all but the last bucket are whole
-                t, v, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-                last = int(np.flatnonzero((t != t[-1]) | (v != v[-1]))[-1]) + 1
-                yield groups(t[:last], v[:last], fp[:last])
-                kept = [(t[last:], v[last:], fp[last:])]
+            v, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            kept.append((v, fp.view(np.uint64)))
+            if len(v) and v[0] != v[-1]:  # all but the last bucket are whole
+                v, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
+                last = int(np.flatnonzero(v != v[-1])[-1]) + 1
+                yield groups(v[:last], fp[:last])
+                kept = [(v[last:], fp[last:])]
         if kept and sum(len(x[0]) for x in kept):
             yield groups(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
@@ -247,11 +297,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gets its group's id, null where the group has no other. An empty table gives an empty result. Other columns are not
     read.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    fps = stored(fingerprints(docs, id_col, text_col, words).drop("m"), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    roots = connected(star_edges(nodes.select("fp"), radius, nodes.count()))
+    return _labelled(fps, nodes, star_edges(nodes.select("fp"), radius, nodes.count()), id_col)
+
+
+def _labelled(fps: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    roots = connected(edges)
     rooted = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w"))
     labels = hot_join(rooted.select("root", "fp", "n"), least, "root", "w").select("fp", "component_id", "n")
-    out = hot_join(fps, labels, "fp", "n")
+    out = hot_join(fps.select(id_col, "fp"), labels, "fp", "n")
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 14) -> DataFrame:
+    """As ``near_duplicates``, but a link is a Jaccard similarity of ``least`` or more of the sets of word shingles.
+
+    Fingerprints propose pairs: each its nearest within ``radius`` bits in every bucket of the index (by default so wide
+    that a similarity of 0.8, about ten bits, is hardly ever beyond it). Buckets hold texts of like size only, as sizes of
+    similar sets are alike: size classes are four wide, and a text within 1 / ``least`` of its class's lower end is in the
+    class below as well. The proposed pairs are then checked on the shingles themselves. Texts with equal fingerprints
+    count as copies.
+    """
+    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n"), F.coalesce(F.min_by("m", id_col), F.min("m")).alias("m")), "nodes")
+    size = F.greatest("m", F.lit(1)).cast("double")
+    of = lambda m: F.floor(F.log2(m) / 2).cast("int")
+    classes = F.explode(F.array_distinct(F.array(of(size), of(F.greatest(size * least, F.lit(1.0)))))).alias("part")
+    pairs = stored(star_edges(nodes.filter("least IS NOT NULL AND m > 0").select("fp", classes), radius, nodes.count(), nearest=True), "pairs")
+    ends = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "least"), "fp"), "ends")
+    maybe, _ = sieve(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", ends.select(F.col("least").alias("id")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words).view(np.int64) >> 16) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+
+    # one row of a repeated id: that of the fingerprint which stands for it, whichever text it has, so sets are checked by it
+    texts = maybe.join(ends.hint("shuffle_hash"), F.col("id") == F.col("least")).select("fp", "t").mapInArrow(work, "fp long, s array<long>").groupBy("fp").agg(F.max("s").alias("s"))
+    sets = stored(texts, "shingle-sets")
+    both = pairs.join(sets.withColumnsRenamed({"fp": "a", "s": "x"}).hint("shuffle_hash"), "a").join(sets.withColumnsRenamed({"fp": "b", "s": "y"}).hint("shuffle_hash"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    sure = both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return _labelled(fps, nodes, sure, id_col)
