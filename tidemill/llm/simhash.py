@@ -317,7 +317,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints propose pairs: each its nearest within ``radius`` bits in every bucket of the index (by default so wide
     that a similarity of 0.8, about ten bits, is hardly ever beyond it). Buckets hold texts of like size only, as sizes of
     similar sets are alike: size classes are four wide, and a text within 1 / ``least`` of its class's lower end is in the
-    class below as well. The proposed pairs are then checked on the shingles themselves. Texts with equal fingerprints
+    class below as well. The proposed pairs are then checked on the whole sets of shingles,
+    as hashes of 32 bits. Texts with equal fingerprints
     count as copies.
     """
     fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -331,11 +332,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, words).view(np.int64) >> 16) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["fp", "s"])
 
     # one row of a repeated id: that of the fingerprint which stands for it, whichever text it has, so sets are checked by it
-    texts = maybe.join(ends.hint("shuffle_hash"), F.col("id") == F.col("least")).select("fp", "t").mapInArrow(work, "fp long, s array<long>").groupBy("fp").agg(F.max("s").alias("s"))
+    texts = maybe.join(ends.hint("shuffle_hash"), F.col("id") == F.col("least")).select("fp", "t").mapInArrow(work, "fp long, s array<int>").groupBy("fp").agg(F.max("s").alias("s"))
     sets = stored(texts, "shingle-sets")
     both = pairs.join(sets.withColumnsRenamed({"fp": "a", "s": "x"}).hint("shuffle_hash"), "a").join(sets.withColumnsRenamed({"fp": "b", "s": "y"}).hint("shuffle_hash"), "b")
     shared = F.size(F.array_intersect("x", "y"))
