@@ -414,3 +414,35 @@ def test_alignments_against_loops():
     expected = {(a, b): x for a in range(35) for b in range(40) if (x := plain_alignment(prints[a], prints[b]))}
     assert expected == got and len(expected) > 35
     assert chroma.alignments([], prints)[0].size == 0 == chroma.alignments(prints, [])[0].size
+
+
+def plain_components(texts, words=5, least=0.8):
+    sets = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for i, t in texts.items() if (w := t.lower().split())}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
+def test_similar_groups_lose_no_link(spark):
+    """Families of near copies of all sizes, crowded by texts that are closer in their fingerprints but not similar."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    line = " same line of seven words every time "
+    for family in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(12, 120)))]
+        for copy in range(4):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 3 + len(w) // 30))):
+                w[at] = f"e{family}x{copy}"
+            texts[len(texts)] = " ".join(w) + line * int(rng.integers(0, 3))
+    assert len(set(plain_components(texts).values())) < len(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == plain_components(texts)

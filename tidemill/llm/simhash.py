@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
@@ -65,19 +66,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``id_col``, ``fp`` (the fingerprint as a signed long) and ``m`` (distinct shingles) for each row, repeated rows and
-    null ids included."""
+    """``id_col`` and ``fp`` (the fingerprint as a signed long) for each row, repeated rows and null ids included."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, m = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(b.column(1).to_pylist()):
-                h = shingle_hashes(t, words)
-                fp[i], m[i] = _majority(h), len(np.unique(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(m)], ["id", "fp", "m"])
+            fp = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(work, f"id {kind}, fp long, m long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(work, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -205,59 +202,54 @@ def block_masks(radius: int, k: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, k)]
 
 
-def star_edges(nodes: DataFrame, radius: int, n: int, nearest: bool = False) -> DataFrame:
-    """Edges (a, b), a < b as signed longs. By default they connect just what links of ``radius`` bits or fewer connect;
-    with ``nearest``, each edge is a link, that of a fingerprint to its nearest in some bucket. Only fingerprints with an
-    equal ``part`` column are compared, where ``nodes`` has one.
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut only where it changes."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        kept.append(cols)
+        if len(cols[0]) and cols[0][0] != cols[0][-1]:  # all but the last group are whole
+            cols = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+            yield [x[:last] for x in cols]
+            kept = [[x[last:] for x in cols]]
+    if kept and sum(len(x[0]) for x in kept):
+        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
-    A bucket's key is a hash of table, part and bits: should two buckets fall together, more is compared, nothing is lost.
+
+def star_edges(nodes: DataFrame, radius: int, n: int) -> DataFrame:
+    """Edges (a, b), a < b as signed longs, that connect just what links of ``radius`` bits or fewer connect.
+
+    A bucket's key is a hash of table and bits: should two buckets fall together, more is compared, nothing is lost.
     """
     signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in block_masks(radius, agreeing_blocks(n, radius))]
-    part = [F.col("part")] if "part" in nodes.columns else []
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), *part, F.col("fp").bitwiseAND(F.lit(x))) for t, x in enumerate(signed)])).alias("v")
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(x))) for t, x in enumerate(signed)])).alias("v")
     together = nodes.select(keys, "fp").repartition("v").sortWithinPartitions("v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
         def groups(v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             sizes = np.diff(np.append(starts, len(v)))
             small = np.repeat(sizes <= BUCKET, sizes)
             bucket = np.repeat(np.arange(len(sizes)), sizes)
-            label, best = np.arange(len(fp)), np.full(len(fp), radius + 1, np.int64)
+            label = np.arange(len(fp))
             at, shift = np.flatnonzero(small), 1
             while len(at):  # all small buckets at once: each member with the one so many places on
                 at = at[at + shift < len(fp)]
                 at = at[bucket[at] == bucket[at + shift]]
-                d = np.bitwise_count(fp[at] ^ fp[at + shift]).astype(np.int64)
-                if nearest:
-                    for own, other in ((at, at + shift), (at + shift, at)):
-                        closer = d < best[own]
-                        best[own[closer]], label[own[closer]] = d[closer], other[closer]
-                else:
-                    linked = at[d <= radius]
-                    label = _join_labels(label, linked, linked + shift)
+                linked = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
+                label = _join_labels(label, linked, linked + shift)
                 shift += 1
-            find = bucket_nearest if nearest else bucket_groups
             for s, size in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
-                label[s : s + size] = s + find(fp[s : s + size], radius)
+                label[s : s + size] = s + bucket_groups(fp[s : s + size], radius)
             other = np.flatnonzero(label != np.arange(len(fp)))
             x, y = fp[label[other]].view(np.int64), fp[other].view(np.int64)
             both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
             both = both[:, both[0] != both[1]]
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        for batch in batches:
-            v, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            kept.append((v, fp.view(np.uint64)))
-            if len(v) and v[0] != v[-1]:  # all but the last bucket are whole
-                v, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-                last = int(np.flatnonzero(v != v[-1])[-1]) + 1
-                yield groups(v[:last], fp[:last])
-                kept = [(v[last:], fp[last:])]
-        if kept and sum(len(x[0]) for x in kept):
-            yield groups(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+        for v, fp in _whole_groups(batches):
+            yield groups(v, fp.view(np.uint64))
 
     return together.mapInArrow(work, "a long, b long").distinct()
 
@@ -297,48 +289,224 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gets its group's id, null where the group has no other. An empty table gives an empty result. Other columns are not
     read.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, words).drop("m"), "fingerprints")
+    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    return _labelled(fps, nodes, star_edges(nodes.select("fp"), radius, nodes.count()), id_col)
+    labels = _rooted(nodes, star_edges(nodes.select("fp"), radius, nodes.count()), "fp")
+    out = hot_join(fps.select(id_col, "fp"), labels, "fp", "n")
+    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _labelled(fps: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+def _rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """(``node``, root, component_id, n) for each row of ``nodes`` (``node``, least, n)."""
     roots = connected(edges)
-    rooted = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = stored(nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w"))
-    labels = hot_join(rooted.select("root", "fp", "n"), least, "root", "w").select("fp", "component_id", "n")
-    out = hot_join(fps.select(id_col, "fp"), labels, "fp", "n")
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return hot_join(rooted.select("root", node, "n"), least, "root", "w").select(node, "root", "component_id", "n")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 14) -> DataFrame:
-    """As ``near_duplicates``, but a link is a Jaccard similarity of ``least`` or more of the sets of word shingles.
+#: Texts whose shingles are counted to put the frequent ones last; most shingles that are kept as frequent.
+COUNTED, FREQUENT = 8192, 1 << 18
+#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks.
+SKETCH, TOGETHER = 512, 4096
 
-    Fingerprints propose pairs: each its nearest within ``radius`` bits in every bucket of the index (by default so wide
-    that a similarity of 0.8, about ten bits, is hardly ever beyond it). Buckets hold texts of like size only, as sizes of
-    similar sets are alike: size classes are four wide, and a text within 1 / ``least`` of its class's lower end is in the
-    class below as well. The proposed pairs are then checked on the whole sets of shingles,
-    as hashes of 32 bits. Texts with equal fingerprints
-    count as copies.
-    """
-    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n"), F.coalesce(F.min_by("m", id_col), F.min("m")).alias("m")), "nodes")
-    size = F.greatest("m", F.lit(1)).cast("double")
-    of = lambda m: F.floor(F.log2(m) / 2).cast("int")
-    classes = F.explode(F.array_distinct(F.array(of(size), of(F.greatest(size * least, F.lit(1.0)))))).alias("part")
-    pairs = stored(star_edges(nodes.filter("least IS NOT NULL AND m > 0").select("fp", classes), radius, nodes.count(), nearest=True), "pairs")
-    ends = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "least"), "fp"), "ends")
-    maybe, _ = sieve(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", ends.select(F.col("least").alias("id")))
+
+def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted, unsigned) that three or more of about COUNTED distinct texts hold, and how many do. They only
+    decide an order: any order gives the same pairs, a good one with fewer comparisons."""
+    every = max(1, docs.count() // COUNTED)
+    some = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).dropDuplicates(["t"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["fp", "s"])
+            held = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["x"])
+
+    found = some.mapInArrow(work, "x long").groupBy("x").count().filter("count > 2").orderBy(F.desc("count"), "x").limit(FREQUENT).toPandas()
+    x, n = found["x"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the common order (frequent ones last): so many that two sets with a Jaccard
+    similarity of ``least`` share one of them at least."""
+    m = len(distinct)
+    x, n = frequent
+    count = np.zeros(m, np.int64)
+    if len(x):
+        at = np.minimum(np.searchsorted(x, distinct), len(x) - 1)
+        count = np.where(x[at] == distinct, n[at], 0)
+    return distinct[np.lexsort((distinct, count))][: m - math.ceil(least * m - 1e-9) + 1] if m else distinct
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(id, text_hash, fp, m, node, sketch, prefix) for each row. ``node`` is the hash of the set of distinct shingles, m
+    its size, ``sketch`` the parity of the number of shingles in each of SKETCH classes: where the sketches of two sets
+    differ, the sets do."""
+    frequent = frequent_shingles(docs, text_col, words)
 
-    # one row of a repeated id: that of the fingerprint which stands for it, whichever text it has, so sets are checked by it
-    texts = maybe.join(ends.hint("shuffle_hash"), F.col("id") == F.col("least")).select("fp", "t").mapInArrow(work, "fp long, s array<int>").groupBy("fp").agg(F.max("s").alias("s"))
-    sets = stored(texts, "shingle-sets")
-    both = pairs.join(sets.withColumnsRenamed({"fp": "a", "s": "x"}).hint("shuffle_hash"), "a").join(sets.withColumnsRenamed({"fp": "b", "s": "y"}).hint("shuffle_hash"), "b")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                rows = []
+                for t in b.column(2).to_pylist():
+                    h = shingle_hashes(t, words)
+                    u = np.unique(h)
+                    odd = np.packbits(np.bincount((u % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), odd, shingle_prefix(u, least, frequent).view(np.int64)))
+                fp, m, node, odd, prefix = zip(*rows, strict=True)
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(odd, longs), pa.array(prefix, longs)],
+                    ["id", "text_hash", "fp", "m", "node", "sketch", "prefix"],
+                )
+
+    kind = dict(docs.dtypes)[id_col]
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, sketch array<long>, prefix array<long>")
+
+
+def nearest_together(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Place of a member of the same group with a fingerprint close by: the closest in a group of BUCKET members, in a
+    larger one the closest in a stretch of 1024 in Gray order."""
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    label, best = np.arange(len(fp)), np.full(len(fp), BITS + 1, np.int64)
+    at, shift = np.flatnonzero(np.repeat(sizes <= BUCKET, sizes)), 1
+    while len(at):  # all small groups at once: each member with the one so many places on
+        at = at[at + shift < len(fp)]
+        at = at[bucket[at] == bucket[at + shift]]
+        d = np.bitwise_count(fp[at] ^ fp[at + shift]).astype(np.int64)
+        for own, other in ((at, at + shift), (at + shift, at)):
+            closer = d < best[own]
+            best[own[closer]], label[own[closer]] = d[closer], other[closer]
+        shift += 1
+    for s, size in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
+        order = s + np.argsort(gray_rank(fp[s : s + size]), kind="stable")
+        for i in range(0, size, 1024):
+            part = order[i : i + 1024]
+            label[part] = part[bucket_nearest(fp[part], BITS)]
+    return label
+
+
+def shared_shingles(nodes: DataFrame, least: float) -> DataFrame:
+    """(token, node, m, place, near, g, rank): the sets that share a shingle of their prefixes with a set of like size.
+    ``near`` is another set with that shingle, ``rank`` of ``g`` numbers the sets of a shingle."""
+    rows = nodes.select("m", "node", "fp", F.posexplode("prefix").alias("place", "token")).select("token", "m", "node", "fp", "place")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, m, node, fp, place in _whole_groups(batches):
+            new = np.concatenate(([True], token[1:] != token[:-1]))
+            like = ~new[1:] & (m[:-1] + 1e-9 >= least * m[1:])  # sorted by size: with the next one
+            keep = np.concatenate((like, [False])) | np.concatenate(([False], like))
+            token, m, node, fp, place = (x[keep] for x in (token, m, node, fp, place))
+            if not len(token):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            sizes = np.diff(np.append(starts, len(token)))
+            near = node[nearest_together(starts, sizes, fp.view(np.uint64))]
+            g = np.repeat(sizes, sizes)
+            rank = np.arange(len(token)) - np.repeat(starts, sizes)
+            for i in range(0, len(token), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (token, node, m, place, near, g, rank)], ["token", "node", "m", "place", "near", "g", "rank"])
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "m")
+    return dealt.mapInArrow(work, "token long, node long, m long, place int, near long, g long, rank long")
+
+
+def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of ``shared`` in different components that ``least`` does not rule out by the sizes of the
+    sets and by what is left of them after the shared shingle. Sets of a shingle that is in more than TOGETHER of them are
+    dealt into blocks, and each pair of blocks is a group of its own."""
+    rooted = shared.drop("near").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    blocks = F.ceil(F.col("g") / TOGETHER).cast("int")
+    own = F.pmod(F.col("rank"), F.col("blocks")).cast("int")
+    dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("v")
+    dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"))
+    of_both = least / (1 + least)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, m, node, root, place, own, same in _whole_groups(batches):
+            at, shift, kept, held = np.arange(len(v)), 1, [], 0
+            left = m - place
+
+            def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
+                both = np.unique(np.concatenate(kept, axis=1), axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+            while len(at):  # all groups at once: each set with the one so many places on, until that is too large
+                at = at[at + shift < len(v)]
+                to = at + shift
+                at = at[(v[at] == v[to]) & (m[at] + 1e-9 >= least * m[to])]
+                to = at + shift
+                found = (root[at] != root[to]) & ((own[at] != own[to]) | ((same[at] & same[to]) == 1)) & (np.minimum(left[at], left[to]) + 1e-9 >= of_both * (m[at] + m[to]))
+                x, y = node[at[found]], node[to[found]]
+                kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                held += len(x)
+                if held > 1 << 20:
+                    yield flush(kept)
+                    kept, held = [], 0
+                shift += 1
+            if held:
+                yield flush(kept)
+
+    return dealt.repartition("v").sortWithinPartitions("v", "m").mapInArrow(work, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Sketches that differ
+    in more places than the sets may rule a pair out, the whole sets decide on the others."""
+    about = nodes.select("node", "m", "sketch")
+    both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "sketch": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "sketch": "y"}).hint("shuffle_hash"), "b")
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    pairs = stored(both.filter(apart <= (1 - least) / (1 + least) * (F.col("ma") + F.col("mb")) + 1e-9).select("a", "b"), "pairs")
+    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least"), "node"), "ends")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    maybe, _ = sieve(read, "id", ends.select(F.col("least").alias("id")))
+    asked = maybe.join(ends.select(F.col("least").alias("id")).distinct().hint("shuffle_hash"), "id").select("t")
+    if not ends.filter("least IS NULL").isEmpty():
+        asked = asked.unionByName(read.filter("id IS NULL").select("t"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            node = np.fromiter((xxhash.xxh64_intdigest(u.tobytes()) for u in sets), np.uint64, len(sets))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["node", "s"])
+
+    # an id may be on several texts, so sets are told by their own hash
+    texts = asked.mapInArrow(work, "node long, s array<long>").join(ends.select("node").hint("shuffle_hash"), "node", "left_semi")
+    sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingle-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}).hint("shuffle_hash"), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}).hint("shuffle_hash"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    sure = both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return _labelled(fps, nodes, sure, id_col)
+    return stored(both.filter(shared + 1e-9 >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, fp, node) for each row of ``docs``, and (node, root, component_id, n) for each distinct set of
+    shingles: ``root`` is equal for sets that links reach, where a link is a similarity of ``least`` or more.
+
+    No link is lost: two similar sets share one of the first shingles of each in any common order (a prefix-filter join).
+    1. Sets that share such a shingle each propose the one with the closest fingerprint, which links most near copies.
+    2. All pairs between the components so far that share such a shingle are checked.
+    """
+    own = stored(_sets(docs, id_col, text_col, words, least), "sets")
+    nodes = own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("m", "fp", "sketch", "prefix")))
+    nodes = stored(nodes, "nodes")
+    shared = stored(shared_shingles(nodes, least), "shared")
+    first = stored(shared.filter("node <> near").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "proposed")
+    check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
+    close = check(first)
+    rest = crossing_pairs(shared, connected(close), least).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
+    links = close.unionByName(check(rest))
+    return own.select("id", "text_hash", "fp", "node"), _rooted(nodes.select("node", "least", "n"), links, "node")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """As ``near_duplicates``, but a link is a Jaccard similarity of ``least`` or more of the sets of word shingles (texts
+    without words are equal)."""
+    own, labels = similar_sets(docs, id_col, text_col, words, least)
+    out = hot_join(own, labels, "node", "n")
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
