@@ -53,3 +53,16 @@ def test_stages_take_odd_rows(spark):
 def test_unknown_language_goes(spark):
     docs = spark.createDataFrame([(1, "12 34", "en", "a", 5), (2, "the words of this text", "en", "a", 22), (3, "les mots de ce texte", "fr", "a", 20)], "doc_id long, text string, lang string, source string, n_chars long")
     assert langid.UNKNOWN == "und" and 1 not in {r["doc_id"] for r in P.language(spark, docs, SF).collect()}
+
+
+def test_near_dedup_checks_texts(spark):
+    """Equal fingerprints of unlike texts, and one id on unlike texts, are no copies; equal rows are."""
+    line = "the seven words of this very line " * 100
+    texts = [line + " ".join(f"{who}{k}" for k in range(40)) for who in "ab"]
+    assert simhash.fingerprint(texts[0], P.WORDS) == simhash.fingerprint(texts[1], P.WORDS)
+    plain = [" ".join(f"{who}{k}" for k in range(60)) for who in "cde"]
+    near = plain[2] + " end"
+    rows = [(1, texts[0]), (2, texts[1]), (3, plain[0]), (3, plain[1]), (3, plain[1]), (4, plain[2]), (5, near), (5, "quite another text of this id"), (None, plain[2])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, SF).collect())
+    assert got == Counter([(1, texts[0]), (2, texts[1]), (3, plain[0]), (3, plain[1]), (4, plain[2]), (5, rows[7][1]), (None, plain[2])])
