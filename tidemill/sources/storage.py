@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset and all runs in one process, a temporary folder; on a cluster, where
+    other machines can't see such a folder, an error."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemill-")
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tidemill-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,3 +31,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path, schema = new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+class Stored:
+    """The intermediate tables of one job; those that no later step reads are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, new_path(spark, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.base}/{name}"
+
+    def put(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """As ``stored``, in a folder for each value of ``by``, whose files alone a filter on it reads."""
+        writer, schema = df.write.option("compression", "zstd"), df.schema
+        (writer.partitionBy(by) if by else writer).parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name)).select(*df.columns)
+
+    def drop(self, name: str, **part: object) -> None:
+        """Delete a table, or its rows with the value of ``by``."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path("/".join([self.path(name), *(f"{k}={v}" for k, v in part.items())]))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
