@@ -189,24 +189,122 @@ def test_lm_counts_and_perplexity(spark, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # better than counts alone on unseen texts
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over the words of a context, those never seen there and one unknown word."""
-    rng = np.random.default_rng(0)
-    words = np.arange(1, 41, dtype=np.uint64)
-    pairs = np.repeat(np.arange(40), 5)
-    row = {"p": 0, "words": words.tobytes(), "word_pairs": np.full(40, 5, np.uint32).tobytes(), "pair_before": np.tile(np.arange(5), 40).astype(np.uint16).tobytes(), "pair_count": rng.integers(0, 6, 200).astype(np.uint32).tobytes()}
-    count = np.frombuffer(row["pair_count"], np.uint32).astype(np.int64)
-    customers = np.bincount(np.tile(np.arange(5), 40), weights=count, minlength=hpylm.CONTEXTS)
-    tables = np.bincount(np.tile(np.arange(5), 40), weights=count > 0, minlength=hpylm.CONTEXTS)
-    known = int((np.bincount(pairs, weights=count) > 0).sum())
-    world = hpylm.World(int(count.sum()), known, 0.6, 0.5, np.empty(0, np.uint64), np.empty(0), np.empty(0), customers, tables, float(known))
-    shard = hpylm.Shard(row, world)
-    (p0,) = shard.run(1)
-    p = shard.probabilities(p0)
-    now = shard.rest.by_context()
-    for u in range(5):
-        unknown = (hpylm.THETA + 0.6 * now[u]) / (customers[u] + hpylm.THETA) * (1 - p0.sum())
-        assert p[np.tile(np.arange(5), 40) == u].sum() + unknown == pytest.approx(1, abs=0.02)
+def shards_of(docs):
+    """All shards of a trained model, as ``shard_model`` gives them, and the model's totals."""
+    _, rows, model = hpylm.trained(docs, "doc_id", "text", 7, 2)
+    groups = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["kind"], r["frm"])):
+        groups.setdefault(r["to"], {}).setdefault(r["kind"], []).append((r["frm"], [bytes(x) for x in r["x"]]))
+    return [hpylm.shard_model(g, **model) for g in groups.values()], model
+
+
+@pytest.mark.parametrize("tokens", [2_000_000, 1_500])
+def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch, tokens):
+    """After all sweeps, over the words of every context, those never seen there and one unknown word; in one shard, and in
+    several with contexts that fill more than half of one."""
+    monkeypatch.setattr(hpylm, "SHARD_TOKENS", tokens)
+    shards, model = shards_of(docs)
+    assert (len(shards) > 3 and len(model["hot"]) > 0) == (tokens == 1_500)
+    known = {w for m in shards for w, c in zip(m["word"].tolist(), m["count"].tolist(), strict=True) if c}
+    parent = {w: p for m in shards for w, p in zip(m["word"].tolist(), m["parent"].tolist(), strict=True) if w in known}
+    unknown = hpylm.parent_probability(0, 0, model["sums"])
+    assert sum(parent.values()) + unknown == pytest.approx(1, abs=1e-9)
+    seen, rest, left = Counter(), Counter(), {}
+    for m in shards:
+        for u, w, p, p0, share in zip(*(m[k].tolist() for k in ("context", "word", "probability", "parent", "left")), strict=True):
+            if w in known:
+                seen[u] += p
+                rest[u] += p0
+                assert left.setdefault(u, share) == pytest.approx(share, abs=1e-12)
+    assert len(seen) > 1000
+    assert max(abs(seen[u] + left[u] * (1 - rest[u]) - 1) for u in seen) < 1e-9
+
+
+def test_lm_shards_change_nothing_but_chance(spark, docs, monkeypatch):
+    one = {r["doc_id"]: r for r in hpylm.score(docs).collect()}
+    monkeypatch.setattr(hpylm, "SHARD_TOKENS", 1_500)
+    monkeypatch.setattr(hpylm, "BLOCK_BYTES", 30_000)
+    many = {r["doc_id"]: r for r in hpylm.score(docs).collect()}
+    for i, r in one.items():
+        assert (r["n_known"], r["train_tokens"], r["base_score"]) == (many[i]["n_known"], many[i]["train_tokens"], pytest.approx(many[i]["base_score"], rel=1e-9))
+        assert r["score"] == pytest.approx(many[i]["score"], rel=0.03, abs=0.5)
+
+
+def test_lm_ids_of_any_type(spark):
+    out = hpylm.score(spark.createDataFrame([("b", "one two"), ("a\n", "one"), (None, "two")], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in out) == [("", 2), ("a\n", 2), ("b", 3)]
+
+
+def test_tables_are_drawn_from_their_conditional():
+    """Against the distribution by recursion over the customers."""
+    rng = np.random.default_rng(4)
+    for c, z in ((2, 0.3), (7, 2.0), (40, 0.01), (40, 30.0), (3, 1e-9)):
+        ways = [0.0, 1.0]  # of seating so many customers, by number of tables
+        for n in range(1, c):
+            ways = [0.0, *(ways[t - 1] + (n - 0.5 * t) * (ways[t] if t < len(ways) else 0.0) for t in range(1, len(ways) + 1))]
+        p = np.array(ways[1:]) * z ** np.arange(1, c + 1)
+        p /= p.sum()
+        got = np.bincount(hpylm.draw_tables(np.full(40_000, c), np.full(40_000, z), rng), minlength=c + 1)[1:] / 40_000
+        assert np.abs(got - p).max() < 0.012
+    many = hpylm.draw_tables(np.full(2000, 1_000_000), np.full(2000, 50.0), rng)
+    assert abs(many.mean() - 101) < 1.5 and 80 < many.var() < 120  # one and a Poisson number of mean 2 z, nearly
+
+
+def plain_model(texts, sweeps=60):
+    """Customers leave and sit down one by one; mean probability of (context, word) over the later half of the sweeps."""
+    rng = np.random.default_rng(9)
+    d, theta = hpylm.DISCOUNT, hpylm.THETA
+    pairs = [(u, w) for t in texts for u, w in zip([0, *t.split()], [*t.split(), 1], strict=True)]
+    kinds = len({w for _, w in pairs})
+    seats, root = {}, {}  # tables by context and word; tables of the parent by word
+
+    def odds(places, w, base):
+        return (sum(places.get(w, [])) - d * len(places.get(w, [])) + (theta + d * sum(map(len, places.values()))) * base) / (sum(map(sum, places.values())) + theta)
+
+    def sit(places, w, base):
+        own = places.setdefault(w, [])
+        weights = np.array([n - d for n in own] + [(theta + d * sum(map(len, places.values()))) * base])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        own += [0] * (k == len(own))
+        own[k] += 1
+        return own[k] == 1
+
+    def leave(places, w):
+        own = places[w]
+        k = rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        if own[k]:
+            return False
+        own.pop(k)
+        return True
+
+    def enter(u, w):
+        if sit(seats.setdefault(u, {}), w, odds(root, w, 1 / (kinds + 1))):
+            sit(root, w, 1 / (kinds + 1))
+
+    for u, w in pairs:
+        enter(u, w)
+    total, n = Counter(), 0
+    for k in range(sweeps):
+        for u, w in pairs:
+            if leave(seats[u], w):
+                leave(root, w)
+            enter(u, w)
+        if k >= sweeps // 2:
+            n += 1
+            for u, w in set(pairs):
+                total[u, w] += odds(seats[u], w, odds(root, w, 1 / (kinds + 1)))
+    return [sum(math.log10(total[p] / n) for p in zip([0, *t.split()], [*t.split(), 1], strict=True)) for t in texts]
+
+
+def test_lm_against_plain_sampler(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(int(x), 12)}" for x in rng.zipf(1.6, 14)) for _ in range(24)]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]  # all are learnt from
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    plain = plain_model(texts)
+    assert sum(got.values()) == pytest.approx(sum(plain), rel=0.03)
+    assert all(got[i] == pytest.approx(p, rel=0.15) for i, p in zip(ids, plain, strict=True))
 
 
 def test_language_accuracy(spark):
