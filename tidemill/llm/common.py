@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def put(a: np.ndarray, kind: type) -> bytes:
+    """Numbers as bytes, first bytes first, then all second ones and so on: small numbers compress well so."""
+    a = np.ascontiguousarray(a, kind)
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def get(b: bytes, kind: type) -> np.ndarray:
+    """What ``put`` was given."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, begin and end of each run of equal keys; none of an empty array."""
+    if len(keys):
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        yield from zip(keys[np.concatenate(([0], cuts))].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -34,14 +56,14 @@ def sieve(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame
     return marked.join(taken, "_slot", "left_semi").drop("_slot"), marked.join(taken, "_slot", "left_anti").drop("_slot")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left", total: int | None = None) -> DataFrame:
     """Join ``left`` with ``right`` on ``key``, which is unique in ``right``; ``weight`` says how many rows of ``left``
-    have that key.
+    have that key, ``total`` how many rows it has, if that is known.
 
     The keys that hold over a 500th of all rows are at most 500 by that definition, so they are broadcast, and no task
     gets all rows of a hot key; the other keys are joined by a shuffle.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     bound = max(total // 500, 1000)
     right_cols = [c for c in right.columns if c not in (key, weight)]
     hot = right.filter(F.col(weight) > bound).withColumn("_hot", F.lit(True)).drop(weight)

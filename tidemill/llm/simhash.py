@@ -4,12 +4,14 @@
 2. Equal fingerprints are grouped first, so a group of exact copies is one node from then on.
 3. Distinct fingerprints are dealt into buckets: the 64 bits are cut into ``radius + k`` blocks; two fingerprints that
    differ in ``radius`` bits at most agree on at least ``k`` blocks, so a bucket for each choice of ``k`` blocks loses no
-   link. ``k`` follows from the number of distinct fingerprints alone, so that buckets stay small at every size.
-4. Inside a bucket a Gray-order hierarchical index finds the links: fingerprints are sorted by their rank in the Gray
-   code, runs of them become nodes that hold the bits all members share (mask and pattern), runs of nodes become upper
-   nodes. Two nodes are compared by the bits that both have fixed; a pair of groups that already differs in more than
-   ``radius`` of these is dropped as a whole, as is one whose members are linked already.
-5. A bucket returns a spanning star for each of its groups, not its pairs; the groups of all buckets are joined by
+   link. ``k`` follows from the number of distinct fingerprints. A bucket of more than CROWDED members is dealt once more:
+   of ``radius + 1`` parts of its other bits, two linked fingerprints agree on one at least.
+4. Inside buckets a Gray-order hierarchical index finds the links: fingerprints are sorted by bucket and by their rank in
+   the Gray code, runs of them become nodes that hold the bits all members share (mask and pattern) and their range of
+   buckets, runs of nodes become upper nodes. Two nodes are compared by the bits that both have fixed; a pair of groups
+   that already differs in more than ``radius`` of these, or has no bucket in common, is dropped as a whole, as is one
+   whose members are linked already.
+5. Buckets return a spanning star for each of their groups, not the pairs; the groups of all buckets are joined by
    alternating large-star and small-star steps, with the edges written to the shared folder after each round.
 """
 
@@ -18,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, sieve, stored
+from .common import get, hot_join, put, runs, sieve, stored
 
 BITS = 64
 #: Members of a node of the index.
 RUN = 16
-#: Average members of a bucket above which one more block has to agree.
-BUCKET = 64
+#: Average members of a bucket above which one more block has to agree; members above which a bucket is dealt once more.
+BUCKET, CROWDED = 64, 1 << 14
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -102,22 +103,27 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def gray_pairs(x: np.ndarray, radius: int, open_: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, of links in ``x``, which is in Gray order; arrays of bounded size. ``open_`` may drop pairs of
-    nodes (their width in members and places) that need no search."""
+def gray_pairs(x: np.ndarray, radius: int, open_: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None, bucket: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of links inside buckets of ``x``, which is in the order of ``bucket`` (one, if not given) and
+    in Gray order inside each; arrays of bounded size. ``open_`` may drop pairs of nodes (their width in members and
+    places) that need no search."""
     n = len(x)
     # levels[0]: single fingerprints; each upper level: runs of RUN nodes below, with the bits that all members share
     patterns, masks = [x], [np.full(n, ~np.uint64(0))]
+    low = [np.zeros(n, np.int64) if bucket is None else bucket]
+    high = [low[0]]
     while len(patterns[-1]) > RUN:
         p, m = patterns[-1], masks[-1]
         at = np.arange(0, len(p), RUN)
         ones, zeros = np.bitwise_and.reduceat(p & m, at), np.bitwise_and.reduceat(~p & m, at)
         patterns.append(ones)
         masks.append(ones | zeros)
+        low.append(low[-1][at])
+        high.append(high[-1][np.minimum(at + RUN, len(p)) - 1])
 
     def near(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         p, m = patterns[level], masks[level]
-        return np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) <= radius
+        return (high[level][i] >= low[level][j]) & (np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) <= radius)
 
     def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """i <= j: pairs of nodes that may hold links."""
@@ -150,10 +156,13 @@ def gray_pairs(x: np.ndarray, radius: int, open_: Callable[[int, np.ndarray, np.
     yield from descend(top, i, j)
 
 
-def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct fingerprints (unsigned), the smallest index in the argument's order of each one's group."""
+def bucket_groups(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> np.ndarray:
+    """For fingerprints (unsigned, distinct inside each bucket), the smallest index in the argument's order of each one's
+    group in its bucket."""
     n = len(fps)
     order = np.argsort(gray_rank(fps), kind="stable")
+    if bucket is not None:
+        order = order[np.argsort(bucket[order], kind="stable")]
     label = np.arange(n)
 
     def open_(width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,7 +171,7 @@ def bucket_groups(fps: np.ndarray, radius: int) -> np.ndarray:
         low, high = np.minimum.reduceat(label, np.arange(0, n, width)), np.maximum.reduceat(label, np.arange(0, n, width))
         return (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])  # groups linked already need no search
 
-    for i, j in gray_pairs(fps[order], radius, open_):
+    for i, j in gray_pairs(fps[order], radius, open_, None if bucket is None else bucket[order]):
         label = _join_labels(label, i, j)
     out = np.empty(n, np.int64)
     least = np.full(n, n, np.int64)
@@ -186,10 +195,9 @@ def bucket_nearest(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def agreeing_blocks(n: int, radius: int) -> int:
-    """How many blocks have to agree, so that n random fingerprints fill a bucket with BUCKET members at most
-    (the number of choices permitting)."""
+    """How many blocks have to agree, so that n random fingerprints fill a bucket with BUCKET members at most."""
     k = 1
-    while n / 2 ** (BITS * k // (radius + k)) > BUCKET and comb(radius + k, k) < 100 and radius + k < BITS:
+    while n / 2 ** (BITS * k // (radius + k)) > BUCKET and radius + k < BITS:
         k += 1
     return k
 
@@ -217,39 +225,38 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
 
+def _cut(mask: int, parts: int) -> list[int]:
+    """The bits of a mask in so many parts of like size."""
+    bits = [i for i in range(BITS) if mask >> i & 1]
+    return [sum(1 << i for i in bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
+
+
 def star_edges(nodes: DataFrame, radius: int, n: int) -> DataFrame:
     """Edges (a, b), a < b as signed longs, that connect just what links of ``radius`` bits or fewer connect.
 
     A bucket's key is a hash of table and bits: should two buckets fall together, more is compared, nothing is lost.
     """
-    signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in block_masks(radius, agreeing_blocks(n, radius))]
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(x))) for t, x in enumerate(signed)])).alias("v")
-    together = nodes.select(keys, "fp").repartition("v").sortWithinPartitions("v")
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    masks = block_masks(radius, agreeing_blocks(n, radius))
+    every = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(x)))).alias("v")) for t, x in enumerate(masks)]
+    dealt = nodes.select("fp", F.inline(F.array(*every)))
+    crowded = stored(dealt.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED), "crowded")
+    if not crowded.isEmpty():
+        parts = F.array(*[F.array(*[F.lit(signed(p)) for p in _cut(~x & ((1 << BITS) - 1), radius + 1)]) for x in masks])
+        again = F.transform(F.element_at(parts, F.col("t") + 1), lambda p, i: F.xxhash64("v", i, F.col("fp").bitwiseAND(p)))
+        marked = dealt.join(crowded, "v", "left")  # a crowded key's rows are many: Spark broadcasts the keys or splits the join's skew
+        dealt = marked.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("v")).otherwise(again)).alias("v"))
+    together = dealt.select("v", "fp").repartition("v").sortWithinPartitions("v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-            sizes = np.diff(np.append(starts, len(v)))
-            small = np.repeat(sizes <= BUCKET, sizes)
-            bucket = np.repeat(np.arange(len(sizes)), sizes)
-            label = np.arange(len(fp))
-            at, shift = np.flatnonzero(small), 1
-            while len(at):  # all small buckets at once: each member with the one so many places on
-                at = at[at + shift < len(fp)]
-                at = at[bucket[at] == bucket[at + shift]]
-                linked = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-                label = _join_labels(label, linked, linked + shift)
-                shift += 1
-            for s, size in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
-                label[s : s + size] = s + bucket_groups(fp[s : s + size], radius)
+        for v, own in _whole_groups(batches):
+            fp = own.view(np.uint64)
+            label = bucket_groups(fp, radius, v)
             other = np.flatnonzero(label != np.arange(len(fp)))
-            x, y = fp[label[other]].view(np.int64), fp[other].view(np.int64)
+            x, y = own[label[other]], own[other]
             both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
             both = both[:, both[0] != both[1]]
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-        for v, fp in _whole_groups(batches):
-            yield groups(v, fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return together.mapInArrow(work, "a long, b long").distinct()
 
@@ -261,24 +268,25 @@ def connected(edges: DataFrame) -> DataFrame:
     edges no longer change. Each round is written to the shared folder, so that a lost executor costs one round.
     """
     e = stored(edges.filter("a <> b"), "edges")
-    before = None
-    while True:
+    before, n = None, e.count()
+    while n:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.when(F.col("b") > F.col("a"), True)).alias("n"))
+        large = hot_join(both.filter("b > a"), least, "a", "n", total=n).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # small-star: every node's edge to a smaller neighbour goes to the smallest of these
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
+            hot_join(down, low, "u", "n", total=n).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
             .unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
             .distinct()
         )
         e = stored(small, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before, n = now, now[0]
+    return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -306,13 +314,13 @@ def _rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 #: Texts whose shingles are counted to put the frequent ones last; most shingles that are kept as frequent.
 COUNTED, FREQUENT = 8192, 1 << 18
-#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks.
-SKETCH, TOGETHER = 512, 4096
+#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket.
+SKETCH, TOGETHER, PREFIXES = 512, 4096, 1 << 20
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted, unsigned) that three or more of about COUNTED distinct texts hold, and how many do. They only
-    decide an order: any order gives the same pairs, a good one with fewer comparisons."""
+def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles (sorted, unsigned) that three or more of about COUNTED distinct texts hold, how many do, and the number of
+    these texts. They only decide an order: any order gives the same pairs, a good one with fewer comparisons."""
     every = max(1, docs.count() // COUNTED)
     some = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).dropDuplicates(["t"])
 
@@ -324,7 +332,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.nd
     found = some.mapInArrow(work, "x long").groupBy("x").count().filter("count > 2").orderBy(F.desc("count"), "x").limit(FREQUENT).toPandas()
     x, n = found["x"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
     order = np.argsort(x)
-    return x[order], n[order]
+    return x[order], n[order], some.count()
 
 
 def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -339,11 +347,10 @@ def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarra
     return distinct[np.lexsort((distinct, count))][: m - math.ceil(least * m - 1e-9) + 1] if m else distinct
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(id, text_hash, fp, m, node, sketch, prefix) for each row. ``node`` is the hash of the set of distinct shingles, m
-    its size, ``sketch`` the parity of the number of shingles in each of SKETCH classes: where the sketches of two sets
-    differ, the sets do."""
-    frequent = frequent_shingles(docs, text_col, words)
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, text_hash, fp, m, node, sketch) for each row. ``node`` is the hash of the set of distinct shingles, m its size,
+    ``sketch`` the parity of the number of shingles in each of SKETCH classes: where the sketches of two sets differ, the
+    sets do."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -354,17 +361,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, least: float)
                     h = shingle_hashes(t, words)
                     u = np.unique(h)
                     odd = np.packbits(np.bincount((u % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
-                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), odd, shingle_prefix(u, least, frequent).view(np.int64)))
-                fp, m, node, odd, prefix = zip(*rows, strict=True)
-                longs = pa.list_(pa.int64())
+                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), odd))
+                fp, m, node, odd = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(odd, longs), pa.array(prefix, longs)],
-                    ["id", "text_hash", "fp", "m", "node", "sketch", "prefix"],
+                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(odd, pa.list_(pa.int64()))],
+                    ["id", "text_hash", "fp", "m", "node", "sketch"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, sketch array<long>, prefix array<long>")
+    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, sketch array<long>")
 
 
 def nearest_together(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -389,29 +395,81 @@ def nearest_together(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> n
     return label
 
 
-def shared_shingles(nodes: DataFrame, least: float) -> DataFrame:
-    """(token, node, m, place, near, g, rank): the sets that share a shingle of their prefixes with a set of like size.
-    ``near`` is another set with that shingle, ``rank`` of ``g`` numbers the sets of a shingle."""
-    rows = nodes.select("m", "node", "fp", F.posexplode("prefix").alias("place", "token")).select("token", "m", "node", "fp", "place")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, m, node, fp, place in _whole_groups(batches):
-            new = np.concatenate(([True], token[1:] != token[:-1]))
-            like = ~new[1:] & (m[:-1] + 1e-9 >= least * m[1:])  # sorted by size: with the next one
-            keep = np.concatenate((like, [False])) | np.concatenate(([False], like))
-            token, m, node, fp, place = (x[keep] for x in (token, m, node, fp, place))
-            if not len(token):
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            sizes = np.diff(np.append(starts, len(token)))
-            near = node[nearest_together(starts, sizes, fp.view(np.uint64))]
-            g = np.repeat(sizes, sizes)
-            rank = np.arange(len(token)) - np.repeat(starts, sizes)
-            for i in range(0, len(token), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (token, node, m, place, near, g, rank)], ["token", "node", "m", "place", "near", "g", "rank"])
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "m")
-    return dealt.mapInArrow(work, "token long, node long, m long, place int, near long, g long, rank long")
+_PREFIX = "bucket long, token binary, place binary, owner binary, node binary, m binary, fp binary"
+
+
+def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray], sampled: int, n: int, size: int) -> DataFrame:
+    """(token, node, m, place, near): the sets that share a shingle of their prefixes with a set of like size; ``near`` is
+    another set with that shingle. Of ``n`` texts with ``size`` bytes.
+
+    Prefixes are shuffled as arrays, by bucket of shingle and with each distinct set of a block of texts once. A shingle is
+    told by 48 bits; a false match is one more pair to check. Shingles of a large part of the sample are dealt over
+    several buckets, in another way for each shingle, so that a family which holds any share of all rows is linked by
+    some of its shingles."""
+    buckets = max(1, math.ceil(size / 6 * (1 - least) / PREFIXES))
+    some, count = frequent
+    hot, slices = some[count * n > sampled * CROWDED], (count[count * n > sampled * CROWDED] * n // (sampled * CROWDED) + 1).astype(np.uint64)
+    mixed = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def packed(sets: dict[int, tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        node, m, fp = np.array(list(sets), np.uint64), np.array([x[0] for x in sets.values()], np.uint32), np.array([x[1] for x in sets.values()], np.uint64)
+        sizes = [len(x[2]) for x in sets.values()]
+        token = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in sets.values())])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int64)
+        deal = token >> np.uint64(16)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+            split = hot[at] == token
+            deal = np.where(split, mixed(token ^ (mixed(node[owner] ^ token) % slices[at])), deal)
+        bucket = (mixed(deal) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.lexsort((token, bucket))
+        bucket, token, owner, place = bucket[order], token[order], owner[order], place[order]
+        rows = []
+        for key, a, b in runs(bucket):
+            here, own = np.unique(owner[a:b], return_inverse=True)
+            rows.append((key, put(token[a:b] >> np.uint64(16), np.uint64), put(place[a:b], np.uint32), put(own, np.uint32), put(node[here], np.uint64), put(m[here], np.uint32), put(fp[here], np.uint64)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), *[pa.binary()] * 6], strict=True)], [x.split()[0] for x in _PREFIX.split(", ")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, tuple[int, int, np.ndarray]] = {}
+        held = 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h = shingle_hashes(t, words)
+                u = np.unique(h)
+                node = xxhash.xxh64_intdigest(u.tobytes())
+                if node not in sets:
+                    sets[node] = (len(u), _majority(h), shingle_prefix(u, least, frequent))
+                    held += len(sets[node][2])
+                if held > 1 << 20:
+                    yield packed(sets)
+                    sets, held = {}, 0
+        if sets:
+            yield packed(sets)
+
+    def find(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        sizes = [len(r["node"]) // 8 for r in rows]
+        all_ = lambda k, kind: np.concatenate([get(r[k], kind) for r in rows])
+        token, place = all_("token", np.uint64), all_("place", np.uint32).astype(np.int32)
+        owner = np.concatenate([get(r["owner"], np.uint32).astype(np.int64) + at for r, at in zip(rows, np.cumsum(sizes) - sizes, strict=True)])
+        node, m, fp = all_("node", np.uint64)[owner], all_("m", np.uint32).astype(np.int64)[owner], all_("fp", np.uint64)[owner]
+        order = np.lexsort((node, m, token))
+        token, place, node, m, fp = (x[order] for x in (token, place, node, m, fp))
+        keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies in several blocks
+        token, place, node, m, fp = (x[keep] for x in (token, place, node, m, fp))
+        like = (token[1:] == token[:-1]) & (m[:-1] + 1e-9 >= least * m[1:])  # sorted by size: with the next one
+        keep = np.concatenate((like, [False])) | np.concatenate(([False], like))
+        token, place, node, m, fp = (x[keep] for x in (token, place, node, m, fp))
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(token)))
+        near = node[nearest_together(starts, sizes, fp)]
+        return pa.table({"token": token.view(np.int64), "node": node.view(np.int64), "m": m, "place": place, "near": near.view(np.int64)})
+
+    dealt = docs.select(F.col(text_col).alias("t")).mapInArrow(pack, _PREFIX)
+    return dealt.groupBy("bucket").applyInArrow(find, "token long, node long, m long, place int, near long")
 
 
 def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -419,10 +477,9 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFra
     sets and by what is left of them after the shared shingle. Sets of a shingle that is in more than TOGETHER of them are
     dealt into blocks, and each pair of blocks is a group of its own."""
     rooted = shared.drop("near").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    blocks = F.ceil(F.col("g") / TOGETHER).cast("int")
-    own = F.pmod(F.col("rank"), F.col("blocks")).cast("int")
-    dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("blocks", blocks).withColumn("own", own)
+    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("blocks")).filter("x <> y").select("token", "blocks")
+    own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
+    dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("v")
     dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"))
@@ -492,10 +549,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Sets that share such a shingle each propose the one with the closest fingerprint, which links most near copies.
     2. All pairs between the components so far that share such a shingle are checked.
     """
-    own = stored(_sets(docs, id_col, text_col, words, least), "sets")
-    nodes = own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("m", "fp", "sketch", "prefix")))
-    nodes = stored(nodes, "nodes")
-    shared = stored(shared_shingles(nodes, least), "shared")
+    own = stored(_sets(docs, id_col, text_col, words), "sets")
+    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("m", "sketch"))), "nodes")
+    *frequent, sampled = frequent_shingles(docs, text_col, words)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    shared = stored(shared_shingles(docs, text_col, words, least, tuple(frequent), max(1, sampled), n, size), "shared")
     first = stored(shared.filter("node <> near").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "proposed")
     check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
     close = check(first)
