@@ -131,7 +131,7 @@ def sentences(text: Column) -> Column:
 
 def category(normal: Column) -> Column:
     """Category of the first keyword, in list order, that the normal form holds as a substring."""
-    return reduce(lambda rest, kv: F.when(normal.contains(kv[0]), kv[1]).otherwise(rest), reversed(CATEGORY_KEYWORDS), F.lit(DEFAULT_CATEGORY))
+    return let(normal, lambda n: reduce(lambda rest, kv: F.when(n.contains(kv[0]), kv[1]).otherwise(rest), reversed(CATEGORY_KEYWORDS), F.lit(DEFAULT_CATEGORY)))
 
 
 def reading_minutes(text: Column) -> Column:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
+
 # Fixed values.
 MULTIPLIER = {"Ai": 1.08, "Software": 1.05, "OpenSource": 1.03, "Security": 1.05, "Tools": 1.0, "Startup": 0.95, "Career": 0.92, "Science": 0.95, "Hardware": 0.95, "Product": 0.95}
 OTHER_MULTIPLIER = 0.9
@@ -65,32 +67,40 @@ def importance(df: DataFrame, now: Column) -> DataFrame:
     return df.withColumn("importance_score", whole(raw * factor))
 
 
-def personal(pool: DataFrame, readers: DataFrame, story_topics: DataFrame, interests: DataFrame, muted: DataFrame, favourites: DataFrame, seen: DataFrame) -> DataFrame:
+def personal(pool: DataFrame, readers: DataFrame, story_topics: DataFrame, interests: DataFrame, muted: DataFrame, favourites: DataFrame, seen: DataFrame, tastes: DataFrame | None = None) -> DataFrame:
     """(user_id, story_id, score, reason) of a candidate pool for every reader, stories with a muted topic left out.
 
-    ``pool``: story_id, importance_score, trust_score, primary_source_id. The pool is a top-k by definition, so it and its
-    topics are small; readers and what they declared are not, and are joined by their keys."""
-    topics = story_topics.join(pool.select("story_id"), "story_id", "left_semi")
-    pairs = readers.select("user_id").join(F.broadcast(pool))  # every reader is offered the whole pool
+    ``pool``: story_id, importance_score, trust_score, primary_source_id and, to be compared with the readers' ``tastes``
+    (user_id, taste), embedding. The pool is a top-k by definition, so it and its topics are small and broadcast; what a
+    reader declared is gathered into one row a reader, and the pool is laid beside that row last, so that the product of
+    readers and pool is never shuffled."""
+    topics = story_topics.join(F.broadcast(pool.select("story_id")), "story_id", "left_semi")
     touched = interests.join(F.broadcast(topics.withColumnRenamed("weight", "confidence")), "topic_id")
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     liked = touched.groupBy("user_id", "story_id").agg(
         F.max(clamp(F.col("weight")) * clamp(F.col("confidence"))).alias("best"), F.count(F.lit(1)).alias("matches"),
     )
-    unwanted = muted.join(F.broadcast(topics), "topic_id").select("user_id", "story_id").distinct()
-    favourite = favourites.select("user_id", F.col("source_id").alias("primary_source_id"), F.lit(True).alias("favourite"))
-    known = seen.join(F.broadcast(pool.select("story_id")), "story_id", "left_semi").select("user_id", "story_id", F.lit(True).alias("seen")).distinct()
-    joined = pairs.join(unwanted, ["user_id", "story_id"], "left_anti").join(liked, ["user_id", "story_id"], "left").join(known, ["user_id", "story_id"], "left").join(favourite, ["user_id", "primary_source_id"], "left")
-    interest = F.when(F.col("matches").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("best") + F.least(F.lit(0.2), (F.col("matches") - 1) * 0.07)) * 100)
-    taste = F.greatest(F.lit(0.0), F.col("taste_similarity")) * 100 if "taste_similarity" in pool.columns else F.lit(0.0)
-    is_favourite = F.coalesce(F.col("favourite"), F.lit(False))
+    interest = F.least(F.lit(1.0), F.col("best") + F.least(F.lit(0.2), (F.col("matches") - 1) * 0.07)) * 100
+    liked = liked.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("story_id", interest))).alias("liked"))
+    per = lambda df, key, name: df.groupBy("user_id").agg(F.collect_set(key).alias(name))
+    in_pool = F.broadcast(pool.select("story_id"))
+    own = readers.select("user_id").join(liked, "user_id", "left").join(per(muted.join(F.broadcast(topics), "topic_id"), "story_id", "unwanted"), "user_id", "left")
+    own = own.join(per(seen.join(in_pool, "story_id", "left_semi"), "story_id", "seen_ids"), "user_id", "left")
+    in_sources = F.broadcast(pool.select(F.col("primary_source_id").alias("source_id")).distinct())
+    own = own.join(per(favourites.join(in_sources, "source_id", "left_semi"), "source_id", "favourite_ids"), "user_id", "left")
+    if tastes is not None:
+        own = own.join(tastes.select("user_id", "taste"), "user_id", "left")
+    holds = lambda a, x: F.coalesce(F.array_contains(a, F.col(x)), F.lit(False))
+    scored = own.join(F.broadcast(pool)).filter(~holds("unwanted", "story_id"))  # every reader is offered the whole pool
+    scored = scored.withColumns({"interest": F.coalesce(F.try_element_at("liked", F.col("story_id")), F.lit(0.0)), "favourite": holds("favourite_ids", "primary_source_id"), "seen": holds("seen_ids", "story_id")})
+    taste = F.greatest(F.lit(0.0), cosine(F.col("taste"), F.col("embedding"))) * 100 if tastes is not None else F.lit(0.0)
+    is_favourite = F.col("favourite")
     raw = 0.45 * F.col("importance_score") + 0.35 * F.col("interest") + 0.12 * taste + 0.08 * F.when(is_favourite, 100.0).otherwise(0.0)
     raw = F.when(F.col("seen"), raw * 0.25).otherwise(raw)
     reason = (
         F.when((F.col("interest") >= 60), "İlgi alanlarınla doğrudan ilgili.").when(is_favourite, "Takip ettiğin kaynaktan.").when(F.col("importance_score") >= 85, "Bugünün en büyük gelişmelerinden.")
         .when(F.col("trust_score") >= 85, "Birden fazla resmi kaynak doğruladı.").when(F.col("interest") > 0, "İlgi alanlarınla kısmen örtüşüyor.").otherwise("Alanında öne çıkan gelişme.")
     )
-    scored = joined.withColumn("interest", interest)
     return scored.select("user_id", "story_id", "category", "reading_minutes", (F.rint(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)) * 10_000) / 10_000).alias("score"), reason.alias("reason"))
 
 

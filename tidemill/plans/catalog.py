@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, discovery, news, streams
+from . import corpus, discovery, news, newsroom, streams
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**news.QUERIES, **discovery.QUERIES, **corpus.QUERIES, **streams.QUERIES}
+    return {**news.QUERIES, **discovery.QUERIES, **corpus.QUERIES, **newsroom.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**news.SQL, **discovery.SQL, **corpus.SQL, **streams.SQL}
+    return {**news.SQL, **discovery.SQL, **corpus.SQL, **newsroom.SQL, **streams.SQL}

@@ -74,27 +74,27 @@ def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COS = "COALESCE(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 0.0)"
-_NEAR = f"near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS.format(a='v.embedding', b='q.embedding')} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format(a='v.embedding', b='q.embedding')} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)"
+_NEAR = f"near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS.format(a='v.embedding', b='q.embedding')} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format(a='v.embedding', b='q.embedding')} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)"
 
 
-def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     v = T.table(spark, sf_dir, "embeddings")
-    return search.nearest(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+    return search.nearest(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
 
 
 @R.add(f"WITH {_NEAR} SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM near WHERE rank <= 5")
 def nearest_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, 5).withColumn("similarity", F.round("similarity", 6))
+    return near(spark, sf_dir, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add(f"""{sql_with('stories')}, {_NEAR}, f AS (SELECT near.*, published_at FROM near JOIN stories ON story_id = id WHERE rank <= {search.FETCHED} AND published_at >= TIMESTAMP '{STORY_NOW}' - INTERVAL 1500 DAY)
 SELECT query_id, id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM f QUALIFY place <= {search.KEPT}""")
 def answer_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = at(STORY_NOW) - F.make_dt_interval(days=F.lit(1500))
-    return search.passages(_near(spark, sf_dir, search.FETCHED), T.stories(spark, sf_dir), since).select("query_id", "id", "rank", "place")
+    return search.passages(near(spark, sf_dir, search.FETCHED), T.stories(spark, sf_dir), since).select("query_id", "id", "rank", "place")
 
 
-_OVERLAP = f"""{news._TOPICS}, own AS (SELECT story_id AS query_id, topic_id FROM story_topics WHERE story_id % 2000 = 0),
+_OVERLAP = f"""{news._TOPICS}, own AS (SELECT story_id AS query_id, topic_id FROM story_topics WHERE story_id % 50 = 0),
 shared AS (SELECT query_id, story_id AS id, count(*) AS shared FROM story_topics JOIN own USING (topic_id) WHERE story_id <> query_id GROUP BY ALL),
 ranked AS (SELECT query_id, id, shared, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, importance DESC, id) AS INTEGER) AS rank FROM shared JOIN stories ON stories.story_id = id)"""
 
@@ -102,7 +102,7 @@ ranked AS (SELECT query_id, id, shared, CAST(row_number() OVER (PARTITION BY que
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.stories(spark, sf_dir)
     topics = stories.topics(T.story_members(spark, sf_dir))
-    return search.topic_overlap(topics, s.filter("story_id % 2000 = 0").select(F.col("story_id").alias("query_id")), s.select("story_id", F.col("importance").alias("importance_score")))
+    return search.topic_overlap(topics, s.filter("story_id % 50 = 0").select(F.col("story_id").alias("query_id")), s.select("story_id", F.col("importance").alias("importance_score")))
 
 
 @R.add(f"{sql_with('story_members', 'stories')}, {_OVERLAP} SELECT query_id, rank, id, shared FROM ranked WHERE rank <= 5")
@@ -110,9 +110,9 @@ def topic_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir)
 
 
-@R.add(f"{sql_with('story_members', 'stories')}, {_OVERLAP}, {_NEAR}, n AS (SELECT query_id, id FROM near WHERE rank <= 5 AND query_id % 4000 = 0) SELECT query_id, id FROM n UNION ALL SELECT query_id, id FROM ranked WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM n)")
+@R.add(f"{sql_with('story_members', 'stories')}, {_OVERLAP}, {_NEAR}, n AS (SELECT query_id, id FROM near WHERE rank <= 5) SELECT query_id, id FROM n UNION ALL SELECT query_id, id FROM ranked WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM n)")
 def related_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.related(_near(spark, sf_dir, 5).filter("query_id % 4000 = 0"), _overlap(spark, sf_dir))
+    return search.related(near(spark, sf_dir, 5), _overlap(spark, sf_dir))
 
 
 TERMS = [("widgets", "widget"), ("widgets", "ring"), ("colours", "red"), ("colours", "blue bolt"), ("brands", "brand 17"), ("sizes", "economy"), ("sizes", "x"), ("brands", "brand 2")]

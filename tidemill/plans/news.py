@@ -23,11 +23,11 @@ _HOURS = f"(epoch_us(TIMESTAMP '{STORY_NOW}') - epoch_us(published_at)) / 3.6e9"
 _WHOLE = "CAST(round_even(least(greatest({}, 0.0), 100.0), 0) AS INTEGER)"
 _PARTS = f"""parts AS (SELECT *, CASE WHEN official_source_count <= 0 THEN {_WHOLE.format('least(greatest(max_trust_weight, 0.0), 1.0) * 60')} ELSE {_WHOLE.format('70.0 + least(30, (official_source_count - 1) * 10)')} END AS official,
     CASE WHEN distinct_source_count <= 0 THEN 0 ELSE {_WHOLE.format('least(1.0, log2(1.0 + distinct_source_count) / log2(9.0)) * 100')} END AS corroboration,
-    CASE WHEN {_HOURS} <= 6 THEN 100 ELSE {_WHOLE.format(f'greatest(20.0, 100 * pow(0.5::DOUBLE, {_HOURS} / 72))')} END AS recency, 60 AS technical,
+    CASE WHEN {_HOURS} <= 6 THEN 100 ELSE {_WHOLE.format(f'greatest(20.0, 100 * pow(0.5::DOUBLE, {_HOURS} / 72))')} END AS recency, {_WHOLE.format('COALESCE(CASE WHEN story_id % 4 > 0 THEN importance / 100 END, 0.6::DOUBLE) * 100')} AS technical,
     CASE WHEN engagement <= 0 THEN 35 ELSE {_WHOLE.format('least(1.0, log10(1.0 + engagement) / log10(1001.0)) * 100')} END AS community FROM counted)"""
 _TOTAL = f"trusted AS (SELECT *, {_WHOLE.format('0.30::DOUBLE * official + 0.25::DOUBLE * corroboration + 0.20::DOUBLE * technical + 0.15::DOUBLE * community + 0.10::DOUBLE * recency')} AS trust_score FROM parts)"
 _FACTOR = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in scoring.MULTIPLIER.items()) + f" ELSE {scoring.OTHER_MULTIPLIER}::DOUBLE END"
-_IMPORTANCE = f"""scored AS (SELECT *, {_WHOLE.format(f'''(17.5::DOUBLE + 0.20::DOUBLE * (least(1.0, log2(1.0 + distinct_source_count + official_source_count) / log2(11.0)) * 100) + 15.0::DOUBLE * pow(0.5::DOUBLE, greatest(0.0, {_HOURS}) / 24)
+_IMPORTANCE = f"""scored AS (SELECT *, {_WHOLE.format(f'''(35::DOUBLE * CASE WHEN story_id % 5 > 0 THEN least(greatest(0.3::DOUBLE + 0.1::DOUBLE * distinct_source_count, 0.3), 0.8) ELSE 0.5::DOUBLE END + 0.20::DOUBLE * (least(1.0, log2(1.0 + distinct_source_count + official_source_count) / log2(11.0)) * 100) + 15.0::DOUBLE * pow(0.5::DOUBLE, greatest(0.0, {_HOURS}) / 24)
     + 0.15::DOUBLE * trust_score + 0.15::DOUBLE * CASE WHEN engagement <= 0 THEN 25.0 ELSE least(1.0, log10(1.0 + engagement) / log10(1501.0)) * 100 END) * {_FACTOR}''')} AS importance_score FROM trusted)"""
 SCORED = ",\n".join([sql_with("sources", "story_members", "stories"), _AGG, _COUNTED, _PARTS, _TOTAL, _IMPORTANCE])
 _PRIMARY = "primaries AS (SELECT story_id, source_id AS primary_source_id, position FROM story_members LEFT JOIN sources USING (source_id) QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY NOT COALESCE(is_official, false), published_at, position, source_id) = 1)"
@@ -36,7 +36,8 @@ _TOPICS = "story_topics AS (SELECT story_id, topic_id, max(weight) AS weight FRO
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = stories.aggregates(T.story_members(spark, sf_dir), T.sources(spark, sf_dir)).drop("first_published_at", "last_activity_at")
-    return T.stories(spark, sf_dir).join(agg, "story_id")
+    known = T.stories(spark, sf_dir).withColumn("technical_accuracy", F.when(F.col("story_id") % 4 > 0, F.col("importance") / 100))
+    return known.join(agg, "story_id").withColumn("estimated_importance", F.when(F.col("story_id") % 5 > 0, text.importance_estimate(F.col("distinct_source_count"))))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +121,13 @@ readers AS (SELECT DISTINCT user_id FROM interactions),
 liked AS (SELECT user_id, story_id, max(least(greatest(i.weight, 0.0), 1.0) * least(greatest(t.weight, 0.0), 1.0)) AS best, count(*) AS matches FROM interests i JOIN story_topics t USING (topic_id) JOIN pool USING (story_id) GROUP BY ALL),
 unwanted AS (SELECT DISTINCT user_id, story_id FROM muted JOIN story_topics USING (topic_id) JOIN pool USING (story_id)),
 known AS (SELECT DISTINCT user_id, story_id FROM interactions WHERE kind <> 'Impression'),
-j AS (SELECT r.user_id, p.*, CASE WHEN matches IS NULL THEN 0.0 ELSE least(1.0, best + least(0.2::DOUBLE, (matches - 1) * 0.07::DOUBLE)) * 100 END AS interest, f.user_id IS NOT NULL AS favourite, k.user_id IS NOT NULL AS seen
+opens AS (SELECT DISTINCT user_id, story_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at DESC, story_id DESC) AS k FROM interactions WHERE kind IN ('Open', 'ReadComplete')) WHERE k <= 40),
+means AS (SELECT user_id, i, CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS m FROM (SELECT user_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM opens JOIN embeddings ON vec_id = story_id) GROUP BY ALL),
+tastes AS (SELECT user_id, CAST(list(m ORDER BY i) AS DOUBLE[]) AS taste FROM means GROUP BY user_id),
+j AS (SELECT r.user_id, p.*, CASE WHEN matches IS NULL THEN 0.0 ELSE least(1.0, best + least(0.2::DOUBLE, (matches - 1) * 0.07::DOUBLE)) * 100 END AS interest, f.user_id IS NOT NULL AS favourite, k.user_id IS NOT NULL AS seen, CASE WHEN taste IS NOT NULL AND e.embedding IS NOT NULL THEN greatest(COALESCE(list_cosine_similarity(taste, CAST(e.embedding AS DOUBLE[])), 0.0), 0.0) ELSE 0.0 END AS similarity
     FROM readers r CROSS JOIN pool p LEFT JOIN liked l ON l.user_id = r.user_id AND l.story_id = p.story_id LEFT JOIN favourites f ON f.user_id = r.user_id AND f.source_id = p.primary_source_id
-    LEFT JOIN known k ON k.user_id = r.user_id AND k.story_id = p.story_id WHERE NOT EXISTS (FROM unwanted u WHERE u.user_id = r.user_id AND u.story_id = p.story_id)),
-personal AS (SELECT user_id, story_id, category, reading_minutes, round_even(least(greatest((0.45::DOUBLE * importance_score + 0.35::DOUBLE * interest + 0.12::DOUBLE * 0.0 + 0.08::DOUBLE * CASE WHEN favourite THEN 100.0 ELSE 0.0 END) * CASE WHEN seen THEN 0.25::DOUBLE ELSE 1 END, 0.0), 100.0), 4) AS score,
+    LEFT JOIN known k ON k.user_id = r.user_id AND k.story_id = p.story_id LEFT JOIN tastes ON tastes.user_id = r.user_id LEFT JOIN embeddings e ON e.vec_id = p.story_id % 500 WHERE NOT EXISTS (FROM unwanted u WHERE u.user_id = r.user_id AND u.story_id = p.story_id)),
+personal AS (SELECT user_id, story_id, category, reading_minutes, round_even(least(greatest((0.45::DOUBLE * importance_score + 0.35::DOUBLE * interest + 0.12::DOUBLE * similarity * 100 + 0.08::DOUBLE * CASE WHEN favourite THEN 100.0 ELSE 0.0 END) * CASE WHEN seen THEN 0.25::DOUBLE ELSE 1 END, 0.0), 100.0), 4) AS score,
     CASE WHEN interest >= 60 THEN 'İlgi alanlarınla doğrudan ilgili.' WHEN favourite THEN 'Takip ettiğin kaynaktan.' WHEN importance_score >= 85 THEN 'Bugünün en büyük gelişmelerinden.' WHEN trust_score >= 85 THEN 'Birden fazla resmi kaynak doğruladı.' WHEN interest > 0 THEN 'İlgi alanlarınla kısmen örtüşüyor.' ELSE 'Alanında öne çıkan gelişme.' END AS reason FROM j)"""
 
 
@@ -132,7 +136,9 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     primaries = stories.primary(members, T.sources(spark, sf_dir)).drop("position")
     pool = scored(spark, sf_dir).filter("status = 'Published'").join(primaries, "story_id").orderBy(F.desc("importance_score"), F.desc("published_at"), "story_id").limit(POOL)
     pool = pool.select("story_id", "category", "importance_score", "trust_score", "primary_source_id", (F.col("engagement") % 9 + 1).cast("int").alias("reading_minutes"))
-    return scoring.personal(pool, i.select("user_id").distinct(), stories.topics(members), T.interests(spark, sf_dir), T.muted(spark, sf_dir), T.favourites(spark, sf_dir), readers.seen(i))
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_id"), "embedding")
+    pool = pool.withColumn("_v", F.col("story_id") % 500).join(e.withColumnRenamed("story_id", "_v"), "_v", "left").drop("_v")
+    return scoring.personal(pool, i.select("user_id").distinct(), stories.topics(members), T.interests(spark, sf_dir), T.muted(spark, sf_dir), T.favourites(spark, sf_dir), readers.seen(i), readers.taste(i, e))
 
 
 @R.add(f"{_PERSONAL}\nSELECT user_id, story_id, score, reason FROM personal")
@@ -223,11 +229,11 @@ def story_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""{sql_with('sources', 'story_members', 'stories')},\n{_PRIMARY},
-n AS (SELECT m.story_id, list(COALESCE(s.name, 'Bilinmeyen kaynak') ORDER BY m.position <> p.position, m.published_at, m.position, m.source_id) AS source_names FROM story_members m LEFT JOIN (FROM sources WHERE source_id % 10 <> 3) s USING (source_id) LEFT JOIN primaries p USING (story_id) GROUP BY m.story_id)
+n AS (SELECT m.story_id, list(COALESCE(s.name, 'Bilinmeyen kaynak') ORDER BY m.position <> p.position, m.published_at, m.position, m.source_id) AS source_names FROM story_members m LEFT JOIN sources s USING (source_id) LEFT JOIN primaries p USING (story_id) GROUP BY m.story_id)
 SELECT stories.story_id, published_at, source_names FROM stories LEFT JOIN n USING (story_id)""")
 def story_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, s = T.story_members(spark, sf_dir), T.sources(spark, sf_dir)
-    return stories.details(T.stories(spark, sf_dir).select("story_id", "published_at"), m, s.filter("source_id % 10 <> 3"), stories.primary(m, s))
+    return stories.details(T.stories(spark, sf_dir).select("story_id", "published_at"), m, s, stories.primary(m, s))
 
 
 @R.add(f"""{sql_with('stories', 'interactions')}

@@ -61,7 +61,7 @@ def interests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def muted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = interactions(spark, sf_dir).filter("kind = 'Mute' AND story_id % 9 = 0")
+    i = interactions(spark, sf_dir).filter("kind = 'Mute'")
     return i.select("user_id", (F.col("story_id") % TOPICS).alias("topic_id")).distinct()
 
 
@@ -83,7 +83,7 @@ SQL = {
     "stories": f"stories AS (SELECT o_orderkey AS story_id, o_orderpriority AS topic, o_orderdate AS published_at, CASE WHEN o_orderstatus = 'P' THEN 'Draft' ELSE 'Published' END AS status, [{', '.join(repr(c) for c in CATEGORIES)}][o_orderkey % {len(CATEGORIES)} + 1] AS category, CAST(floor(o_totalprice % 101) AS INTEGER) AS importance FROM orders)",
     "interactions": "interactions AS (SELECT user_id, event_id AS story_id, CASE event_type WHEN 'view' THEN 'Open' WHEN 'click' THEN 'ReadComplete' WHEN 'purchase' THEN 'Bookmark' WHEN 'signup' THEN 'Impression' ELSE 'Mute' END AS kind, ts AS occurred_at, value FROM events)",
     "interests": f"interests AS (SELECT user_id, story_id % {TOPICS} AS topic_id, max(least(value / 20, 1.0)) AS weight FROM interactions WHERE kind = 'Bookmark' GROUP BY ALL)",
-    "muted": f"muted AS (SELECT DISTINCT user_id, story_id % {TOPICS} AS topic_id FROM interactions WHERE kind = 'Mute' AND story_id % 9 = 0)",
+    "muted": f"muted AS (SELECT DISTINCT user_id, story_id % {TOPICS} AS topic_id FROM interactions WHERE kind = 'Mute')",
     "favourites": "favourites AS (SELECT DISTINCT user_id, story_id % 10 AS source_id FROM interactions WHERE kind = 'Impression')",
     "articles": f"articles AS (SELECT doc_id AS article_id, source, lang, split_part(text, chr(10), 1) AS title, text AS content, TIMESTAMP '{_ARTICLES_FROM}' + doc_id * INTERVAL 1 MINUTE AS published_at, n_chars FROM documents)",
 }
