@@ -63,8 +63,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     The keys that hold over a 500th of all rows are at most 500 by that definition, so they are broadcast, and no task
     gets all rows of a hot key; the other keys are joined by a shuffle.
     """
-    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
-    bound = max(total // 500, 1000)
+    whole, most = right.agg(F.sum(weight), F.max(weight)).first()
+    bound = max(((whole or 0) if total is None else total) // 500, 1000)
+    if (most or 0) <= bound:
+        return left.join(right.drop(weight), key, how)
     right_cols = [c for c in right.columns if c not in (key, weight)]
     hot = right.filter(F.col(weight) > bound).withColumn("_hot", F.lit(True)).drop(weight)
     cold = right.filter(F.col(weight) <= bound).drop(weight)

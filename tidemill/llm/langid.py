@@ -75,13 +75,16 @@ class Model:
 
 
 def train(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """Fit on (index of the language, n-grams, counts) rows, in this order, every fifth left out for the temperature."""
+    """Fit on (index of the language, n-grams, counts) rows, in this order, every fifth left out for the temperature.
+    Vectors are made when they are needed, so that the rows are held in their small form only."""
     k = len(model.languages)
     z, n, w = np.zeros((k, DIM)), np.zeros((k, DIM)), np.zeros((k, DIM))
-    data = [(y, at, model.vector(at, c)) for y, at, c in rows if len(at)]
+    data = [r for r in rows if len(r[1])]
     fit, rest = [x for i, x in enumerate(data) if i % 5], data[::5]
     for _ in range(EPOCHS):
-        for y, at, x in fit:
+        for y, at, c in fit:
+            at = at.astype(np.int64)
+            x = model.vector(at, c)
             own = w[:, at]
             s = own @ x
             p = np.exp(s - s.max())
@@ -94,7 +97,7 @@ def train(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model
             z[:, at], n[:, at] = new_z, after
             w[:, at] = np.where(np.abs(new_z) <= L1, 0.0, -(new_z - np.sign(new_z) * L1) / ((BETA + np.sqrt(after)) / ALPHA + L2))
     model.weights = w
-    scores = [(y, w[:, at] @ x) for y, at, x in rest or data]
+    scores = [(y, w[:, at.astype(np.int64)] @ model.vector(at, c)) for y, at, c in rest or data]
     if scores:
         ys, s = np.array([y for y, _ in scores]), np.array([s for _, s in scores])
 
@@ -114,7 +117,7 @@ def _features(df: DataFrame) -> DataFrame:
         for b in batches:
             found = [counts(t) for t in b.column(1).to_pylist()]
             at = [a.astype(np.uint16).tobytes() for a, _ in found]
-            n = [np.minimum(c, 0xFFFFFFFF).astype(np.uint32).tobytes() for _, c in found]
+            n = [np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() for _, c in found]  # its logarithm counts
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "place", "at", "n"])
 
     return df.mapInArrow(work, "lang string, place long, at binary, n binary")
@@ -153,9 +156,10 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id") -> Model
         share = F.when(F.col("lang") == lang, min(1.0, rows / len(sizes) / n)).otherwise(share)
     near = known.filter(F.abs(F.col("place") % 1_000_003) / 1_000_003.0 < share)
     index = {x: i for i, x in enumerate(model.languages)}
-    got = _features(near.select("lang", "text", "place")).collect()
-    got.sort(key=lambda r: (r["place"], r["lang"], bytes(r["at"]), bytes(r["n"])))
-    return train(model, [(index[r["lang"]], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32)) for r in got])
+    got = _features(near.select("lang", "text", "place")).toArrow()
+    small = sorted(zip(got["place"].to_pylist(), got["lang"].to_pylist(), got["at"].to_pylist(), got["n"].to_pylist(), strict=True))
+    del got
+    return train(model, [(index[lang], np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint16)) for _, lang, at, n in small])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

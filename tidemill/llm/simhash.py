@@ -314,8 +314,9 @@ def _rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 #: Texts whose shingles are counted to put the frequent ones last; most shingles that are kept as frequent.
 COUNTED, FREQUENT = 8192, 1 << 18
-#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket.
-SKETCH, TOGETHER, PREFIXES = 512, 4096, 1 << 20
+#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
+#: that are compared with another one in one group.
+SKETCH, TOGETHER, PREFIXES, PARTNERS = 512, 4096, 1 << 20, 256
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -515,30 +516,51 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFra
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Sketches that differ
-    in more places than the sets may rule a pair out, the whole sets decide on the others."""
+    in more places than the sets may rule a pair out. For the others, each set is made of one of its texts again and sent,
+    once, to each group in which it is compared; a group is one set with some of its partners. Shingles are told by 48 bits."""
     about = nodes.select("node", "m", "sketch")
     both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "sketch": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "sketch": "y"}).hint("shuffle_hash"), "b")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(SKETCH // 64)), F.lit(0))
     pairs = stored(both.filter(apart <= (1 - least) / (1 + least) * (F.col("ma") + F.col("mb")) + 1e-9).select("a", "b"), "pairs")
-    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least"), "node"), "ends")
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    maybe, _ = sieve(read, "id", ends.select(F.col("least").alias("id")))
-    asked = maybe.join(ends.select(F.col("least").alias("id")).distinct().hint("shuffle_hash"), "id").select("t")
-    if not ends.filter("least IS NULL").isEmpty():
-        asked = asked.unionByName(read.filter("id IS NULL").select("t"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"))
+    goes = dealt.select(F.col("a").alias("node"), F.struct("g", F.lit(True).alias("first")).alias("to")).unionByName(dealt.select(F.col("b").alias("node"), F.struct("g", F.lit(False).alias("first")).alias("to")))
+    ends = stored(goes.groupBy("node").agg(F.collect_set("to").alias("to")).join(nodes.select("node", "rep.id", "rep.text_hash"), "node"), "ends")
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    maybe, rest = sieve(read, "id", ends.select("id"))
+    once = lambda df: df.groupBy("id", "text_hash").agg(F.first("t").alias("t"))
+    asked = once(maybe).join(ends.hint("shuffle_hash"), ["id", "text_hash"]).select("t", "node", "to")
+    if not ends.filter("id IS NULL").isEmpty():
+        asked = asked.unionByName(once(rest.filter("id IS NULL")).drop("id").join(ends.filter("id IS NULL").drop("id"), "text_hash").select("t", "node", "to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
-            node = np.fromiter((xxhash.xxh64_intdigest(u.tobytes()) for u in sets), np.uint64, len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["node", "s"])
-
-    # an id may be on several texts, so sets are told by their own hash
-    texts = asked.mapInArrow(work, "node long, s array<long>").join(ends.select("node").hint("shuffle_hash"), "node", "left_semi")
-    sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingle-sets")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}).hint("shuffle_hash"), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}).hint("shuffle_hash"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.filter(shared + 1e-9 >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                rows = []
+                for t, node, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    u = np.unique(shingle_hashes(t, words))
+                    if xxhash.xxh64_intdigest(u.tobytes()) == node % (1 << BITS):
+                        short = u >> np.uint64(16)
+                        own = put(np.diff(short, prepend=np.uint64(0)), np.uint64)
+                        rows += [(x["g"], x["first"], node, own) for x in to]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["g", "first", "node", "s"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        rows = {(f, n): np.cumsum(get(s, np.uint64)) for f, n, s in zip(t["first"].to_pylist(), t["node"].to_pylist(), t["s"].to_pylist(), strict=True)}
+        ((a, x),) = [(n, s) for (f, n), s in rows.items() if f]
+        good = []
+        for (f, b), y in rows.items():
+            if not f:
+                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+                shared = int((x[at] == y).sum()) if len(x) else 0
+                if shared + 1e-9 >= least * (len(x) + len(y) - shared):
+                    good.append(b)
+        return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
+
+    sent = asked.mapInArrow(work, "g long, first boolean, node long, s binary")
+    return stored(sent.groupBy("g").applyInArrow(compare, "a long, b long"), "links")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -550,7 +572,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. All pairs between the components so far that share such a shingle are checked.
     """
     own = stored(_sets(docs, id_col, text_col, words), "sets")
-    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("m", "sketch"))), "nodes")
+    rep = F.min(F.struct(F.col("id").isNull().alias("_z"), "id", "text_hash")).alias("rep")
+    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep, *(F.first(c).alias(c) for c in ("m", "sketch"))), "nodes")
     *frequent, sampled = frequent_shingles(docs, text_col, words)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     shared = stored(shared_shingles(docs, text_col, words, least, tuple(frequent), max(1, sampled), n, size), "shared")
