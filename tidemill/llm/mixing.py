@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words. A document's expected copies are its source's target over the source's
-words: the whole part is taken for certain, and the fractional part is the inclusion probability pi of one more copy. The
-extra copies are an order sample: documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (pi / (1 - pi)),
-and the first ones are taken until the source's target is met, so the sample has a fixed size in words. An optional
-weight column makes the probabilities unequal inside a source.
-
-DataFrame operations only. A source may hold any share of the rows: ranks are cut into slices by value, words are summed
-by slice before anything is ordered, and only the slice in which the target falls is ordered.
+Each source gets a target number of words. Its whole multiple of the source's words is taken of every document for
+certain; the words that are left are the size of a sample in which a document is included with probability pi, one more
+copy of it. Probabilities are unequal: pi is min(1, level * merit), where merit is a small whole number that grows with a
+document's size (or a given weight) and the source's level makes the words of all pi sum to the sample's size. Documents
+with pi of 1 are certain copies, set apart; the others are an order sample: they are ranked by random odds over inclusion
+odds, (u / (1 - u)) / (pi / (1 - pi)), and the first ones are taken until the sample is full, so it has a fixed size.
+
+DataFrame operations only. A source may hold any share of the rows: words are summed by source and merit, ranks are cut
+into slices by value, as many as the source has rows for, and only the slice in which the sample ends is ordered.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, word_count
 
-#: Slices of a source's ranks.
-SLICES = 4096
+#: Slices of a source's ranks at least, and rows of a slice on average, above which it has more.
+SLICES, SLICE_ROWS = 4096, 4096
+#: A document's merit: one, and one more for each of these sizes that it reaches.
+MERIT_SIZES = (100, 400, 1600)
 _RANGE = 1 << 48
 
 
@@ -54,27 +57,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("source", "source_size", F.when(capped, F.lit(float(most)) * F.col("source_size")).otherwise(F.col("shared") * F.col("w")).alias("target"))
 
 
+def levels(by_merit: DataFrame) -> DataFrame:
+    """(_source, _level) from (_source, _merit, _words, _rest): pi = min(1, _level * _merit) gives words of _rest in all. The
+    greatest merits reach 1 first, so sums along that order give the level without iteration."""
+    order = Window.partitionBy("_source").orderBy(F.desc("_merit"))
+    before = F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum(F.col("_words") * F.col("_merit")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.when(after > 0, (F.col("_rest") - before) / after).otherwise(0.0)
+    free = by_merit.withColumn("_level", level).filter(F.col("_level") * F.col("_merit") <= 1)
+    return free.groupBy("_source").agg(F.max(F.struct("_merit", "_level"))["_level"].alias("_level"))
+
+
 def _ranks(sized: DataFrame, seed: str) -> DataFrame:
-    """``_rank``: random odds over inclusion odds, as a number in (0, 1)."""
-    pi = F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0)
-    pi = F.when(F.col("_weight").isNull(), pi).otherwise(F.least(pi * F.col("_weight"), F.lit(0.999999)))
+    """``_rank``: random odds over inclusion odds, as a number from 0 (certain) to 1 (never)."""
+    pi = F.least(F.coalesce(F.col("_level"), F.lit(1.0)) * F.col("_merit"), F.lit(1.0))
     u = uniform(F.lit(seed), F.col("_id"))
     odds = (u / (1 - u)) * (1 - pi) / F.greatest(pi, F.lit(1e-12))
     return sized.withColumn("_rank", odds / (1 + odds))
 
 
 def source_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
-    """For (``_id``, ``_source``, ``_size``, ``_weight``): one row for each source with its target, whole copies and
+    """For (``_id``, ``_source``, ``_size``, ``_merit``): one row for each source with its target, whole copies, level and
     the last rank (``_last``: rank, id) that gets one more copy, null where none does."""
-    src = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    by_merit = stored(sized.groupBy("_source", "_merit").agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_rows")), "merits")  # a few rows for each source
+    src = by_merit.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.greatest(F.lit(SLICES), F.ceil(F.sum("_rows") / SLICE_ROWS)).alias("_slices"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = targets(src.withColumnRenamed("_source", "source"), weights, share, most).withColumnRenamed("source", "_source").withColumn("_whole", whole)
-    goal = stored(goal.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")), "targets")
-    ranked = _ranks(_with(sized, goal), seed).withColumn("_slice", F.floor(F.col("_rank") * SLICES).cast("int"))
+    goal = goal.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    goal = _with(goal, src.select("_source", "_slices"))
+    goal = stored(_with(goal, levels(_with(by_merit, goal.select("_source", "_rest")))), "targets")
+    ranked = _ranks(_with(sized, goal), seed).withColumn("_slice", F.floor(F.col("_rank") * F.col("_slices")).cast("int"))
     slices = ranked.groupBy("_source", "_slice", "_rest").agg(F.sum("_size").alias("_words"))
     run = slices.withColumn("_to", F.sum("_words").over(Window.partitionBy("_source").orderBy("_slice")))
     run = run.withColumn("_from", F.col("_to") - F.col("_words"))
-    # the slice in which the target falls; the last slice of all where every document fits
+    # the slice in which the sample ends; the last slice of all where every document fits
     cut = run.groupBy("_source").agg(
         F.coalesce(F.min(F.when(F.col("_to") > F.col("_rest"), F.struct("_slice", "_from"))), F.max(F.struct("_slice", "_from"))).alias("_cut")
     )
@@ -85,7 +101,7 @@ def source_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most:
     taken = edge.filter(F.col("_before") + F.col("_size") / 2 <= F.col("_rest")).groupBy("_source").agg(F.max(F.struct("_rank", "_id")).alias("_last"))
     # where not even the first document of that slice fits, all earlier slices are taken still
     plan = _with(_with(goal, cut), taken)
-    return stored(plan.select("_source", "source_size", "target", "_whole", "_rest", F.col("_cut_slice"), F.col("_last._rank").alias("_last_rank"), F.col("_last._id").alias("_last_id")), "mix-plan")
+    return stored(plan.select("_source", "source_size", "target", "_whole", "_rest", "_slices", "_level", F.col("_cut_slice"), F.col("_last._rank").alias("_last_rank"), F.col("_last._id").alias("_last_id")), "mix-plan")
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -100,17 +116,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     (words the mix takes, ``size * copies``) added; columns of these names in ``docs`` are replaced.
 
     A null text has size 0, a null source is a source of its own, last in order. Documents of size 0 take 0 words. Rows
-    with the same id share their rank and are taken or left together. ``weight_col``: a positive number for each
-    document that scales its inclusion probability inside its source (null or absent: 1). An empty table gives an empty
-    result. Random numbers depend on ``seed`` and the id, so that reruns agree.
+    with the same id and size share their rank and are taken or left together. ``weight_col``: a positive number for each
+    document in place of its size's merit, rounded to a whole power of the square root of two (null: 1). An empty table
+    gives an empty result. Random numbers depend on ``seed`` and the id, so that reruns agree.
     """
     base = docs.drop("size", "source_size", "target", "copies", "taken")
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(None).cast("double")
-    own = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": word_count(F.col(text_col)), "_weight": weight}
-    sized = stored(base.select(*[c.alias(k) for k, c in own.items()]), "sizes")
+    size = word_count(F.col(text_col))
+    given = F.pow(F.lit(2.0), F.round(2 * F.log2(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)))) / 2) if weight_col else None
+    merit = given if weight_col else sum((F.when(F.col("_size") >= n, 1).otherwise(0) for n in MERIT_SIZES), F.lit(1))
+    own = lambda df: df.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": size}).withColumn("_merit", merit)
+    sized = stored(own(base).select("_id", "_source", "_size", "_merit"), "sizes")
     plan = source_plan(sized, weights, share, most, seed)
-    out = _ranks(_with(base.withColumns(own), plan), seed)
-    at = F.floor(F.col("_rank") * SLICES).cast("int")
+    out = _ranks(_with(own(base), plan), seed)
+    at = F.floor(F.col("_rank") * F.col("_slices")).cast("int")
     earlier = (F.col("_rank") < F.col("_last_rank")) | ((F.col("_rank") == F.col("_last_rank")) & (F.col("_id") <= F.col("_last_id")))
     extra = (F.col("_rest") > 0) & ((at < F.col("_cut_slice")) | F.coalesce(earlier, F.lit(False)))
     copies = F.least(F.col("_whole") + extra.cast("long"), F.lit(most))
@@ -133,9 +151,15 @@ t AS (SELECT source, source_size, CASE WHEN first_free IS NULL OR place < first_
         ELSE max(CASE WHEN place = first_free THEN level END) OVER () * w END AS target FROM f),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 h AS (SELECT *, target - whole * source_size AS rest FROM g),
-r AS (SELECT d.doc_id, d.size, h.source_size, h.target, h.whole, h.rest,
-        (u / (1 - u)) * (1 - rest / source_size) / greatest(rest / source_size, 1e-12) AS odds, d.source
-    FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+e AS (SELECT *, 1 + CASE WHEN size >= 100 THEN 1 ELSE 0 END + CASE WHEN size >= 400 THEN 1 ELSE 0 END + CASE WHEN size >= 1600 THEN 1 ELSE 0 END AS merit FROM d),
+m AS (SELECT source, merit, SUM(size) AS words FROM e GROUP BY ALL),
+v AS (SELECT m.source, merit, (rest - COALESCE(SUM(words) OVER (PARTITION BY m.source ORDER BY merit DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+        NULLIF(SUM(words * merit) OVER (PARTITION BY m.source ORDER BY merit DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+    FROM m JOIN h ON m.source IS NOT DISTINCT FROM h.source),
+lv AS (SELECT source, arg_max(COALESCE(level, 0), merit) AS level FROM v WHERE COALESCE(level, 0) * merit <= 1 GROUP BY source),
+r AS (SELECT e.doc_id, e.size, h.source_size, h.target, h.whole, h.rest, e.source, least(COALESCE(lv.level, 1) * e.merit, 1) AS pi,
+        (u / (1 - u)) * (1 - least(COALESCE(lv.level, 1) * e.merit, 1)) / greatest(least(COALESCE(lv.level, 1) * e.merit, 1), 1e-12) AS odds
+    FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source LEFT JOIN lv ON lv.source IS NOT DISTINCT FROM e.source),
 c AS (SELECT *, COALESCE(SUM(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id NULLS LAST, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
