@@ -4,7 +4,8 @@ Texts longer than ``max_len`` tokens are cut into pieces of that length, so ever
 piece lengths has ``max_len`` rows at most, at any corpus size; dynamic programming over it chooses the ``buckets``
 boundaries with the least padding in total. Inside a bucket pieces are put in random order and cut into batches of
 ``budget // boundary`` rows (one at least). Places inside a bucket come from counts by slice of the random order plus the
-place inside the slice, so no task orders a whole bucket.
+place inside the slice, so no task orders a whole bucket. Pieces that are equal in id, place and length are one row with a
+count until they have their places, so that an id repeated any number of times, or none, fills no slice.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from .common import stored, word_count
 from .mixing import uniform
 
 MAX_LEN, BUCKETS, BUDGET = 2048, 8, 16384
-#: Slices of the random order of a bucket.
-SLICES = 1024
+#: Slices of the random order of a bucket at least, and pieces of a slice on average, above which there are more.
+SLICES, SLICE_ROWS = 1024, 4096
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -58,23 +59,27 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
     pieces = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)).cast("int")
     cut = docs.select(F.col(id_col), n.alias("n")).select(F.col(id_col), "n", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
     length = F.least(F.col("n") - F.col("chunk").cast("long") * max_len, F.lit(max_len)).cast("int")
-    cut = stored(cut.select(F.col(id_col), "chunk", length.alias("n_tokens"), uniform(F.lit(seed), F.col(id_col), F.col("chunk")).alias("u")), "pieces")
+    cut = cut.select(F.col(id_col), "chunk", length.alias("n_tokens")).groupBy(id_col, "chunk", "n_tokens").agg(F.count(F.lit(1)).alias("m"))
+    cut = stored(cut.withColumn("u", uniform(F.lit(seed), F.col(id_col), F.col("chunk"))), "pieces")
 
-    histogram = sorted((r["n_tokens"], r["c"]) for r in cut.filter("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect())  # max_len rows at most
+    histogram = sorted((r["n_tokens"], r["c"]) for r in cut.filter("n_tokens > 0").groupBy("n_tokens").agg(F.sum("m").alias("c")).collect())  # max_len rows at most
+    slices = max(SLICES, sum(c for _, c in histogram) // SLICE_ROWS)
     bounds = best_boundaries(np.array([x for x, _ in histogram], np.int64), np.array([c for _, c in histogram], np.int64), buckets)
     bucket = F.lit(None).cast("int")
     for b in reversed(bounds):
         bucket = F.when((F.col("n_tokens") > 0) & (F.col("n_tokens") <= b), F.lit(b)).otherwise(bucket)
-    placed = cut.withColumn("bucket", bucket).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
-    counts = placed.filter("bucket IS NOT NULL").groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("c"))  # buckets * SLICES rows at most
+    placed = cut.withColumn("bucket", bucket).withColumn("slice", F.floor(F.col("u") * slices).cast("int"))
+    counts = placed.filter("bucket IS NOT NULL").groupBy("bucket", "slice").agg(F.sum("m").alias("c"))  # a row for each bucket and slice
     order = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).drop("c")
     inside = Window.partitionBy("bucket", "slice").orderBy("u", F.col(id_col).asc_nulls_last(), "chunk", "n_tokens")
-    ranked = placed.filter("bucket IS NOT NULL").withColumn("place", F.row_number().over(inside)).join(F.broadcast(before), ["bucket", "slice"])
+    ranked = placed.filter("bucket IS NOT NULL").withColumn("place", F.coalesce(F.sum("m").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(before, ["bucket", "slice"])
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))).cast("long")
-    batch = F.floor((F.col("before") + F.col("place") - 1) / rows).cast("long")
-    out = ranked.select(F.col(id_col), "chunk", "n_tokens", "bucket", batch.alias("batch"))
-    return out.unionByName(placed.filter("bucket IS NULL").select(F.col(id_col), "chunk", "n_tokens", "bucket", F.lit(None).cast("long").alias("batch")))
+    copies = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    batch = F.floor((F.col("before") + F.col("place") + F.col("copy")) / rows).cast("long")
+    out = ranked.withColumn("copy", copies).select(F.col(id_col), "chunk", "n_tokens", "bucket", batch.alias("batch"))
+    empty = placed.filter("bucket IS NULL").withColumn("copy", copies)
+    return out.unionByName(empty.select(F.col(id_col), "chunk", "n_tokens", "bucket", F.lit(None).cast("long").alias("batch")))
 
 
 def oracle() -> str:
