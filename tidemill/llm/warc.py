@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, new_path, stored
+from .common import hot_join, new_path, sieve, stored
 
 #: Payloads shorter than this are always stored in full.
 LEAST_SHARED = 100
@@ -141,7 +141,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     shared = base.filter(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
-    typed = hot_join(base, stored(shared, "shared-payloads"), "digest", "n")
+    shared = stored(shared, "shared-payloads")
+    maybe, alone = sieve(base, "digest", shared)  # payloads that stand alone are not shuffled
+    typed = hot_join(maybe, shared, "digest", "n").unionByName(alone.withColumn("first", F.lit(None).cast("long")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = typed.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
 
