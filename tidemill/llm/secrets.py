@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -27,6 +29,8 @@ HEX_LONG = r"[0-9a-f]{32,}"
 ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Matches whose places are summed together.
+CHUNK = 256
 #: Bits a character in a window of 20, by character class.
 HEX_BITS, ALNUM_BITS, SYMBOL_BITS = 3.15, 3.75, 3.85
 #: Candidates that are never secrets; whole matches.
@@ -45,15 +49,22 @@ def spans(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(pieces.alias("p"), found.alias("m"))
     empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    width = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["p"])
-        to = at + F.coalesce(F.length(x["m"]), F.lit(0))
+        to = acc["at"] + width(x)
         one = F.array(F.struct(at.alias("start"), to.alias("end"), x["m"].alias("s")))
         return F.struct(to.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def walked(chunks: Column) -> Column:
+        """Arrays grow by copies, so places are summed inside chunks, and over the chunks."""
+        total = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + width(x)))
+        begin = F.aggregate(total, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(begin, 1, F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
+
+    cut = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / CHUNK).cast("int")), lambda k: F.slice(b, k * CHUNK + 1, CHUNK))
+    return F.when(text.rlike(pattern), let(let(both, cut), walked)).otherwise(empty)
 
 
 def _clogc(c: Column) -> Column:
@@ -118,17 +129,18 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     """``docs`` with every span of a secret in the text replaced by ``mask``; overlapping spans become one. Texts without
     secrets, null included, stay as they are."""
     text = F.col(text_col)
-    done = F.aggregate(
-        "secrets",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"),
-                x["end"].alias("at"),
-            )
-        ),
-    )
-    masked = F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+    reach = F.aggregate(  # overlapping spans as one, (from, to), in order
+        "secrets", F.array().cast("array<struct<a:int,z:int>>"),
+        lambda out, x: F.when((F.size(out) > 0) & (x["start"] < F.element_at(out, -1)["z"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["z"], x["end"]).alias("z")))))
+        .otherwise(F.concat(out, F.array(F.struct(x["start"].alias("a"), x["end"].alias("z"))))),
+    )
+    def between(r: Column) -> Column:
+        """The pieces of the text around the spans, one more than these."""
+        begin = lambda i: F.when(i > 0, F.element_at(r, F.greatest(i, F.lit(1)))["z"]).otherwise(0)
+        end = lambda i: F.when(i < F.size(r), F.element_at(r, F.least(i + 1, F.size(r)))["a"]).otherwise(F.length(text))
+        return F.transform(F.sequence(F.lit(0), F.size(r)), lambda i: F.substr(text, begin(i) + 1, end(i) - begin(i)))
+
+    masked = F.array_join(let(reach, between), mask)
     kept = [c for c in docs.columns if c != "secrets"]
     return scan(docs.select(*kept), text_col).withColumn(text_col, F.when(F.size("secrets") > 0, masked).otherwise(text)).select(*kept)
 
