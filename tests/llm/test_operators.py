@@ -459,10 +459,8 @@ def plain_licences(text, model):
     index = {g: i for i, g in enumerate(model.grams)}
     for at, part in enumerate(re.split(licenses.BREAK, (text or "").lower())):
         t = re.findall(licenses.TOKEN, part)
-        if not set(t) & set(model.cues):
-            continue
         grams = {" ".join(t[i : i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1)}
-        z = np.array(model.bias) + sum((np.array(model.weights[index[g]]) for g in grams if g in index), np.zeros(len(model.bias))) / math.sqrt(len(grams))
+        z = np.array(model.bias) + sum((np.array(model.weights[index[g]]) for g in grams if g in index), np.zeros(len(model.bias))) / math.sqrt(max(1, len(grams)))
         k = int(z.argmax())
         p = 1 / np.exp((z - z[k]) / model.temperature).sum()
         if model.families[k] == licenses.UNKNOWN or p < licenses.LEAST_SCORE:

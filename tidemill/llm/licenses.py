@@ -8,14 +8,16 @@ the training leaves out calibrates it. A predicted family counts as found if LEA
 sequences are in that family's notices.
 
 Scanning uses DataFrame expressions only: the model is sparse, its words and weights are constants of the plan, and no
-row is shuffled. Paragraphs without a cue word are ``unknown`` beforehand: a cue is, for each sequence that speaks for a
-family, its rarest word, so that what such paragraphs hold speaks against every family.
+row is shuffled. Paragraphs without a cue word are ``unknown`` beforehand. A cue is, for each sequence that weighs more for
+some family than for ``unknown``, its rarest word. So in a paragraph without cues no sequence weighs more for a family, and
+as ``train`` gives ``unknown`` the greatest bias (else every word is a cue), no family can win there.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 BREAK = r"[\r\n]+|(?<=[.!?])\s+"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: Most paragraphs of the corpus that the model is fitted on, as examples of the unknown class; most words of one.
-BACKGROUND, BACKGROUND_WORDS = 2000, 200
+#: Paragraphs of the corpus that the model is fitted on, about, as examples of the unknown class.
+BACKGROUND = 2000
+#: Slots of the table in which a sequence is looked up by its hash.
+SLOTS = 8192
 L1, STEPS = 2e-5, 80
 #: Sequences of these words alone are no features.
 STOP = set("a above all also an and any are as at be but by can do for from has have if in is it its may more must new no non not of on or our shall so that the their these they this those to use was we will with without you your".split())
@@ -110,7 +114,7 @@ class Model:
     weights: list[list[float]]  # by gram, then by family
     bias: list[float]
     temperature: float
-    cues: list[str]
+    cues: list[str] | None  # None: every paragraph is classified
     templates: list[list[str]]  # three-word sequences by family
 
 
@@ -161,15 +165,19 @@ def train(rows: list[tuple[str, list[str]]], templates: dict[str, list[str]], se
     seen = np.bincount(np.concatenate([[at[g] for g in own if g in at] for f, own in rows if f == UNKNOWN] or [[]]).astype(int), minlength=len(grams))
     speaks = np.flatnonzero((w[:, :-1] > w[:, -1:]).any(axis=1))
     cues = sorted({min((t for t in grams[g].split() if t not in STOP), key=lambda t: (seen[at[t]], t)) for g in speaks})
+    if b[-1] <= b[:-1].max():
+        cues = None
     kept = np.flatnonzero((w != 0).any(axis=1))
     return Model(families, [grams[g] for g in kept], np.round(w[kept].astype(float), 5).tolist(), np.round(b.astype(float), 5).tolist(), temperature, cues, [templates.get(f, []) for f in families])
 
 
 def background(docs: DataFrame, text_col: str = "text", most: int = BACKGROUND) -> DataFrame:
-    """``most`` distinct paragraphs, those with the smallest hashes, of a part of the documents that a hash chooses."""
+    """About ``most`` distinct paragraphs, chosen by their hashes, of a part of the documents that a hash chooses."""
     n = docs.count()
     some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(max(1, n // (2 * most)))) == 0)
-    return some.select(F.explode(F.split(F.lower(text_col), BREAK)).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(most)
+    cut = some.select(F.explode(F.split(F.lower(text_col), BREAK)).alias("p"))
+    every = max(1, cut.agg(F.approx_count_distinct("p")).first()[0] // most)
+    return cut.filter(F.pmod(F.xxhash64("p", F.lit("background")), F.lit(every)) == 0).distinct()
 
 
 def fit(docs: DataFrame, text_col: str = "text", most: int = BACKGROUND) -> Model:
@@ -178,7 +186,7 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = BACKGROUND) -> Mode
     known = notices()
     given = spark.createDataFrame([*known, *((UNKNOWN, s) for s in OTHERS)], "family string, p string").withColumn("p", F.lower("p"))
     both = given.unionByName(background(docs, text_col, most).select(F.lit(None).cast("string").alias("family"), "p"))
-    made = both.select("family", F.slice(_tokens(F.col("p")), 1, BACKGROUND_WORDS).alias("t")).select("family", _grams(F.col("t")).alias("g"), _trigrams(F.col("t")).alias("s"))
+    made = both.select("family", _tokens(F.col("p")).alias("t")).select("family", _grams(F.col("t")).alias("g"), _trigrams(F.col("t")).alias("s"))
     rows = sorted(((r["family"], r["g"], r["s"]) for r in made.collect()), key=lambda r: (r[0] or "", r[1]))  # notices and ``most`` rows
     templates: dict[str, set[str]] = {}
     for f, _, s in rows:
@@ -192,13 +200,19 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = BACKGROUND) -> Mode
 def found_in(text: Column, model: Model) -> Column:
     """array<struct<at, family, score, confirmed>> of the paragraphs (numbered from 0) for which a family is predicted."""
     constant = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)
-    grams, weights, bias = constant(model.grams, "array<string>"), constant(model.weights, "array<array<double>>"), constant(model.bias, "array<double>")
-    families, templates, cues = constant(model.families, "array<string>"), constant(model.templates, "array<array<string>>"), constant(model.cues, "array<string>")
+    bias = constant(model.bias, "array<double>")
+    families, templates = constant(model.families, "array<string>"), constant(model.templates, "array<array<string>>")
+    table: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for g, w in zip(model.grams, model.weights, strict=True):
+        table[zlib.crc32(g.encode()) % SLOTS].append({"g": g, "w": w})
+    slots = constant(table, "array<array<struct<g:string,w:array<double>>>>")
+    own = lambda g: F.filter(F.element_at(slots, (F.crc32(g.cast("binary")) % SLOTS + 1).cast("int")), lambda e: e["g"] == g)
+    weighed = lambda gs: F.flatten(F.transform(gs, own))
     struct = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
     cut = F.transform(F.split(F.lower(text), BREAK), lambda p, i: struct(at=i, t=_tokens(p)))
-    cued = F.filter(cut, lambda x: F.arrays_overlap(x["t"], cues))
-    sparse = F.transform(F.transform(cued, lambda x: struct(at=x["at"], t=x["t"], g=_grams(x["t"]))), lambda x: struct(at=x["at"], t=x["t"], one=1 / F.sqrt(F.size(x["g"])), g=F.array_intersect(x["g"], grams)))
-    added = lambda x: F.aggregate(x["g"], bias, lambda a, g: F.zip_with(a, F.element_at(weights, F.array_position(grams, g).cast("int")), lambda p, q: p + q * x["one"]))
+    cued = cut if model.cues is None else F.filter(cut, lambda x: F.exists(x["t"], lambda w: w.isin(model.cues)))  # a hash lookup
+    sparse = F.transform(F.transform(cued, lambda x: struct(at=x["at"], t=x["t"], g=_grams(x["t"]))), lambda x: struct(at=x["at"], t=x["t"], one=1 / F.sqrt(F.size(x["g"])), g=weighed(x["g"])))
+    added = lambda x: F.aggregate(x["g"], bias, lambda a, g: F.zip_with(a, g["w"], lambda p, q: p + q * x["one"]))
     scored = F.transform(F.transform(sparse, lambda x: struct(at=x["at"], t=x["t"], z=added(x))), lambda x: struct(at=x["at"], t=x["t"], z=x["z"], top=F.array_max(x["z"])))
     total = lambda x: F.aggregate(x["z"], F.lit(0.0), lambda a, v: a + F.exp((v - x["top"]) / model.temperature))
     best = F.transform(scored, lambda x: struct(at=x["at"], t=x["t"], k=F.array_position(x["z"], x["top"]).cast("int"), score=1 / total(x)))
