@@ -440,15 +440,49 @@ def test_audio_alignment(spark):
 
 
 def test_integral_image():
-    frames = np.abs(np.random.default_rng(0).standard_normal((40, 12)))
-    total = np.zeros((41, 13))
-    total[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
+    """All 16 filters, by sums over their rectangles."""
+    frames = np.abs(np.random.default_rng(0).standard_normal((2, 40, 12)))
     got = chroma.integers(frames).view(np.uint32)
-    kind, p, high, wide = chroma.FILTERS[0]
-    a = frames[5 : 5 + wide, p : p + high].sum()
-    b = frames[5 : 5 + wide].sum() - a
-    level = int(np.digitize(np.log((1 + a) / (1 + b)), (-chroma.STEP, 0, chroma.STEP)))
-    assert int(got[5] >> np.uint32(30)) == [0, 1, 3, 2][level]
+    for place in (0, 5, 24):
+        bits = 0
+        for kind, p, high, wide in chroma.FILTERS:
+            area = lambda t0, t1, p0, p1: frames[1, place + t0 : place + t1, p0:p1].sum()  # noqa: B023, E731
+            q, half, mid, third, low = p + high, wide // 2, p + high // 2, max(1, wide // 3), p + max(1, high // 3)
+            own = area(0, wide, p, q)
+            a, b = [
+                (own, area(0, wide, 0, 12) - own), (area(0, wide, mid, q), area(0, wide, p, mid)), (area(half, wide, p, q), area(0, half, p, q)),
+                (area(0, half, mid, q) + area(half, wide, p, mid), area(0, half, p, mid) + area(half, wide, mid, q)),
+                (area(third, wide - third, p, q), area(0, third, p, q) + area(wide - third, wide, p, q)), (area(0, wide, low, q - 1), area(0, wide, p, low) + area(0, wide, q - 1, q)),
+            ][kind]
+            bits = bits << 2 | [0, 1, 3, 2][int(np.digitize(np.log((1 + a) / (1 + b)), (-chroma.STEP, 0, chroma.STEP)))]
+        assert int(got[1, place]) == bits
+
+
+def test_wav_widths():
+    x = np.array([-1.0, -0.5, 0.0, 0.5])
+    for width in (1, 2, 3, 4):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            full = np.rint(x * 2 ** (8 * width - 1)).astype(np.int64)
+            w.writeframes((full + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in full))
+        got, rate = chroma.decode_wav(out.getvalue())
+        assert rate == 8000 and np.allclose(got, x, atol=1e-9)
+
+
+def test_audio_takes_odd_rows(spark):
+    """No rows, null and repeated ids, null media, ties of the best match, other columns."""
+    schema = "vec_id long, embedding array<float>, n int, fp string, class_id int, asks string"
+    notes = lambda seed: (np.random.default_rng(seed).integers(-12, 12, 64) / 40).tolist()
+    rows = [(50, notes(1)), (51, notes(1)[:60] + notes(2)[:4]), (52, notes(1)[:60] + notes(3)[:4]), (53, None), (None, notes(1)), (50, notes(1)), (54, []), (100, [None] * 64), (150, [float("nan")] * 64)]
+    got = chroma.recordings(spark.createDataFrame([(*r, 1, "f", 2, "a") for r in rows], schema)).collect()
+    assert Counter(r["vec_id"] for r in got) == Counter(r[0] for r in rows)
+    of = {r["vec_id"]: r for r in got}
+    assert of[None]["class_id"] == 50 and of[50]["n_matches"] == 2 and of[50]["best_match"] in (51, 52) and of[53]["n_ints"] == 0
+    assert of[50]["bit_error"] == min(r for r in (of[50]["bit_error"],)) and of[51]["n_matches"] is None
+    assert chroma.recordings(spark.createDataFrame([], schema)).count() == 0
 
 
 def plain_licences(text, model):
@@ -484,9 +518,8 @@ def test_licences_against_loops(spark):
 
 
 def plain_alignment(q, c):
-    """Commonest offset of shared run starts, and the error there."""
-    starts = lambda p: [(int(v), i) for i, v in enumerate(p) if i == 0 or p[i - 1] != v]
-    shared = Counter(j - i for v, i in starts(q) for w, j in starts(c) if v == w)
+    """Commonest offset of shared integers over all places, and the error there."""
+    shared = Counter(j - i for i, v in enumerate(q) for j, w in enumerate(c) if v == w)
     if not shared:
         return None
     offset = max(shared, key=lambda o: (shared[o], -abs(o), o))
@@ -505,9 +538,12 @@ def test_alignments_against_loops():
         flips = rng.random(len(p)) < 0.6
         p = np.where(flips, p ^ (1 << rng.integers(0, 31, len(p))).astype(np.int32), p)
         prints.append(np.repeat(p, 1 + k % 2).astype(np.int32))
-    i, j, offset, error = chroma.alignments(prints[:35], prints)
+    prints += [np.full(70, 5, np.int32), np.full(40, 5, np.int32), np.concatenate((np.full(30, 5), base[0][:20])).astype(np.int32), np.empty(0, np.int32)]  # held notes
+    asks = [*range(35), 40, 41, 42, 43]
+    i, j, offset, error = chroma.alignments([prints[a] for a in asks], prints)
+    i = np.array(asks)[i]
     got = {(a, b): (o, pytest.approx(e)) for a, b, o, e in zip(i.tolist(), j.tolist(), offset.tolist(), error.tolist(), strict=True)}
-    expected = {(a, b): x for a in range(35) for b in range(40) if (x := plain_alignment(prints[a], prints[b]))}
+    expected = {(a, b): x for a in asks for b in range(44) if (x := plain_alignment(prints[a], prints[b]))}
     assert expected == got and len(expected) > 35
     assert chroma.alignments([], prints)[0].size == 0 == chroma.alignments(prints, [])[0].size
 

@@ -28,14 +28,18 @@ LOW_HZ, HIGH_HZ = 60.0, 3520.0
 STEP = 0.08
 #: Places that have to overlap, and most bits that may differ, of a confirmed alignment.
 OVERLAP, BIT_ERROR = 24, 0.2
+#: Frames that are transformed at once.
+AT_ONCE_FRAMES = 2048
 #: (kind, first pitch class, pitch classes, frames) of the filters: six kinds in turn over growing widths.
 FILTERS = [(n % 6, (5 * n) % 9, 3 + n % 2, 4 + 4 * (n % 4)) for n in range(16)]
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1 to 1 and their rate, of 8-, 16- or 32-bit PCM."""
+    """Mono samples in -1 to 1 and their rate, of 8-, 16-, 24- or 32-bit PCM."""
     with wave.open(io.BytesIO(data)) as w:
         raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+    if width == 3:  # as the upper bytes of 32 bits
+        raw, width = np.pad(np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes(), 4
     kinds = {1: (np.uint8, 128.0, 128.0), 2: (np.dtype("<i2"), 0.0, 32768.0), 4: (np.dtype("<i4"), 0.0, 2147483648.0)}
     kind, zero, scale = kinds[width]
     x = (np.frombuffer(raw, kind).astype(np.float64) - zero) / scale
@@ -43,38 +47,40 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames by twelve pitch classes, each frame of length one (zero where silent)."""
+    """Frames by twelve pitch classes of recordings of one length (rows), each frame of length one (zero where silent)."""
     size, hop = int(FRAME_S * rate), int(HOP_S * rate)
-    if len(samples) < size or not hop:
-        return np.zeros((0, 12))
+    if samples.shape[1] < size or not hop:
+        return np.zeros((len(samples), 0, 12))
     hz = np.fft.rfftfreq(size, 1 / rate)
     heard = np.flatnonzero((hz >= LOW_HZ) & (hz <= HIGH_HZ))
     pitch = np.mod(np.rint(12 * np.log2(hz[heard] / 440.0)).astype(int), 12)
     to_class = np.zeros((len(heard), 12))
     to_class[np.arange(len(heard)), pitch] = 1
-    window, out = np.hanning(size), []
-    frames = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
-    for i in range(0, len(frames), 1024):  # bounded memory for long recordings
-        spectrum = np.fft.rfft(frames[i : i + 1024] * window, axis=1)[:, heard]
-        out.append((spectrum.real**2 + spectrum.imag**2) @ to_class)
-    c = np.sqrt(np.concatenate(out))
-    norm = np.linalg.norm(c, axis=1, keepdims=True)
+    window = np.hanning(size)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, size, axis=1)[:, ::hop]
+    c = np.empty((*frames.shape[:2], 12))
+    some = max(1, AT_ONCE_FRAMES // frames.shape[1])
+    for i in range(0, len(samples), some):  # bounded memory for many and for long recordings
+        for j in range(0, frames.shape[1], AT_ONCE_FRAMES):
+            spectrum = np.fft.rfft(frames[i : i + some, j : j + AT_ONCE_FRAMES] * window, axis=2)[..., heard]
+            c[i : i + some, j : j + AT_ONCE_FRAMES] = np.sqrt((spectrum.real**2 + spectrum.imag**2) @ to_class)
+    norm = np.linalg.norm(c, axis=2, keepdims=True)
     return np.where(norm > 1e-6, c / np.maximum(norm, 1e-6), 0.0)
 
 
 def integers(frames: np.ndarray) -> np.ndarray:
-    """One 32-bit integer (signed) for each place at which SPAN frames fit."""
-    n = len(frames) - SPAN + 1
+    """One 32-bit integer (signed) for each recording (row) and each place at which SPAN frames fit."""
+    n = frames.shape[1] - SPAN + 1
     if n < 1:
-        return np.empty(0, np.int32)
-    total = np.zeros((len(frames) + 1, 13))
-    total[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
+        return np.empty((len(frames), 0), np.int32)
+    total = np.zeros((len(frames), frames.shape[1] + 1, 13))
+    total[:, 1:, 1:] = frames.cumsum(axis=1).cumsum(axis=2)
     at = np.arange(n)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return total[at + t1, p1] - total[at + t0, p1] - total[at + t1, p0] + total[at + t0, p0]
+        return total[:, at + t1, p1] - total[:, at + t0, p1] - total[:, at + t1, p0] + total[:, at + t0, p0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((len(frames), n), np.uint32)
     for kind, p, high, wide in FILTERS:
         q, half, mid, third, low = p + high, wide // 2, p + high // 2, max(1, wide // 3), p + max(1, high // 3)
         everything = area(0, wide, p, q)
@@ -99,24 +105,34 @@ def integers(frames: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+def prints(recordings: list[tuple[np.ndarray, int] | None]) -> list[np.ndarray]:
+    """Fingerprints of (samples, rate); those of one length and rate are made together."""
+    out = [np.empty(0, np.int32)] * len(recordings)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, r in enumerate(recordings):
+        if r is not None:
+            alike.setdefault((len(r[0]), r[1]), []).append(i)
+    for (_, rate), places in alike.items():
+        for i, own in zip(places, integers(chroma(np.stack([recordings[i][0] for i in places]), rate)), strict=True):
+            out[i] = own
+    return out
+
+
 def fingerprints(df: DataFrame, id_col: str, media_col: str, read: Callable[[object], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
     """(``id_col``, fp array<int>) for each row; ``read`` turns a value into samples and rate (by default from WAV).
     Null, unreadable, silent-short or empty media have an empty fingerprint. Repeated rows stay."""
 
-    def one(x: object) -> list[int]:
-        if x is None:
-            return []
+    def heard(x: object) -> tuple[np.ndarray, int] | None:
         try:
-            samples, rate = read(x)
+            return None if x is None else read(x)
         except (wave.Error, EOFError, ValueError, KeyError):
-            return []
-        return integers(chroma(samples, rate)).tolist()
+            return None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(x) for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "fp"])
+            for i in range(0, whole.num_rows, 64):
+                b = whole.slice(i, 64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints([heard(x) for x in b.column(1).to_pylist()]), pa.list_(pa.int32()))], ["id", "fp"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("m")).mapInArrow(work, f"id {kind}, fp array<int>").withColumnRenamed("id", id_col)
@@ -126,30 +142,38 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, read: Callable[[obj
 BLOCK, SET, AT_ONCE = 4096, 2048, 32
 
 
-def _starts(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value, recording and place of each run of equal integers: a run says no more than its start."""
+def _runs(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, recording, first place and length of each run of equal integers."""
     first = [np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.empty(0, np.int64) for p in prints]
     value = np.concatenate([np.empty(0, np.int32), *(p[f] for p, f in zip(prints, first, strict=True))])
-    return value, np.repeat(np.arange(len(prints)), [len(f) for f in first]), np.concatenate([np.empty(0, np.int64), *first])
+    length = np.concatenate([np.empty(0, np.int64), *(np.diff(np.append(f, len(p))) for p, f in zip(prints, first, strict=True) if len(p))])
+    return value, np.repeat(np.arange(len(prints)), [len(f) for f in first]), np.concatenate([np.empty(0, np.int64), *first]), length
 
 
 def alignments(queries: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, offset, bit error) of the confirmed pairs: those that share two integers or more at their commonest
-    offset (of equals the nearest to zero, then the larger), overlap there in OVERLAP places and differ in BIT_ERROR of
-    the bits or fewer."""
+    """(query, other, offset, bit error) of the confirmed pairs: those that share integers at two places or more at their
+    commonest offset (of equals the nearest to zero, then the larger), overlap there in OVERLAP places and differ in
+    BIT_ERROR of the bits or fewer. Every place counts: a run of equal integers against a run adds to each offset at which
+    they overlap the number of places in which they do."""
     out: list[tuple[int, int, int, float]] = []
-    value, owner, place = _starts(others)
+    value, owner, place, length = _runs(others)
     order = np.argsort(value, kind="stable")
-    value, owner, place = value[order], owner[order], place[order]
+    value, owner, place, length = value[order], owner[order], place[order], length[order]
     for at in range(0, len(queries), AT_ONCE):
-        v, q, t = _starts(queries[at : at + AT_ONCE])
+        v, q, t, n_q = _runs(queries[at : at + AT_ONCE])
         low, high = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
         n = high - low
         hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair = np.repeat(q, n) * len(others) + owner[hit]
-        offset = place[hit] - np.repeat(t, n)
+        pair, t, n_q = np.repeat(q, n) * len(others) + owner[hit], np.repeat(t, n), np.repeat(n_q, n)
+        wide = n_q + length[hit] - 1  # offsets at which the runs overlap
+        step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        each = lambda x: np.repeat(x, wide)  # noqa: B023, E731
+        offset = each(place[hit] - t - n_q + 1) + step
+        places = np.minimum(np.minimum(step + 1, each(wide) - step), np.minimum(each(n_q), each(length[hit])))
+        pair = each(pair)
         far = 2 * int(np.abs(offset).max(initial=0)) + 1
-        key, shared = np.unique(pair * far + offset + far // 2, return_counts=True)
+        key, where = np.unique(pair * far + offset + far // 2, return_inverse=True)
+        shared = np.bincount(where, weights=places, minlength=len(key)).astype(np.int64)
         pair, offset = key // far, key % far - far // 2
         several = shared > 1
         pair, offset, shared = pair[several], offset[several], shared[several]
