@@ -331,7 +331,7 @@ def test_nearest_against_all_pairs(spark):
     centres = rng.standard_normal((12, 16))
     x = centres[rng.integers(0, 12, 3000)] + 0.4 * rng.standard_normal((3000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(3000, None), (3020, [0.0] * 16), (3040, [float("nan")] * 16), (3060, [None] * 16), (3080, [1.0]), (None, [1.0] * 16)]
+    bad = [(3000, None), (3020, [0.0] * 16), (3040, [float("nan")] * 16), (3060, [None] * 16), (3081, [1.0]), (None, [1.0] * 16)]
     got = ann.search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")).toPandas()
     assert got["query_id"].nunique() == 150 and got["vec_id"].max() < 3000
     hit = 0
@@ -347,6 +347,27 @@ def test_nearest_against_all_pairs(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 3, 0.5), (2, 4, 0.5)]
 
 
+def test_parts_that_are_cut_again(spark):
+    """Two levels of parts, a crowd of equal vectors, two widths, and columns with the names of the result."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 12))[rng.integers(0, 40, 2400)] + 0.3 * rng.standard_normal((2400, 12))
+    x[::3] = x[0]
+    rows = [(i, v.tolist(), 1, 2.0) for i, v in enumerate(x)] + [(i, [1.0, i / 100], 1, 2.0) for i in range(3000, 3100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    assert len(ann.fit_index(df.filter("vec_id < 3000").selectExpr("vec_id AS id", "embedding AS v"), 2400, 20, 8, 100).below) > 1
+    got = ann.search(df, most_parts=8, crowded=100).toPandas()
+    hit = 0
+    for q, g in got[got.query_id < 3000].groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hit += (np.sort(s)[::-1][:20] <= g.sort_values("rank")["score"].to_numpy() + 1e-9).sum()
+    assert got["query_id"].nunique() == 125 and hit / (120 * 20) >= 0.9
+    of = got[got.query_id == 3020].sort_values("rank")
+    assert of["vec_id"].tolist() == [i for i in range(3099, 3078, -1) if i != 3020][:20]
+    router = ann.fit_index(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS v"), 2000, 20).top
+    assert len(router.b2) == 32 and router.probes <= 25  # random vectors: hard to route
+
+
 def test_shelves_hold_whole_parts():
     size = np.array([5000, 3000, 200, 20_000, 10, 8000])
     assert ann.shelves(size).tolist() == [0, 0, 1, 2, 3, 3]

@@ -1,20 +1,25 @@
 """Approximate nearest neighbours over learned partitions.
 
 Fitting uses a sample of SAMPLE vectors: its neighbour graph is cut into balanced parts (spectral bisection, then moves
-that keep the parts' sizes), and a small network learns, from a vector, in which parts its neighbours are. Every vector
-is indexed in the part the network finds most probable; a query goes to the most probable parts, as many as reach
-RECALL on held-out sample vectors, and the vectors there are ranked by their exact inner product. Neighbouring parts
-share a shelf of about BLOCK rows, which a query visits once for all its parts on it; a part larger than that is a shelf
-of many blocks, so that a part that holds most of the rows is many tasks.
+that keep the parts' sizes), and a small network learns, from a vector, in which parts its neighbours are. A part with
+more than CROWDED rows is cut again in the same way, from a sample of its own rows and with a network of its own, so that
+parts grow with the table (fitted in a task for each such part). Every vector is indexed in the part the networks find
+most probable; a query goes to the most probable parts, as many as reach RECALL on held-out sample vectors, and the
+vectors there are ranked by their exact inner product. Neighbouring parts share a shelf of about BLOCK rows, which a query
+visits once for all its parts on it; a part larger than that is a shelf of many blocks, so that a part that holds most of
+the rows is many tasks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, NEIGHBOURS, HIDDEN = 8192, 10, 128
-#: Vectors in a part at least, on average, and most parts.
-PART_ROWS, MOST_PARTS = 400, 128
-RECALL = 0.97
+#: Vectors in a part at least, on average; most parts that one network tells apart; vectors of a part that is cut again.
+PART_ROWS, MOST_PARTS, CROWDED = 50, 128, 8192
+#: Part of the neighbours of held-out vectors that the chosen number of parts holds.
+RECALL = 0.92
 #: Rows of a block of candidates, and of queries.
 BLOCK = 8192
 
@@ -129,7 +135,7 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 30) -> Router:
     return Router(*p)
 
 
-def fit_router(sample: np.ndarray, parts: int, k: int) -> Router:
+def fit_router(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
     """Parts, network and number of probes from the sample; every tenth vector only measures recall."""
     d = sample.shape[1]
     if parts == 1 or len(sample) < 4 * parts:
@@ -145,10 +151,95 @@ def fit_router(sample: np.ndarray, parts: int, k: int) -> Router:
     rank = np.argsort(np.argsort(-router.scores(test), axis=1), axis=1)
     near = np.argpartition(-(test @ x.T), min(k, len(x) - 1), axis=1)[:, :k]
     need = np.sort(rank[np.arange(len(test))[:, None], home[near]].ravel())
-    router.probes = int(need[min(len(need) - 1, math.ceil(RECALL * len(need)))]) + 1
+    router.probes = int(need[min(len(need) - 1, math.ceil(recall * len(need)))]) + 1
     return router
 
 
+@dataclass
+class Index:
+    """A router over parts and, for parts that are cut again, one over their own parts. Leaves are numbered through."""
+
+    top: Router
+    below: dict[int, Router]
+
+    def __post_init__(self) -> None:
+        count = [len(self.below[p].b2) if p in self.below else 1 for p in range(len(self.top.b2))]
+        self.first = np.concatenate(([0], np.cumsum(count)))
+
+    @property
+    def leaves(self) -> int:
+        return int(self.first[-1])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        part = self.top.scores(x).argmax(axis=1)
+        leaf = self.first[part]
+        for p, router in self.below.items():
+            own = np.flatnonzero(part == p)
+            if len(own):
+                leaf[own] += router.scores(x[own]).argmax(axis=1)
+        return leaf
+
+    def route(self, x: np.ndarray, size: np.ndarray, k: int) -> list[list[int]]:
+        """Leaves for each vector; more than the usual number of parts where these hold ``k`` others too few."""
+        order = np.argsort(-self.top.scores(x), axis=1)
+        below = {p: np.argsort(-r.scores(x), axis=1)[:, : r.probes] for p, r in self.below.items()}
+        out = []
+        for i, parts in enumerate(order):
+            leaves, held = [], 0
+            for n, p in enumerate(parts.tolist()):
+                if n >= self.top.probes and held > k:
+                    break
+                own = (self.first[p] + below[p][i]).tolist() if p in below else [int(self.first[p])]
+                leaves += own
+                held += int(size[own].sum())
+            out.append(leaves if held > k else list(range(len(size))))
+        return out
+
+
+def fit_index(vectors: DataFrame, n: int, k: int, most_parts: int = MOST_PARTS, crowded: int = CROWDED) -> Index:
+    """An index of ``n`` rows (id, v) of one width."""
+    parts = 1 << max(0, min(int(math.log2(most_parts)), int(math.log2(max(1, n / PART_ROWS)))))
+    sample = np.stack(_sampled(vectors, n).select("v").toPandas()["v"]).astype(np.float64)
+    if n <= crowded:
+        return Index(fit_router(sample, parts, k), {})
+    each = math.sqrt(RECALL)  # of both levels together RECALL
+    top = fit_router(sample, parts, k, each)
+    placed = vectors.mapInArrow(_placed(Index(top, {})), "id long, v array<double>, part int")
+    size = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > crowded}  # one row for each part
+    if not size:
+        return Index(top, {})
+    share = F.lit(0.0)
+    for p, m in size.items():
+        share = F.when(F.col("part") == p, min(1.0, SAMPLE / m)).otherwise(share)
+    some = placed.filter(F.pmod(F.xxhash64("id", "v", F.lit("below")), F.lit(1_000_003)) / 1_000_003.0 < share)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.stack(rows.sort_values("id")["v"]).astype(np.float64)
+        cut = 1 << max(1, min(int(math.log2(most_parts)), math.ceil(math.log2(size[key[0]] / crowded))))
+        r = fit_router(own, cut, k, each)
+        return pd.DataFrame({"part": [key[0]], "router": [pickle.dumps((r.w1, r.b1, r.w2, r.b2, r.probes))]})
+
+    found = some.groupBy("part").applyInPandas(fit, "part int, router binary").collect()  # a network of bounded size for each part
+    return Index(top, {r["part"]: Router(*pickle.loads(r["router"])) for r in found})
+
+
+def _sampled(vectors: DataFrame, n: int) -> DataFrame:
+    """About SAMPLE rows, chosen by a hash, in the order of it: no more than these are sorted."""
+    h = F.xxhash64("id", "v")
+    return vectors.filter(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < min(1.0, 1.2 * SAMPLE / max(n, 1))).orderBy(h, "id").limit(SAMPLE)
+
+
+def _placed(index: Index):
+    """mapInArrow that adds the leaf of each row (id, v)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.home(_matrix(b.column(1))).astype(np.int32))], ["id", "v", "part"])
+
+    return work
+
+
 def valid(v: Column, width: int | None = None) -> Column:
     """Whether a vector takes part: not null nor zero, no null or non-finite component, of the given width."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -160,31 +251,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, most_parts: int = MOST_PARTS, crowded: int = CROWDED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every``, the ``k`` nearest found among all other rows by
     inner product in double precision, ties to the smaller id; all of them where there are fewer.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or with
-    another width than the commonest (the smaller, of equals). A repeated id is one query, by its smallest vector, and
-    each of its rows is a candidate of the others. An empty table gives an empty result.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id. Vectors of
+    different widths have no inner product, so each width is searched for itself. A repeated id is one query for each of
+    its widths, by its smallest vector, and each of its rows is a candidate of the others. Other columns are not read. An
+    empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v")))
-    widths = own.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width, n = (widths[0]["w"], widths[0]["n"]) if widths else (1, 0)
-    own = own.filter(F.size("v") == width)
-    parts = 1 << max(0, min(int(math.log2(MOST_PARTS)), int(math.log2(max(1, n / PART_ROWS)))))
-    sample = own.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").toPandas() if parts > 1 else None
-    router = fit_router(np.stack(sample["v"]).astype(np.float64), parts, k) if parts > 1 else Router(np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    parts = len(router.b2)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                home = router.scores(_matrix(b.column(1))).argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home)], ["id", "v", "part"])
+    widths = {r["w"]: r["n"] for r in own.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each width
+    found = [_search(own.filter(F.size("v") == w), n, every, k, most_parts, crowded) for w, n in sorted(widths.items()) if n > 1]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
 
-    indexed = stored(own.mapInArrow(assign, "id long, v array<double>, part int"), "indexed")
+def _search(own: DataFrame, n: int, every: int, k: int, most_parts: int, crowded: int) -> DataFrame:
+    index = fit_index(own, n, k, most_parts, crowded)
+    parts = index.leaves
+    indexed = stored(own.mapInArrow(_placed(index), "id long, v array<double>, part int"), "indexed")
     size = np.zeros(parts, np.int64)
     for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each part
         size[r["part"]] = r["n"]
@@ -192,11 +278,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                order = np.argsort(-router.scores(_matrix(b.column(1))), axis=1)
-                enough = (np.cumsum(size[order], axis=1) > k).argmax(axis=1) + 1  # so many hold k others
-                enough = np.where(size[order].sum(axis=1) > k, enough, parts)
-                to = [o[: max(router.probes, e)].tolist() for o, e in zip(order, enough.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "parts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.route(_matrix(b.column(1)), size, k), pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     queries = indexed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     shelf = shelves(size)
@@ -223,13 +305,16 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             qi, ci, cp = q["id"].to_numpy(), c["id"].to_numpy(), c["part"].to_numpy()
             qv, cv = _matrix(q["v"].combine_chunks()), _matrix(c["v"].combine_chunks())
             wanted = q["parts"].combine_chunks()
-            asks = np.zeros((len(qi), parts), bool)
-            asks[np.repeat(np.arange(len(qi)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()] = True
             here = [(p, np.flatnonzero(cp == p)) for p in np.unique(cp).tolist()]
+            asks = np.zeros((len(qi), len(here)), bool)
+            asker, leaf = np.repeat(np.arange(len(qi)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()
+            at = np.minimum(np.searchsorted([p for p, _ in here], leaf), len(here) - 1)
+            stands = np.array([p for p, _ in here])[at] == leaf
+            asks[asker[stands], at[stands]] = True
             for i in range(0, len(qi), 256):
                 s = np.full((len(qi[i : i + 256]), len(ci)), -np.inf)
-                for p, at in here:
-                    rows = np.flatnonzero(asks[i : i + 256, p])
+                for no, (_, at) in enumerate(here):
+                    rows = np.flatnonzero(asks[i : i + 256, no])
                     s[np.ix_(rows, at)] = qv[i + rows] @ cv[at].T
                 s[qi[i : i + 256, None] == ci[None, :]] = -np.inf
                 at = min(k, s.shape[1]) - 1
