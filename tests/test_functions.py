@@ -83,16 +83,15 @@ def test_fnv():
 
 def test_simhash(spark):
     def near(a, b):
-        df = spark.createDataFrame([(a,), (b,)], "t string").select(text.tokenize(text.normalize(F.col("t"))).alias("k")).select(hashing.simhash(text.shingles(F.col("k"))).alias("h"))
+        df = spark.createDataFrame([(a,), (b,)], "t string").select(text.tokenize(text.normalize(F.col("t"))).alias("k")).select(hashing.simhash(F.array_join("k", " ")).alias("h"))
         x, y = (r["h"] for r in df.collect())
         return (np.int64(x).view(np.uint64) ^ np.int64(y).view(np.uint64)).item().bit_count()
 
     a = "OpenAI releases a new model for developers that writes better code and runs faster on cheap hardware"
     assert near(a, a) == 0 and near(a, "Football club wins the national cup after dramatic penalty shootout in the final game") > 20
-    assert hashing._simhash_batch(pd.Series([[], ["x"], None])).tolist()[0] == 0
-    votes = [plain_fnv(s.encode(), 64) for s in ("a b", "b c", "b c")]
-    expected = sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in votes) > 3)
-    assert hashing._simhash_batch(pd.Series([["a b", "b c", "b c"]])).to_numpy().view(np.uint64)[0] == expected
+    assert hashing._simhash_batch(["", "x", None], 2).tolist() == [0, np.uint64(plain_fnv(b"x", 64)).view(np.int64), 0]
+    assert hashing._simhash_batch(["", "a b c b c", ""], 2).view(np.uint64)[1] == sum(1 << i for i in range(64) if 2 * sum(plain_fnv(x, 64) >> i & 1 for x in (b"a b", b"b c", b"c b", b"b c")) > 4)
+    assert hashing._simhash_batch(["a b a b"], 2).view(np.uint64)[0] == sum(1 << i for i in range(64) if 2 * sum(plain_fnv(x, 64) >> i & 1 for x in (b"a b", b"b a", b"a b")) > 3)
 
 
 def test_vectors(spark):
@@ -167,8 +166,35 @@ def test_clusters_are_as_one_pass(spark):
     assert got == dict(zip(whole["article_id"], whole["story_id"], strict=True))
 
 
+def test_clusters_by_vectors_are_as_one_pass(spark):
+    """Several blocks of vectors, null and zero ones, equal texts, two widths."""
+    rng = np.random.default_rng(8)
+    seeds = rng.standard_normal((9, 16))
+    contents = []
+    for i in range(200):
+        k = int(rng.integers(9))
+        v = None if i % 17 == 0 else [0.0] * 16 if i % 23 == 0 else (seeds[k] + 0.3 * rng.standard_normal(16))[: 16 if i % 5 else 8].tolist()
+        contents.append((f"h{i}", 0 if i % 2 else int(rng.integers(1, 2**62)), v))
+    rows = [(i, *contents[int(rng.integers(200))], float(rng.integers(0, 500))) for i in range(260)]
+    df = articles(spark, rows)
+    whole = clustering._assign(df.toPandas())
+    before, clustering.BLOCK = clustering.BLOCK, 40
+    got = {r["article_id"]: (r["story_id"], r["match"]) for r in clustering.cluster(df).collect()}
+    clustering.BLOCK = before
+    assert got == {a: (s, m) for a, s, m in zip(whole["article_id"], whole["story_id"], whole["match"], strict=True)} and (whole["match"] == "Semantic").sum() > 50
+
+
+def test_block_masks_lose_no_pair():
+    rng = np.random.default_rng(0)
+    for n in (10, 10**5, 10**7):
+        masks = [m % (1 << 64) for m in clustering.block_masks(n)]
+        for _ in range(100):
+            apart = sum(1 << int(b) for b in rng.choice(64, hashing.NEAR_BITS, replace=False))
+            assert any(not apart & m for m in masks)
+
+
 def test_semantic_match(spark):
-    df = articles(spark, [(1, "a", 1 << 40, [1.0, 0.9, 0.8, 0.2], 10), (2, "b", (1 << 62) - 1, [0.98, 0.92, 0.79, 0.22], 5)]).withColumn("block", F.lit(0))
+    df = articles(spark, [(1, "a", 1 << 40, [1.0, 0.9, 0.8, 0.2], 10), (2, "b", (1 << 62) - 1, [0.98, 0.92, 0.79, 0.22], 5)])
     assert {r["article_id"]: r["match"] for r in clustering.cluster(df).collect()} == {1: "New", 2: "Semantic"}
 
 

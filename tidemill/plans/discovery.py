@@ -143,10 +143,9 @@ def topic_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with normal form, content hash and SimHash."""
-    a = T.articles(spark, sf_dir).withColumn("normal", text.normalize(F.concat_ws(" ", "title", "content")))
-    a = a.withColumn("tokens", text.tokenize(F.col("normal")))
-    shingles = text.shingles(F.col("tokens"))
-    return a.select("article_id", "source", "published_at", text.content_hash(F.col("normal")).alias("content_hash"), hashing.simhash(shingles).alias("simhash"))
+    made = lambda n: F.struct(text.content_hash(n).alias("content_hash"), F.array_join(text.tokenize(n), " ").alias("words"))
+    a = T.articles(spark, sf_dir).withColumn("h", text.let(text.normalize(F.concat_ws(" ", "title", "content")), made))
+    return a.select("article_id", "source", "published_at", "h.content_hash", hashing.simhash(F.col("h.words")).alias("simhash"))
 
 
 @R.add(f"{sql_with('articles')} SELECT article_id, upper(sha256({norm_sql(chr(39).join(['concat_ws(', ' ', ', title, content)']))})) AS content_hash FROM articles")
@@ -160,14 +159,19 @@ def article_simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(spark, sf_dir).select("article_id", "simhash")
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = T.articles(spark, sf_dir)
+    normal = text.normalize(F.substring(F.concat_ws("\n\n", "title", text.best_text(F.col("content"), F.lit(None).cast("string"), F.col("title"))), 1, 6000))
+    words = text.let(normal, lambda n: F.array_join(text.tokenize(n), " "))
+    return a.select("article_id", hashing.hashed_embedding(words).alias("embedding"))
+
+
 @R.add()
 def article_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster(hashed(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")))
+    """Embeddings are those of ``hashed_embeddings``."""
+    return clustering.cluster(hashed(spark, sf_dir).join(embedded(spark, sf_dir), "article_id"))
 
 
 @R.add()
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = T.articles(spark, sf_dir)
-    normal = text.normalize(F.substring(F.concat_ws("\n\n", "title", text.best_text(F.col("content"), F.lit(None).cast("string"), F.col("title"))), 1, 6000))
-    a = a.select("article_id", normal.alias("normal")).select("article_id", text.tokenize(F.col("normal")).alias("tokens"))
-    return a.select("article_id", hashing.hashed_embedding()(text.shingles(F.col("tokens")), F.col("tokens")).alias("embedding"))
+    return embedded(spark, sf_dir)
