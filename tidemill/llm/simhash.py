@@ -61,6 +61,17 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def wide_fingerprint(distinct: np.ndarray) -> np.ndarray:
+    """WIDE bits of a set of shingles, as signed longs: SimHash over as many hashes of each shingle."""
+    ones, n = np.zeros(WIDE, np.int64), max(1, len(distinct))
+    for i in range(0, len(distinct), 16384):
+        h = distinct[i : i + 16384, None] * _ODD + (distinct[i : i + 16384, None] >> np.uint64(32))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """SimHash of one text, unsigned. Null is as empty; a text without words has 0."""
     return _majority(shingle_hashes(text, words))
@@ -314,9 +325,13 @@ def _rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 #: Texts whose shingles are counted to put the frequent ones last; most shingles that are kept as frequent.
 COUNTED, FREQUENT = 8192, 1 << 18
-#: Bits of a parity sketch. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
+#: Bits of a wide fingerprint, and the most bits in which sets of similarity 0.8 differ: 39 on average with a deviation of
+#: below 6, so that a chance of less than one in 10^11 is left out. Sets with fewer shingles than FEW are not told so.
+WIDE, APART, FEW = 256, 80, 16
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Partners that a set proposes first, the closest by fingerprint. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
 #: that are compared with another one in one group.
-SKETCH, TOGETHER, PREFIXES, PARTNERS = 512, 4096, 1 << 20, 256
+PROPOSED, TOGETHER, PREFIXES, PARTNERS = 8, 4096, 1 << 20, 256
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -349,9 +364,8 @@ def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarra
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text_hash, fp, m, node, sketch) for each row. ``node`` is the hash of the set of distinct shingles, m its size,
-    ``sketch`` the parity of the number of shingles in each of SKETCH classes: where the sketches of two sets differ, the
-    sets do."""
+    """(id, text_hash, fp, m, node, wide) for each row. ``node`` is the hash of the set of distinct shingles, m its size,
+    ``wide`` its wide fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -361,17 +375,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 for t in b.column(2).to_pylist():
                     h = shingle_hashes(t, words)
                     u = np.unique(h)
-                    odd = np.packbits(np.bincount((u % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
-                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), odd))
-                fp, m, node, odd = zip(*rows, strict=True)
+                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), wide_fingerprint(u)))
+                fp, m, node, wide = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(odd, pa.list_(pa.int64()))],
-                    ["id", "text_hash", "fp", "m", "node", "sketch"],
+                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(wide, pa.list_(pa.int64()))],
+                    ["id", "text_hash", "fp", "m", "node", "wide"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, sketch array<long>")
+    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, wide array<long>")
 
 
 def nearest_together(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -400,8 +413,8 @@ _PREFIX = "bucket long, token binary, place binary, owner binary, node binary, m
 
 
 def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray], sampled: int, n: int, size: int) -> DataFrame:
-    """(token, node, m, place, near): the sets that share a shingle of their prefixes with a set of like size; ``near`` is
-    another set with that shingle. Of ``n`` texts with ``size`` bytes.
+    """(token, node, m, place, near, apart): the sets that share a shingle of their prefixes with a set of like size;
+    ``near`` is another set with that shingle, whose fingerprint is ``apart`` bits away. Of ``n`` texts with ``size`` bytes.
 
     Prefixes are shuffled as arrays, by bucket of shingle and with each distinct set of a block of texts once. A shingle is
     told by 48 bits; a false match is one more pair to check. Shingles of a large part of the sample are dealt over
@@ -466,28 +479,32 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
         token, place, node, m, fp = (x[keep] for x in (token, place, node, m, fp))
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
         sizes = np.diff(np.append(starts, len(token)))
-        near = node[nearest_together(starts, sizes, fp)]
-        return pa.table({"token": token.view(np.int64), "node": node.view(np.int64), "m": m, "place": place, "near": near.view(np.int64)})
+        near = nearest_together(starts, sizes, fp)
+        apart = np.bitwise_count(fp ^ fp[near]).astype(np.int32)
+        return pa.table({"token": token.view(np.int64), "node": node.view(np.int64), "m": m, "place": place, "near": node[near].view(np.int64), "apart": apart})
 
     dealt = docs.select(F.col(text_col).alias("t")).mapInArrow(pack, _PREFIX)
-    return dealt.groupBy("bucket").applyInArrow(find, "token long, node long, m long, place int, near long")
+    return dealt.groupBy("bucket").applyInArrow(find, "token long, node long, m long, place int, near long, apart int")
 
 
-def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of ``shared`` in different components that ``least`` does not rule out by the sizes of the
-    sets and by what is left of them after the shared shingle. Sets of a shingle that is in more than TOGETHER of them are
+    sets, by what is left of them after the shared shingle and by their wide fingerprints. Sets of a shingle that is in more than TOGETHER of them are
     dealt into blocks, and each pair of blocks is a group of its own."""
-    rooted = shared.drop("near").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    about = nodes.select("node", "wide").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.select("token", "node", "m", "place").join(about.hint("shuffle_hash"), "node")
     several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("blocks")).filter("x <> y").select("token", "blocks")
     own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
     dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("v")
-    dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"))
+    wide = [F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)]
+    dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"), *wide)
     of_both = least / (1 + least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, m, node, root, place, own, same in _whole_groups(batches):
+        for v, m, node, root, place, own, same, *wide in _whole_groups(batches):
+            wide = np.stack(wide, axis=1).view(np.uint64)
             at, shift, kept, held = np.arange(len(v)), 1, [], 0
             left = m - place
 
@@ -501,7 +518,9 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFra
                 at = at[(v[at] == v[to]) & (m[at] + 1e-9 >= least * m[to])]
                 to = at + shift
                 found = (root[at] != root[to]) & ((own[at] != own[to]) | ((same[at] & same[to]) == 1)) & (np.minimum(left[at], left[to]) + 1e-9 >= of_both * (m[at] + m[to]))
-                x, y = node[at[found]], node[to[found]]
+                x, y = at[found], to[found]
+                close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= APART)
+                x, y = node[x[close]], node[y[close]]
                 kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
                 held += len(x)
                 if held > 1 << 20:
@@ -515,13 +534,13 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFra
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Sketches that differ
-    in more places than the sets may rule a pair out. For the others, each set is made of one of its texts again and sent,
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Wide
+    fingerprints rule most others out. For the rest, each set is made of one of its texts again and sent,
     once, to each group in which it is compared; a group is one set with some of its partners. Shingles are told by 48 bits."""
-    about = nodes.select("node", "m", "sketch")
-    both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "sketch": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "sketch": "y"}).hint("shuffle_hash"), "b")
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    pairs = stored(both.filter(apart <= (1 - least) / (1 + least) * (F.col("ma") + F.col("mb")) + 1e-9).select("a", "b"), "pairs")
+    about = nodes.select("node", "m", "wide")
+    both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "wide": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "wide": "y"}).hint("shuffle_hash"), "b")
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE // 64)), F.lit(0))
+    pairs = stored(both.filter((F.least("ma", "mb") < FEW) | (apart <= APART)).select("a", "b"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"))
     goes = dealt.select(F.col("a").alias("node"), F.struct("g", F.lit(True).alias("first")).alias("to")).unionByName(dealt.select(F.col("b").alias("node"), F.struct("g", F.lit(False).alias("first")).alias("to")))
@@ -568,19 +587,22 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles: ``root`` is equal for sets that links reach, where a link is a similarity of ``least`` or more.
 
     No link is lost: two similar sets share one of the first shingles of each in any common order (a prefix-filter join).
-    1. Sets that share such a shingle each propose the one with the closest fingerprint, which links most near copies.
+    1. Sets that share such a shingle each propose those with the closest fingerprints, which links most near copies.
     2. All pairs between the components so far that share such a shingle are checked.
+    In both steps pairs whose wide SimHash fingerprints are further apart than similar sets can be are left out (see APART).
     """
     own = stored(_sets(docs, id_col, text_col, words), "sets")
     rep = F.min(F.struct(F.col("id").isNull().alias("_z"), "id", "text_hash")).alias("rep")
-    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep, *(F.first(c).alias(c) for c in ("m", "sketch"))), "nodes")
+    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep, *(F.first(c).alias(c) for c in ("m", "wide"))), "nodes")
     *frequent, sampled = frequent_shingles(docs, text_col, words)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     shared = stored(shared_shingles(docs, text_col, words, least, tuple(frequent), max(1, sampled), n, size), "shared")
-    first = stored(shared.filter("node <> near").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "proposed")
+    near = shared.filter("node <> near").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "near"))), 1, PROPOSED).alias("p"))
+    first = near.select("node", F.explode("p.near").alias("near")).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
+    first = stored(first, "proposed")
     check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
     close = check(first)
-    rest = crossing_pairs(shared, connected(close), least).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
+    rest = crossing_pairs(shared, nodes, connected(close), least).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
     links = close.unionByName(check(rest))
     return own.select("id", "text_hash", "fp", "node"), _rooted(nodes.select("node", "least", "n"), links, "node")
 
