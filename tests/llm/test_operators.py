@@ -307,6 +307,75 @@ def test_lm_against_plain_sampler(spark):
     assert all(got[i] == pytest.approx(p, rel=0.15) for i, p in zip(ids, plain, strict=True))
 
 
+def plain_grams(text):
+    """Hashed sequences of one to three characters within words, by loops."""
+    c = [32]
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            c.append(ord(ch))
+        elif len(c) > 1 and c[-1] != 32:
+            c.append(32)
+    if not any(x != 32 for x in c):
+        return Counter()
+    c.append(32)
+    found = Counter()
+    for i in range(len(c)):
+        h = c[i] * 0x9E3779B1 % 2**32
+        found[h >> 17] += 1
+        for n, factor in ((1, 0x85EBCA77), (2, 0xC2B2AE3D)):
+            if i + n < len(c):
+                h = (h ^ c[i + n]) * factor % 2**32
+                found[h >> 17] += 1
+    return found
+
+
+def plain_classifier(rows, idf, k):
+    """Follow-the-regularised-leader, one coordinate at a time, and the best temperature of the grid."""
+    z, n, w = {}, {}, {}
+    vector = lambda g: {a: math.log1p(c) * idf[a] / math.sqrt(sum((math.log1p(m) * idf[b]) ** 2 for b, m in g.items())) for a, c in g.items()}
+    softmax = lambda s: [math.exp(v - max(s)) / sum(math.exp(u - max(s)) for u in s) for v in s]
+    for _ in range(langid.EPOCHS):
+        for i, (y, g) in enumerate(rows):
+            if i % 5 == 0:
+                continue
+            x = vector(g)
+            p = softmax([sum(w.get((j, a), 0.0) * v for a, v in x.items()) for j in range(k)])
+            for j in range(k):
+                for a, v in x.items():
+                    gradient, key = (p[j] - (j == y)) * v, (j, a)
+                    before = n.get(key, 0.0)
+                    n[key] = before + gradient**2
+                    z[key] = z.get(key, 0.0) + gradient - (math.sqrt(n[key]) - math.sqrt(before)) / langid.ALPHA * w.get(key, 0.0)
+                    w[key] = 0.0 if abs(z[key]) <= langid.L1 else -(z[key] - math.copysign(langid.L1, z[key])) / ((langid.BETA + math.sqrt(n[key])) / langid.ALPHA + langid.L2)
+    held = [(y, [sum(w.get((j, a), 0.0) * v for a, v in vector(g).items()) for j in range(k)]) for i, (y, g) in enumerate(rows) if i % 5 == 0]
+    return w, min((2.0 ** (e / 4) for e in range(-24, 13)), key=lambda t: sum(-math.log(softmax([v / t for v in s])[y]) for y, s in held))
+
+
+def test_language_model_against_loops(spark):
+    texts = [("en", "the words of this text and the others"), ("fr", "les mots de ce texte et les autres"), ("de", "die Wörter dieses Textes, 12 und die anderen"), ("en", "some of these were here"), ("fr", "où est la même chose"), ("de", "über die größte Straße")] * 3
+    texts = [(lang, f"{t} {chr(97 + i)}{chr(100 + i)}") for i, (lang, t) in enumerate(texts)] + [("en", None), ("en", "12 34")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    for _, t in texts:
+        at, n = langid.counts(t)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == plain_grams(t)
+    model = langid.fit(docs)
+    grams = [plain_grams(t) for _, t in texts]
+    total = len(texts)
+    df = Counter(a for g in grams for a in g)
+    assert model.languages == ["de", "en", "fr"]
+    assert all(model.idf[a] == pytest.approx(math.log((1 + total) / (1 + n)) + 1) for a, n in df.items()) and model.idf[next(a for a in range(langid.DIM) if a not in df)] == pytest.approx(math.log(1 + total))
+    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("p")).collect()}
+    order = sorted((place[i], lang, g) for i, ((lang, _), g) in enumerate(zip(texts, grams, strict=True)) if g)
+    weights, temperature = plain_classifier([(model.languages.index(lang), g) for _, lang, g in order], model.idf, 3)
+    expected = np.zeros_like(model.weights)
+    for (j, a), v in weights.items():
+        expected[j, a] = v
+    assert np.allclose(model.weights, expected, atol=1e-9) and model.temperature == temperature and (model.weights == 0).mean() > 0.9
+    s = np.array([sum(expected[j, a] * math.log1p(c) * model.idf[a] for a, c in grams[0].items()) for j in range(3)]) / math.sqrt(sum((math.log1p(c) * model.idf[a]) ** 2 for a, c in grams[0].items()))
+    p = np.exp(s / temperature) / np.exp(s / temperature).sum()
+    assert model.predict(texts[0][1]) == (model.languages[int(p.argmax())], pytest.approx(p.max()))
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
@@ -406,6 +475,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert out[2][0]["payload_bytes"] == 0 and out[1][0]["url"] == "http://a/ b\n" and out[6][0]["record_type"] == "response"
 
 
+def test_warc_takes_odd_tables(spark):
+    """No rows; columns with the names that the operator uses; long payloads that repeat."""
+    schema = "page_id long, url string, html string, digest string, size long, first long, n int, payload string"
+    assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
+    rows = [(i, "u", "y" * 150 if i % 2 else f"z{i}", "d", 1, 2, 3, "p") for i in range(20)]
+    got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 20 and all(got[i]["refers_to"] == (1 if i % 2 and i > 1 else None) for i in range(20))
+
+
+def test_packing_of_one_id(spark):
+    """One id, or none, on many rows of some lengths."""
+    rows = [(None, "a b c")] * 300 + [(7, "a b")] * 200 + [(7, "a b c d")] * 100
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), max_len=3, buckets=2, budget=12).collect()
+    assert Counter((r["doc_id"], r["chunk"], r["n_tokens"]) for r in out) == {(None, 0, 3): 300, (7, 0, 2): 200, (7, 0, 3): 100, (7, 1, 1): 100}
+    held = Counter((r["bucket"], r["batch"]) for r in out)
+    assert all(n <= 12 // b for (b, _), n in held.items()) and len(held) == sum(math.ceil(n / (12 // b)) for b, n in Counter(r["bucket"] for r in out).items())
+
+
+def test_mix_draws_unequally(spark, docs):
+    """Inside a source, documents of more merit are taken more often, and the probabilities sum to the sample's size."""
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("s"))
+    taken = mixing.mix(docs).join(sizes.select("doc_id", "s"), "doc_id").filter("source_size < target AND target < 2 * source_size OR target < source_size")
+    share = {r["m"]: r["share"] for r in taken.groupBy((F.col("s") >= 400).alias("m")).agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("share")).collect()}
+    assert share[True] > share[False]
+    by = spark.createDataFrame([("a", 1, 100, 130.0), ("a", 2, 50, 130.0), ("a", 4, 60, 130.0), ("b", 1, 10, 0.0)], "_source string, _merit int, _words long, _rest double")
+    level = {r["_source"]: r["_level"] for r in mixing.levels(by).collect()}
+    assert sum(n * min(1, level["a"] * m) for m, n in ((1, 100), (2, 50), (4, 60))) == pytest.approx(130) and level["b"] == 0
+
+
 def test_zip64_directory():
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
