@@ -50,6 +50,19 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stages_take_long_texts_ties_and_other_columns(spark):
+    long = " ".join(f"the{k} words" for k in range(15_000))
+    rows = [(i, f"{long} {i} end", "en", "a", 0, 1, "x", 2) for i in range(3)] + [(9, "short words of a text here", "en", None, 0, 1, "x", 2)] * 2 + [(10, "short words of a text here", "en", "b", 0, 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy int, node string, stays int")
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    kept = {r["doc_id"] for r in P.near_dedup(spark, spark.createDataFrame(rows, docs.schema), SF).collect()}
+    assert kept == {0, 9}  # near copies of the long text, and a tie of equal texts: the smallest ids
+    assert P.pack(spark, docs, SF).filter("n_tokens > 2048").count() == 0
+
+
 def test_unknown_language_goes(spark):
     docs = spark.createDataFrame([(1, "12 34", "en", "a", 5), (2, "the words of this text", "en", "a", 22), (3, "les mots de ce texte", "fr", "a", 20)], "doc_id long, text string, lang string, source string, n_chars long")
     assert langid.UNKNOWN == "und" and 1 not in {r["doc_id"] for r in P.language(spark, docs, SF).collect()}
