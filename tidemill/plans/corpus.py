@@ -197,3 +197,42 @@ def forum_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<meta property="og:image" content="'), "url", F.lit('">'), "html").alias("html"))
     return feeds.photos(p, "page_id", "html").select("page", "position", "id", "image_url")
+
+
+@R.add("""WITH i AS (SELECT page_id % 7 AS s, page_id, url, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS k FROM pages)
+SELECT CAST(s AS VARCHAR) AS source_id, 'g' || page_id AS external_id, url, 'Item <' || page_id || '>' AS title, 'about & ' || page_id AS excerpt, TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 MINUTE AS published_at FROM i WHERE k <= 50 AND page_id % 4 <> 0""")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS made of pages: escaped titles, marked-up descriptions, every fourth item without a title."""
+    i = F.col("page_id")
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    title = F.when(i % 4 != 0, F.concat(F.lit("Item &amp;lt;"), i.cast("string"), F.lit("&amp;gt;"))).otherwise("")
+    about = F.concat(F.lit("&lt;p&gt;about&lt;/p&gt; &amp;amp; "), i.cast("string"))
+    when = F.date_format(F.timestamp_seconds(F.unix_timestamp(at("2024-01-01 00:00:00")) + i * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    item = tag("item", F.concat(tag("title", title), tag("link", escaped(F.col("url"))), tag("guid", F.concat(F.lit("g"), i.cast("string"))), tag("description", about), tag("pubDate", when)))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))), lambda r: r["x"]), "")
+    fetched = T.table(spark, sf_dir, "pages").groupBy((i % 7).alias("source_id")).agg(F.concat(F.lit("<rss><channel>"), listed, F.lit("</channel></rss>")).alias("body")).withColumn("kind", F.lit("Rss"))
+    return feeds.rss(fetched).select("source_id", "external_id", "url", "title", "excerpt", "published_at")
+
+
+@R.add("""WITH r AS (SELECT p_size AS source_id, p_partkey AS id, p_name, p_brand, CAST(trunc(p_retailprice) AS INTEGER) AS stars, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 6 <> 0)
+SELECT source_id, CAST(id AS VARCHAR) AS external_id, 'https://github.com/' || p_name AS url, p_name || ': ' || CASE WHEN id % 5 = 0 THEN 'yeni depo' ELSE p_brand END AS title, concat_ws(' ', CASE WHEN id % 5 <> 0 THEN p_brand END, 'Dil: C#.', stars || ' yıldız, 0 fork.', 'Konular: a, b.') AS content, stars AS engagement_score FROM r WHERE k <= 50""")
+def trending_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    repo = F.struct(k, F.struct(k.alias("id"), F.when(k % 6 != 0, F.col("p_name")).alias("full_name"), F.when(k % 5 != 0, F.col("p_brand")).alias("description"), F.lit("C#").alias("language"), F.col("p_retailprice").cast("int").alias("stargazers_count"), F.array(F.lit("a"), F.lit("b")).alias("topics")).alias("r"))
+    body = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(repo)), lambda x: x["r"]).alias("items")))
+    return feeds.github(p.groupBy(F.col("p_size").alias("source_id")).agg(body.alias("body"))).select("source_id", "external_id", "url", "title", "content", "engagement_score")
+
+
+@R.add("""WITH u AS (SELECT page_id, unnest([{'p': 0, 'u': 'http://m/' || page_id || '/a.jpg', 'c': 'One ' || page_id}, {'p': 1, 'u': 'http://m/' || page_id || '/b.jpg', 'c': CASE WHEN page_id % 2 = 0 THEN 'Two' END}]) AS x FROM pages)
+SELECT page_id, CAST(x.p AS INTEGER) AS position, 'imginn_' || x.p AS id, x.u AS image_url, x.c AS caption FROM u""")
+def mirror_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of a mirror that loads them late: one twice, a thumbnail, a relative one."""
+    i = F.col("page_id").cast("string")
+    image = lambda attribute, path: F.concat(F.lit(f'<img class="post-image" {attribute}="'), path, F.lit('">'))
+    url = lambda name: F.concat(F.lit("http://m/"), i, F.lit(f"/{name}.jpg"))
+    said = lambda c: F.concat(F.lit('<div class="photo-description"><b>'), c, F.lit("</b></div>"))
+    html = F.concat(image("src", url("a")), said(F.concat(F.lit("One "), i)), image("data-src", url("b")), image("src", url("a")), image("src", url("s150x150")), image("src", F.lit("/c.jpg")), F.when(F.col("page_id") % 2 == 0, said(F.lit("Two"))).otherwise(""))
+    p = T.table(spark, sf_dir, "pages").select("page_id", F.posexplode(feeds.mirror_images(html, "imginn_", True)).alias("position", "x"))
+    return p.select("page_id", "position", "x.id", "x.image_url", "x.caption")
