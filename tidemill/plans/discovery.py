@@ -154,7 +154,17 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("article_id", text.content_hash(text.normalize(F.concat_ws(" ", "title", "content"))).alias("content_hash"))
 
 
-@R.add()
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+_BYTES = "list_transform(range(0, octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS HUGEINT))"
+
+
+@R.add(f"""{sql_with('articles')}, n AS (SELECT article_id, {norm_sql("concat_ws(' ', title, content)")} AS n FROM articles),
+k AS (SELECT article_id, list_filter(string_split(n, ' '), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)) AS k FROM n),
+u AS (SELECT article_id, unnest(CASE WHEN len(k) = 1 THEN k ELSE list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) END) AS x FROM k),
+h AS (SELECT x, list_reduce({_BYTES}, lambda a, b: (xor(a, b) * {hashing.PRIME_64}) % 18446744073709551616, {hashing.BASIS_64}::HUGEINT) AS h FROM (SELECT DISTINCT x FROM u)),
+v AS (SELECT article_id, b, count(*) AS n, sum(CAST((h // CAST(pow(2::DOUBLE, b) AS HUGEINT)) % 2 AS INTEGER)) AS ones FROM u JOIN h USING (x) CROSS JOIN (SELECT unnest(range(64)) AS b) GROUP BY ALL),
+m AS (SELECT article_id, sum(CASE WHEN 2 * ones > n THEN CASE b WHEN 63 THEN -9223372036854775808::HUGEINT ELSE CAST(pow(2::DOUBLE, b) AS HUGEINT) END ELSE 0 END) AS s FROM v GROUP BY article_id)
+SELECT article_id, CAST(COALESCE(s, 0) AS BIGINT) AS simhash FROM articles LEFT JOIN m USING (article_id)""")
 def article_simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(spark, sf_dir).select("article_id", "simhash")
 
