@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrase and days, the first match in this order wins.
+# TIME_PHRASES (phrase and days, the first match in this order wins), OFFICIAL (phrases that ask for official
+# sources) and FILLERS (words that are no search words, removed one after another in this order).
 TIME_PHRASES = [
     ("son uc ayda", 90), ("son uc ay", 90), ("son 3 ayda", 90), ("son 3 ay", 90), ("last three months", 90), ("last 3 months", 90), ("son bir ayda", 30), ("son bir ay", 30), ("gecen ay", 30), ("son ayda", 30), ("son ay", 30), ("bu ayda", 30), ("bu ay", 30),
     ("past month", 30), ("last month", 30), ("this month", 30), ("son bir haftada", 7), ("son bir hafta", 7), ("gecen hafta", 7), ("bu haftada", 7), ("bu hafta", 7), ("son hafta", 7), ("past week", 7), ("last week", 7), ("this week", 7),

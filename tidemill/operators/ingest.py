@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import simhash
 from ..functions.urls import canonical_url
 
 MAX_AGE_DAYS, SKEW_HOURS, MOST_BACKOFF, SHORT_BODY = 14, 1, 24, 600
@@ -43,12 +44,14 @@ def new_items(items: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def derived(items: DataFrame) -> DataFrame:
-    """Adds normal form, content hash and cut texts; ``needs_page`` marks bodies too short to stand for the page."""
+    """Adds content hash, SimHash and cut texts; ``needs_page`` marks bodies too short to stand for the page."""
     body = F.coalesce("content", "excerpt")
-    return items.withColumns({
-        "needs_page": F.length(F.coalesce("content", F.lit(""))) < SHORT_BODY, "content_hash": T.content_hash(T.normalize(F.concat_ws(" ", "title", body))),
+    made = lambda n: F.struct(T.content_hash(n).alias("hash"), F.array_join(T.tokenize(n), " ").alias("words"))
+    own = items.withColumn("_h", T.let(T.normalize(F.concat_ws(" ", "title", body)), made))
+    return own.withColumns({
+        "simhash": simhash(F.col("_h.words")), "needs_page": F.length(F.coalesce("content", F.lit(""))) < SHORT_BODY, "content_hash": F.col("_h.hash"),
         "title": T.shorten(F.col("title"), 500, True), "excerpt": T.shorten(F.col("excerpt"), 4000, True), "content": T.shorten(F.col("content"), 50_000, True),
-    })
+    }).drop("_h")
 
 
 def report(items: DataFrame, by: str) -> DataFrame:

@@ -79,8 +79,8 @@ def _run(words: Column, n: int):
 def topic_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, slug, weight): topics of which a term stands as a whole phrase in the title (1.0) or the body (0.6).
 
-    ``texts``: id, title_n, body_n in normal form; ``terms``: slug, term in normal form, a list kept by hand and therefore
-    small. Terms are looked up by word sequences: each text is cut into its sequences of as many words as terms have, so it
+    ``texts``: id, title_n, body_n in normal form; ``terms``: slug, term in normal form, a list kept by hand; Spark broadcasts it
+    below its size threshold. Terms are looked up by word sequences: each text is cut into its sequences of as many words as terms have, so it
     is joined by key and scanned once, whatever the number of terms."""
     listed = terms.filter(F.length("term") >= 2).select("slug", "term", F.size(F.split("term", " ")).alias("_n")).distinct()
     lengths = [r["_n"] for r in listed.select("_n").distinct().collect()]  # a few word counts
@@ -90,7 +90,7 @@ def topic_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
         return F.array_distinct(F.flatten(F.array(*runs)))
 
     cut = lambda c, w: texts.select("id", F.explode(let(F.split(c, " "), grams)).alias("term"), F.lit(w).alias("weight"))
-    return cut("title_n", 1.0).unionByName(cut("body_n", 0.6)).join(F.broadcast(listed.drop("_n")), "term").groupBy("id", "slug").agg(F.max("weight").alias("weight"))
+    return cut("title_n", 1.0).unionByName(cut("body_n", 0.6)).join(listed.drop("_n"), "term").groupBy("id", "slug").agg(F.max("weight").alias("weight"))
 
 
 def merged_tags(suggested: DataFrame, matched: DataFrame) -> DataFrame:

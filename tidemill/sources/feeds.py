@@ -16,6 +16,15 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import html_to_text
 
+# What marks embedded data and preview images on photo pages, and photos and captions on mirrors.
+SHARED_DATA = r"(?s)window\._sharedData\s*=\s*(\{.*?\});</script>"
+LOADED_DATA = r"(?s)window\.__additionalDataLoaded\s*\([^,]+,\s*(\{.*?\})\);"
+PREVIEW_IMAGE = r'<meta[^>]+property="og:image"[^>]+content="([^"]+)"'
+MIRROR_IMAGE = r'<img[^>]+class="[^"]*post-image[^"]*"[^>]+src="([^"]+)"'
+MIRROR_TAG = r'(?i)<img[^>]+class="[^"]*post-image[^"]*"[^>]*>'
+MIRROR_CAPTION = r'(?is)<div[^>]+class="[^"]*photo-description[^"]*"[^>]*>(.*?)</div>'
+THUMBNAIL = "s150x150"
+
 MOST_ITEMS = 50
 ITEM = "external_id string, url string, title string, author string, excerpt string, content string, image_url string, published_at timestamp, engagement_score int, comment_count int"
 #: Which parser reads which kind of source; a kind that isn't here is an error.
@@ -192,10 +201,10 @@ def photos(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, position, image_url, …) of photo pages: embedded JSON, else preview images, else a mirror's images; the first
     of these ways that finds any."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    shared = F.regexp_extract(html, r"(?s)window\._sharedData\s*=\s*(\{.*?\});</script>", 1)
-    loaded = F.regexp_extract(html, r"(?s)window\.__additionalDataLoaded\s*\([^,]+,\s*(\{.*?\})\);", 1)
+    shared = F.regexp_extract(html, SHARED_DATA, 1)
+    loaded = F.regexp_extract(html, LOADED_DATA, 1)
     plain = lambda urls, prefix: F.transform(urls, lambda u, i: F.struct(F.concat(F.lit(prefix), i.cast("string")).alias("id"), u.alias("image_url"), u.alias("thumbnail_url"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("post_url")))
-    preview = plain(F.regexp_extract_all(html, F.lit(r'<meta[^>]+property="og:image"[^>]+content="([^"]+)"')), "meta_")
+    preview = plain(F.regexp_extract_all(html, F.lit(PREVIEW_IMAGE)), "meta_")
     own = pages.select(F.col(id_col).alias("page"), photo_nodes(shared).alias("a"), photo_nodes(loaded).alias("b"), preview.alias("c"), mirror_images(html, "picuki_", False).alias("d"))
     first = F.when(F.size("a") > 0, F.col("a")).when(F.size("b") > 0, F.col("b")).when(F.size("c") > 0, F.col("c")).otherwise(F.col("d"))
     return own.select("page", F.posexplode(first).alias("position", "p")).select("page", "position", "p.*")
@@ -205,13 +214,13 @@ def mirror_images(html: Column, prefix: str, lazily: bool) -> Column:
     """Photos of a mirror page, thumbnails left out. ``lazily``: ``data-src`` counts too, URLs must begin with http, each
     counts once, and captions come from the descriptions in order."""
     if not lazily:
-        urls = F.regexp_extract_all(html, F.lit(r'<img[^>]+class="[^"]*post-image[^"]*"[^>]+src="([^"]+)"'))
-        kept = F.filter(F.transform(urls, lambda u, i: F.struct(i.alias("i"), u.alias("u"))), lambda x: x["u"].contains("http") & ~x["u"].contains("s150x150"))
+        urls = F.regexp_extract_all(html, F.lit(MIRROR_IMAGE))
+        kept = F.filter(F.transform(urls, lambda u, i: F.struct(i.alias("i"), u.alias("u"))), lambda x: x["u"].contains("http") & ~x["u"].contains(THUMBNAIL))
         return F.transform(kept, lambda x: F.struct(F.concat(F.lit(prefix), x["i"].cast("string")).alias("id"), x["u"].alias("image_url"), x["u"].alias("thumbnail_url"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("post_url")))
-    tags = F.regexp_extract_all(html, F.lit(r'(?i)<img[^>]+class="[^"]*post-image[^"]*"[^>]*>'), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(MIRROR_TAG), F.lit(0))
     url = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r'\ssrc="([^"]+)"', 1), F.lit("")), F.regexp_extract(t, r'\sdata-src="([^"]+)"', 1))
-    urls = F.array_distinct(F.filter(F.transform(tags, url), lambda u: u.startswith("http") & ~u.contains("s150x150")))
-    said = F.regexp_extract_all(html, F.lit(r'(?is)<div[^>]+class="[^"]*photo-description[^"]*"[^>]*>(.*?)</div>'))
+    urls = F.array_distinct(F.filter(F.transform(tags, url), lambda u: u.startswith("http") & ~u.contains(THUMBNAIL)))
+    said = F.regexp_extract_all(html, F.lit(MIRROR_CAPTION))
     captions = F.transform(said, lambda c: F.nullif(F.trim(F.regexp_replace(c, r"<[^>]+>", "")), F.lit("")))
     return F.transform(urls, lambda u, i: F.struct(F.concat(F.lit(prefix), i.cast("string")).alias("id"), u.alias("image_url"), u.alias("thumbnail_url"), F.try_element_at(captions, i + 1).alias("caption"), F.lit(None).cast("string").alias("post_url")))
 

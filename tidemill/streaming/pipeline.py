@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -75,7 +76,13 @@ def _streak(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def streaks(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Each reader's streak after each micro-batch: state is three numbers a reader. Days are made distinct in the batch
-    before they reach the state; a day that comes late is ignored."""
+    """Each reader's streak after each micro-batch: state is three numbers a reader. Days are made distinct inside tasks
+    before they are shuffled to the state; a day that comes late is ignored."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from pa.Table.from_batches([b]).group_by(["user_id", "day"]).aggregate([]).to_batches()
+
     days = events.select("user_id", F.unix_date(F.to_date(ts)).alias("day"))
+    days = days.mapInArrow(distinct, days.schema)
     return days.groupBy("user_id").applyInPandasWithState(_streak, "user_id long, current int, longest int, last_day int", "current int, longest int, last int", "update", GroupStateTimeout.NoTimeout)
