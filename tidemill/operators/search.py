@@ -57,12 +57,18 @@ def related(near: DataFrame, overlap: DataFrame) -> DataFrame:
 
 
 def topic_overlap(story_topics: DataFrame, queries: DataFrame, importance: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, shared): other stories by the number of topics shared with the query story, then importance."""
-    own = story_topics.join(queries.select(F.col("query_id").alias("story_id")), "story_id", "left_semi").select(F.col("story_id").alias("query_id"), "topic_id")
-    shared = story_topics.join(own, "topic_id").filter("story_id <> query_id").groupBy("query_id", F.col("story_id").alias("id")).agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.join(importance.select(F.col("story_id").alias("id"), "importance_score"), "id")
+    """(query_id, id, shared): other stories by the number of topics shared with the query story, then importance.
+
+    Stories with the same topics differ in importance only, so the best of each set of topics stand for it: what is joined
+    by topic is bounded by the number of different sets, however many stories a topic has."""
+    sets = story_topics.groupBy("story_id").agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
+    inside = Window.partitionBy("topics").orderBy(F.desc("importance_score"), "story_id")
+    best = sets.join(importance, "story_id").withColumn("_k", F.row_number().over(inside)).filter(F.col("_k") <= k + 1)  # one may be the query itself
+    best = best.select(F.col("story_id").alias("id"), "importance_score", F.explode("topics").alias("topic_id"))
+    own = sets.join(queries.select(F.col("query_id").alias("story_id")), "story_id", "left_semi").select(F.col("story_id").alias("query_id"), F.explode("topics").alias("topic_id"))
+    shared = best.join(own, "topic_id").filter("id <> query_id").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("shared"), F.first("importance_score").alias("importance_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("importance_score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "shared")
+    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "shared")
 
 
 def passages(near: DataFrame, stories: DataFrame, since: Column, kept: int = KEPT) -> DataFrame:
