@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Stored
+from .common import WORD, Stored, get, put, runs
 from .langid import held_out
 
 SHARD_TOKENS = 2_000_000
@@ -93,17 +93,6 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def put(a: np.ndarray, kind: type) -> bytes:
-    """Numbers as bytes, first bytes first, then all second ones and so on: small numbers compress well so."""
-    a = np.ascontiguousarray(a, kind)
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def get(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
@@ -122,13 +111,6 @@ def _grouped(df: DataFrame, work: Callable[[int, dict[int, list[tuple[int, list[
     return df.groupBy("to").applyInArrow(run, ROW)
 
 
-def _spans(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Value, begin and end of each run of equal keys."""
-    if len(keys):
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        yield from zip(keys[np.concatenate(([0], cuts))].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
-
-
 def draw_tables(count: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """For each number of customers (1 or more), a number of tables t with P(t) proportional to S(count, t) z^t. P falls
     from its mode with a variance below the mode, so t is drawn by inversion from all values within ten deviations and 30
@@ -211,11 +193,11 @@ def _blocks(shards: int, codes: np.ndarray, hot: np.ndarray):
         if len(codes):
             at = np.minimum(np.searchsorted(codes, vocab), len(codes) - 1)
             code = np.where(codes[at] == vocab, at, CODES).astype(np.uint16)
-        for to, a, b in _spans(p):
-            runs = list(_spans(u[a:b]))
+        for to, a, b in runs(p):
+            own_runs = list(runs(u[a:b]))
             own = code[w[a:b]]
             rows.append((to, ASK, key, [
-                put(vocab[[x for x, _, _ in runs]], np.uint64), put(np.array([e - s for _, s, e in runs]), np.uint32), put(own, np.uint16), put(vocab[w[a:b][own == CODES]], np.uint64), put(n[a:b], np.uint32)]))
+                put(vocab[[x for x, _, _ in own_runs]], np.uint64), put(np.array([e - s for _, s, e in own_runs]), np.uint32), put(own, np.uint16), put(vocab[w[a:b][own == CODES]], np.uint64), put(n[a:b], np.uint32)]))
         return rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +245,7 @@ def _merge(shards: int, codes: np.ndarray, hot: np.ndarray):
             (p, ACTIVE, 0, [put(u[active], np.uint32), put(w[active], np.uint32), put(c[active], np.uint32), put(base, np.uint32), put(hot_at, np.uint32), put(is_hot, np.uint32), put(np.array([len(words)]), np.uint32)]),
         ]
         k0, cw = np.bincount(w[known], minlength=len(words)), np.bincount(w, weights=c, minlength=len(words))
-        for b, s, e in _spans(shard_of(words, shards)):
+        for b, s, e in runs(shard_of(words, shards)):
             out.append((b, WORDS, p, [put(words[s:e], np.uint64), put(k0[s:e], np.uint32), put(cw[s:e], np.uint64)]))
         for at, which in zip(hot_at.tolist(), is_hot.tolist(), strict=True):
             out += [(which, HOT_COUNT, int(customers[at]), None), (which, HOT_TABLES, int(base[at]), None)]
