@@ -331,7 +331,7 @@ WIDE, APART, FEW = 256, 80, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Partners that a set proposes first, the closest by fingerprint. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
 #: that are compared with another one in one group.
-PROPOSED, TOGETHER, PREFIXES, PARTNERS = 8, 4096, 1 << 20, 256
+PROPOSED, TOGETHER, PREFIXES, PARTNERS = 8, 4096, 1 << 19, 256
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -457,7 +457,7 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
                 if node not in sets:
                     sets[node] = (len(u), _majority(h), shingle_prefix(u, least, frequent))
                     held += len(sets[node][2])
-                if held > 1 << 20:
+                if held > PREFIXES:
                     yield packed(sets)
                     sets, held = {}, 0
         if sets:
@@ -509,8 +509,11 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least:
             left = m - place
 
             def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
-                both = np.unique(np.concatenate(kept, axis=1), axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                a, b = np.concatenate(kept, axis=1)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
             while len(at):  # all groups at once: each set with the one so many places on, until that is too large
                 at = at[at + shift < len(v)]
@@ -523,7 +526,7 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least:
                 x, y = node[x[close]], node[y[close]]
                 kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
                 held += len(x)
-                if held > 1 << 20:
+                if held > 1 << 17:
                     yield flush(kept)
                     kept, held = [], 0
                 shift += 1
