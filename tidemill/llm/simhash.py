@@ -521,14 +521,16 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least:
                 at = at[(v[at] == v[to]) & (m[at] + 1e-9 >= least * m[to])]
                 to = at + shift
                 found = (root[at] != root[to]) & ((own[at] != own[to]) | ((same[at] & same[to]) == 1)) & (np.minimum(left[at], left[to]) + 1e-9 >= of_both * (m[at] + m[to]))
-                x, y = at[found], to[found]
-                close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= APART)
-                x, y = node[x[close]], node[y[close]]
-                kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-                held += len(x)
-                if held > 1 << 17:
-                    yield flush(kept)
-                    kept, held = [], 0
+                all_x, all_y = at[found], to[found]
+                for i in range(0, len(all_x), 1 << 15):  # bounded memory
+                    x, y = all_x[i : i + (1 << 15)], all_y[i : i + (1 << 15)]
+                    close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= APART)
+                    x, y = node[x[close]], node[y[close]]
+                    kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                    held += len(x)
+                    if held > 1 << 17:
+                        yield flush(kept)
+                        kept, held = [], 0
                 shift += 1
             if held:
                 yield flush(kept)
