@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chroma, hpylm, langid, licenses, mixing, packing, secrets, simhash, warc
+from . import ann, chroma, hpylm, langid, licenses, mixing, packing, phrases, secrets, simhash, warc
 from .common import table
 
 
@@ -51,9 +51,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints, op10_license_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints, op10_license_scan, op11_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_packing": packing.oracle(), "op5_source_mixing": mixing.SQL, "op7_secret_scan": secrets.oracle(), "op8_warc": warc.SQL}
+    return {"op2_packing": packing.oracle(), "op5_source_mixing": mixing.SQL, "op7_secret_scan": secrets.oracle(), "op8_warc": warc.SQL, "op11_phrase_collocations": phrases.SQL}
