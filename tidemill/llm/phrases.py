@@ -5,8 +5,9 @@ words of its piece. Suffixes are shuffled by language and first word, sorted rev
 prefixes are counted in one pass with a stack that has a place for each length; the counts are joined with those of
 their parts afterwards.
 
-1. Counts of hashed (language, word) pairs fill SLOTS numbers, at any size of the corpus. A word whose slot is below
-   ``least`` can be in no phrase, so pieces are cut there too; a slot is never below the count of its words.
+1. Words, and pairs of neighbouring words, of a language are counted by hash, in SLOTS and PAIRS numbers at any size of the
+   corpus. A slot is never below the count of what falls in it. So a word or pair whose slot is below ``least`` can be in
+   no phrase, and pieces are cut there too; where slots are full, less is cut, and the result is the same.
 2. Suffixes of a block of texts are sorted and counted before they are shuffled, and travel as arrays: their words once,
    then numbers. A first word with more than SLICE occurrences is dealt by its second and third words as well; what is
    counted of its prefixes of one and two words is then a part, and the parts are summed.
@@ -30,10 +31,10 @@ from .common import get, put, runs, stored
 #: Words of a phrase at most; occurrences of a phrase at least; phrases that are listed for each language.
 SIZE, LEAST, LISTED = 5, 100, 2000
 NO_LANGUAGE = "und"
-#: Hashed words that are counted first, and how many of them in one row.
-SLOTS, PART = 1 << 20, 1 << 14
+#: Numbers that hashed words and pairs of words are counted in first, and how many of them in one row.
+SLOTS, PAIRS, PART = 1 << 20, 1 << 23, 1 << 16
 #: Occurrences of a first word in one bucket at most, about, and words of a bucket on average.
-SLICE, BUCKET = 1 << 20, 1 << 20
+SLICE, BUCKET = 1 << 20, 1 << 21
 _BREAK = b".,;:!?\n\x0b\x0c\r"
 _INSIDE = np.array([c not in _BREAK + b" \t" for c in range(256)])
 _BREAKS = np.array([c in _BREAK for c in range(256)])
@@ -45,14 +46,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slots_of(lang: str, found: list[bytes]) -> np.ndarray:
+def hashes_of(lang: str, found: list[bytes]) -> np.ndarray:
     seed = zlib.crc32(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found)).astype(np.int64) & (SLOTS - 1)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found))
 
 
 class Block:
-    """Words of some texts: ``word`` (number), ``lang`` (number) and ``piece`` of each, numbers of words and languages by
-    place in ``words`` and ``langs``, and the slot of each pair that occurs, which ``pair`` tells of each word."""
+    """Words of some texts: ``word`` (number), ``lang`` (number) and ``far`` (no neighbour of the one before) of each; words and
+    languages by number; ``hash`` of each (language, word) that occurs, which ``own`` tells of each word."""
 
     def __init__(self, text: pa.Array, lang: pa.Array) -> None:
         data, offsets = text_bytes(text)
@@ -61,57 +62,102 @@ class Block:
         d = pa.compute.fill_null(lang, NO_LANGUAGE).dictionary_encode()
         self.langs = d.dictionary.to_pylist()
         self.lang = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
-        ends = np.cumsum(_BREAKS[data], dtype=np.int64)[starts] if len(starts) else starts
-        self.piece = ends + of
-        pairs, self.pair = np.unique(self.lang * max(1, len(self.words)) + self.word, return_inverse=True)
-        self.slots = np.empty(len(pairs), np.int64)
-        for k, a, b in runs(pairs // max(1, len(self.words))):
-            self.slots[a:b] = slots_of(self.langs[k], [self.words[i] for i in pairs[a:b] % len(self.words)])
-
-
-def word_slots(docs: DataFrame, text_col: str, lang_col: str) -> tuple[np.ndarray, DataFrame]:
-    """Occurrences of each slot's words (SLOTS numbers), and (lang, n): words of each language."""
+        piece = np.cumsum(_BREAKS[data], dtype=np.int64)[starts] + of if len(starts) else starts
+        self.far = np.concatenate(([True], piece[1:] != piece[:-1])) if len(piece) else np.empty(0, bool)
+        both, self.own = np.unique(self.lang * max(1, len(self.words)) + self.word, return_inverse=True)
+        self.hash = np.empty(len(both), np.uint64)
+        for k, a, b in runs(both // max(1, len(self.words))):
+            self.hash[a:b] = hashes_of(self.langs[k], [self.words[i] for i in both[a:b] % len(self.words)])
+
+    def slots(self) -> np.ndarray:
+        """Of each (language, word)."""
+        return (self.hash & np.uint64(SLOTS - 1)).astype(np.int32)
+
+    def pair_slots(self) -> np.ndarray:
+        """Of each word and the one before it; -1 where that is far."""
+        h = self.hash[self.own]
+        out = np.full(len(h), -1, np.int32)
+        out[1:] = (_mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & np.uint64(PAIRS - 1)).astype(np.int32)
+        out[self.far] = -1
+        return out
+
+
+def slot_counts(docs: DataFrame, text_col: str, lang_col: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Occurrences of each slot's words (SLOTS numbers); (part, counts) with those of each slot's pairs, PART in a row; and
+    (lang, n): words of each language."""
+    tables = ((0, SLOTS), (SLOTS // PART, PAIRS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SLOTS, np.int64), {}
+        total, n = [np.zeros(m, np.uint32) for _, m in tables], {}
         for b in blocks(batches, 0):
             x = Block(b.column(0), b.column(1))
-            np.add.at(total, x.slots, np.bincount(x.pair, minlength=len(x.slots)))
+            pairs = x.pair_slots()
+            for t, at in zip(total, (x.slots()[x.own], pairs[pairs >= 0]), strict=True):
+                slot, times = np.unique(at, return_counts=True)
+                t[slot] += times.astype(np.uint32)
             for k, m in enumerate(np.bincount(x.lang, minlength=len(x.langs)).tolist()):
                 n[x.langs[k]] = n.get(x.langs[k], 0) + m
-        parts = [(None, i // PART, 0, put(total[i : i + PART], np.int64)) for i in range(0, SLOTS, PART) if total[i : i + PART].any()]
-        cols = list(zip(*(parts + [(k, -1, m, None) for k, m in n.items()]), strict=True)) if parts or n else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["lang", "part", "n", "counts"])
-
-    def total(t: pa.Table) -> pa.Table:
-        return pa.table({"part": t["part"].slice(0, 1), "counts": pa.array([put(sum(get(x, np.int64) for x in t["counts"].to_pylist()), np.int64)], pa.binary())})
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+        row = lambda *c: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(c, kinds, strict=True)], ["lang", "part", "n", "counts"])
+        for (first, m), t in zip(tables, total, strict=True):
+            yield from (row(None, first + i // PART, 0, put(t[i : i + PART], np.uint32)) for i in range(0, m, PART) if t[i : i + PART].any())
+        yield from (row(k, -1, m, None) for k, m in n.items())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([put(total, np.int64)], pa.binary())], ["part", "counts"])
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = get(x.as_buffer().to_pybytes(), np.uint32)
+                if k != part:
+                    if part is not None:
+                        yield row()
+                    part, total = k, np.zeros(PART, np.int64)
+                total += own
+        if part is not None:
+            yield row()
 
     seen = stored(docs.select(text_col, lang_col).mapInArrow(count, "lang string, part int, n long, counts binary"), "words")
+    dealt = seen.filter("part >= 0").select("part", "counts").repartition("part").sortWithinPartitions("part")
+    summed = stored(dealt.mapInArrow(added, "part int, counts binary"), "slots")
     out = np.zeros(SLOTS, np.int64)
-    for r in seen.filter("part >= 0").select("part", "counts").groupBy("part").applyInArrow(total, "part int, counts binary").collect():  # SLOTS numbers
+    for r in summed.filter(F.col("part") < SLOTS // PART).collect():  # SLOTS numbers
         out[r["part"] * PART : (r["part"] + 1) * PART] = get(bytes(r["counts"]), np.int64)
-    return out, seen.filter("part < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    return out, summed.filter(F.col("part") >= SLOTS // PART).withColumn("part", F.col("part") - SLOTS // PART), seen.filter("part < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def often(pairs: DataFrame, least: int) -> np.ndarray:
+    """For each slot of pairs whether it is ``least`` or more: PAIRS bits."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(get(x, np.int64) >= least).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(PAIRS // 8, np.uint8)
+    for r in pairs.mapInArrow(bits, "part int, bits binary").collect():
+        out[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 _PACKED = "lang string, bucket long, words binary, ids binary, counts binary"
 
 
-def packed_suffixes(docs: DataFrame, text_col: str, lang_col: str, slices: np.ndarray, buckets: int) -> DataFrame:
+def packed_suffixes(docs: DataFrame, text_col: str, lang_col: str, slices: np.ndarray, paired: np.ndarray, buckets: int) -> DataFrame:
     """Distinct suffixes of blocks of texts with their counts, a row for each language and bucket. ``slices``: for each
-    slot 0 if its words are rare, else over how many buckets one of its words is dealt."""
+    slot 0 if its words are rare, else over how many buckets one of its words is dealt. ``paired``: bits of ``often``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 0):
             x = Block(b.column(0), b.column(1))
-            over = slices[x.slots][x.pair]
-            far = np.concatenate(([True], x.piece[1:] != x.piece[:-1])) if len(x.piece) else np.empty(0, bool)
-            run = np.cumsum(far | (over == 0))  # also cut before and behind rare words
+            over, pair = slices[x.slots()][x.own], x.pair_slots()
+            rare = x.far | ((paired[pair >> 3] >> (7 - (pair & 7)) & 1) == 0)
+            run = np.cumsum(rare | (over == 0), dtype=np.int32)  # also cut before and behind rare words
             keep = over > 0
-            word, lang, over, run = x.word[keep] + 1, x.lang[keep], over[keep].astype(np.uint64), run[keep]
+            word, lang, over, run = (x.word[keep] + 1).astype(np.int32), x.lang[keep], over[keep].astype(np.uint64), run[keep]
             cols = [word]
             for j in range(1, SIZE):
-                same = run[j:] == run[:-j]
-                cols.append(np.concatenate((np.where(same, word[j:], 0), np.zeros(min(j, len(word)), np.int64)))[: len(word)])
+                cols.append(np.zeros(len(word), np.int32))
+                cols[j][: max(0, len(word) - j)] = np.where(run[j:] == run[:-j], word[j:], 0)
             h = np.fromiter((xxhash.xxh64_intdigest(w) for w in [b"", *x.words]), np.uint64, len(x.words) + 1)
             tongue = np.fromiter((xxhash.xxh64_intdigest(k) for k in x.langs), np.uint64, len(x.langs))
             part = _mixed(h[cols[1]] + _mixed(h[cols[2]])) % np.maximum(over, np.uint64(1))
@@ -126,7 +172,7 @@ def packed_suffixes(docs: DataFrame, text_col: str, lang_col: str, slices: np.nd
             new[1:] |= c[1:] != c[:-1]
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(group)))
-        group, cols = group[first], np.stack([c[first] for c in cols]) if len(first) else np.empty((SIZE, 0), np.int64)
+        group, cols = group[first], np.stack([c[first] for c in cols]) if len(first) else np.empty((SIZE, 0), np.int32)
         out = []
         for k, a, b in runs(group):
             own, ids = np.unique(cols[:, a:b], return_inverse=True)
@@ -160,26 +206,27 @@ def count_prefixes(cols: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int,
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, slice_words: int = SLICE, bucket_words: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of all phrases of 1 to SIZE words that occur ``least`` times or more, and (lang, n)."""
-    total, sizes = word_slots(docs, text_col, lang_col)
+    total, pairs, sizes = slot_counts(docs, text_col, lang_col)
     slices = np.where(total >= least, 1 + total // slice_words, 0).astype(np.int32)
-    packed = packed_suffixes(docs, text_col, lang_col, slices, max(1, int(total.sum()) // bucket_words))
+    packed = packed_suffixes(docs, text_col, lang_col, slices, often(pairs, least), max(1, int(total.sum()) // bucket_words))
 
     def count(t: pa.Table) -> pa.Table:
         lang = t["lang"][0].as_py()
         named = [w.split(b" ") if w else [] for w in t["words"].to_pylist()]
         every = sorted(set().union(*named))
         rank = {w: i + 1 for i, w in enumerate(every)}
-        parts = [np.array([0, *(rank[w] for w in ws)], np.int64)[get(i, np.uint32)].reshape(SIZE, -1) for ws, i in zip(named, t["ids"].to_pylist(), strict=True)]
+        parts = [np.array([0, *(rank[w] for w in ws)], np.int32)[get(i, np.uint32)].reshape(SIZE, -1) for ws, i in zip(named, t["ids"].to_pylist(), strict=True)]
         cols, n = np.concatenate(parts, axis=1), np.concatenate([get(c, np.uint32) for c in t["counts"].to_pylist()]).astype(np.int64)
         if len(every) < 1 << _BITS:
-            keys = ((cols[3] << _BITS) | cols[4], (cols[0] << 2 * _BITS) | (cols[1] << _BITS) | cols[2])
+            wide = lambda a, b: (a.astype(np.int64) << _BITS) | b
+            keys = (wide(cols[3], cols[4]), wide(wide(cols[0], cols[1]), cols[2]))
         else:
             keys = tuple(cols[::-1])
         order = np.lexsort(keys)[::-1]
         cols, n = cols[:, order], n[order]
         firsts = np.unique(cols[0])
         dealt = np.zeros(len(every) + 1, bool)
-        dealt[firsts] = slices[slots_of(lang, [every[i - 1] for i in firsts])] > 1
+        dealt[firsts] = slices[(hashes_of(lang, [every[i - 1] for i in firsts]) & np.uint64(SLOTS - 1)).astype(np.int64)] > 1
         phrase, size, a, part = [], [], [], []
         for j, at, m in count_prefixes(cols, n):
             partial = dealt[cols[0, at]] & (j <= 2)
