@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -34,6 +34,11 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags hold up to each place, its own included."""
+    return np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The runs of bytes for which the table ``inside`` (256 flags) holds, none across texts: the words, where each begins
     and which text it is of."""
@@ -42,7 +47,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool
     before[offsets[:-1][offsets[:-1] < len(own)]] = False
     starts = np.flatnonzero(own & ~before)
     kept = data[own]
-    at = np.cumsum(own, dtype=np.int64)[starts] - 1 if len(starts) else np.empty(0, np.int64)
+    at = running(own)[starts] - 1
     ends = np.append(at, len(kept)).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(_LOWER[kept] if lower else kept))])
     return found, starts, np.searchsorted(offsets, starts, "right") - 1
@@ -56,4 +61,4 @@ def coded(found: pa.Array) -> tuple[np.ndarray, list[bytes]]:
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags hold in each text's bytes."""
-    return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[offsets])
+    return np.diff(np.concatenate(([0], running(flags)))[offsets]).astype(np.int64)

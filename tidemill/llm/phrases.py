@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import blocks, coded, text_bytes, words
+from .columns import blocks, coded, running, text_bytes, words
 from .common import get, put, runs, stored
 
 #: Words of a phrase at most; occurrences of a phrase at least; phrases that are listed for each language.
@@ -62,7 +62,7 @@ class Block:
         d = pa.compute.fill_null(lang, NO_LANGUAGE).dictionary_encode()
         self.langs = d.dictionary.to_pylist()
         self.lang = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
-        piece = np.cumsum(_BREAKS[data], dtype=np.int64)[starts] + of if len(starts) else starts
+        piece = running(_BREAKS[data])[starts] + of
         self.far = np.concatenate(([True], piece[1:] != piece[:-1])) if len(piece) else np.empty(0, bool)
         both, self.own = np.unique(self.lang * max(1, len(self.words)) + self.word, return_inverse=True)
         self.hash = np.empty(len(both), np.uint64)
