@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chroma, hpylm, langid, licenses, mixing, packing, phrases, secrets, simhash, warc
+from . import ann, chroma, hpylm, langid, licenses, mixing, packing, phrases, quality, secrets, simhash, trie, warc
 from .common import table
 
 
@@ -55,8 +55,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints, op10_license_scan, op11_phrase_collocations)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_lm_scores, op4_language_id, op5_source_mixing, op6_nearest_neighbours, op7_secret_scan, op8_warc, op9_audio_fingerprints, op10_license_scan, op11_phrase_collocations, op12_quality_rules, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
