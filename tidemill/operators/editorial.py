@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify_unique
 from ..functions.vectors import centroid
+from ..sources.storage import stored
 from . import stories as S
 
 PROMPT_ARTICLES, PROMPT_CHARS, LEARNING_DAYS, LEARNING_STORIES = 6, 2500, 7, 25
@@ -47,12 +50,20 @@ def personal_note(notes: Column, slugs: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(slugs, lambda s: F.try_element_at(notes, s)), lambda n: n.rlike(r"\S")), F.lit(1))
 
 
+def _sourced(members: DataFrame, sources: DataFrame, primaries: DataFrame) -> DataFrame:
+    """Members with name and kind of their source, and ``_first``: whether one is the story's primary. Two members may
+    share a position, so the primary is told by its source as well."""
+    p = primaries.select("story_id", F.col("position").alias("_p"), F.col("primary_source_id").alias("_s"))
+    j = members.join(sources.select("source_id", "name", "is_official"), "source_id", "left").join(p, "story_id", "left")
+    return j.withColumn("_first", F.coalesce((F.col("position") == F.col("_p")) & F.col("source_id").eqNullSafe(F.col("_s")), F.lit(False)))
+
+
 def prompt_contexts(members: DataFrame, sources: DataFrame, primaries: DataFrame) -> DataFrame:
-    """(story_id, excerpts, source_names): PROMPT_ARTICLES members, primary first, then official ones, then by time; the
-    first PROMPT_CHARS characters of each, and the distinct source names. ``members``: story_id, position, source_id,
-    published_at, body."""
-    j = members.join(sources.select("source_id", "name", "is_official"), "source_id", "left").join(primaries.select("story_id", F.col("position").alias("_p")), "story_id", "left")
-    order = [F.coalesce(F.col("position") == F.col("_p"), F.lit(False)).desc(), F.coalesce("is_official", F.lit(False)).desc(), F.col("published_at"), F.col("position")]
+    """(story_id, excerpts, source_names): PROMPT_ARTICLES members, primary first, then official ones, then by time, position
+    and source; the first PROMPT_CHARS characters of each, and the distinct source names. ``members``: story_id, position,
+    source_id, published_at, body."""
+    j = _sourced(members, sources, primaries)
+    order = [F.col("_first").desc(), F.coalesce("is_official", F.lit(False)).desc(), F.col("published_at"), F.col("position"), F.col("source_id")]
     first = j.withColumn("_k", F.row_number().over(Window.partitionBy("story_id").orderBy(*order))).filter(F.col("_k") <= PROMPT_ARTICLES)
     one = F.struct("_k", F.substring("body", 1, PROMPT_CHARS).alias("x"), F.coalesce("name", F.lit(UNKNOWN_SOURCE)).alias("s"))
     listed = first.groupBy("story_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
@@ -93,21 +104,24 @@ def reroll(key: Column, attempt: int) -> Column:
 
 def unique_slugs(stories: DataFrame, taken: DataFrame, attempts: int = 5) -> DataFrame:
     """(story_id, slug) of story_id, title_n and hex_id: slugs that are taken or that a story with a smaller id has get
-    another suffix, ``attempts`` times, and then the whole id. ``taken``: slug. One row a slug keeps it, so each round
-    leaves collisions only, which are few."""
-    settled = None
+    another suffix, ``attempts`` times, and then the whole id. ``taken``: slug.
+
+    Each round is a table, and the next one has its losers only, which are few; of the slugs in use it takes those that
+    meet the losers'. It ends when there are no losers."""
     left = stories.withColumn("slug", slugify_unique(F.col("title_n"), F.col("hex_id")))
-    used = taken.select("slug").distinct()
-    for k in range(1, attempts + 1):
-        free = left.join(used.withColumn("_t", F.lit(True)), "slug", "left")
-        ranked = free.withColumn("_lost", F.coalesce(F.col("_t"), F.lit(False)) | (F.row_number().over(Window.partitionBy("slug").orderBy(F.col("_t").asc_nulls_first(), "story_id")) > 1))
-        won = ranked.filter("NOT _lost").select("story_id", "slug")
-        settled = won if settled is None else settled.unionByName(won)
-        used = used.unionByName(won.select("slug"))
-        left = ranked.filter("_lost").select(*stories.columns).withColumn("slug", slugify_unique(F.col("title_n"), reroll(F.col("story_id"), k)))
-    free = left.join(used.withColumn("_t", F.lit(True)), "slug", "left")
-    lost = F.coalesce(F.col("_t"), F.lit(False)) | (F.row_number().over(Window.partitionBy("slug").orderBy("story_id")) > 1)
-    return settled.unionByName(free.withColumn("_lost", lost).select("story_id", F.when(F.col("_lost"), F.col("hex_id")).otherwise(F.col("slug")).alias("slug")))
+    used, settled = [taken.select("slug")], []
+    for k in range(attempts + 1):
+        met = reduce(DataFrame.unionByName, used).join(left.select("slug"), "slug", "left_semi").distinct().withColumn("_t", F.lit(True))
+        order = Window.partitionBy("slug").orderBy(F.col("_t").asc_nulls_first(), "story_id")
+        lost = F.coalesce(F.col("_t"), F.lit(False)) | (F.row_number().over(order) > 1)
+        ranked = stored(left.join(met, "slug", "left").withColumn("_lost", lost).drop("_t"), "slugs")
+        settled.append(ranked.filter("NOT _lost").select("story_id", "slug"))
+        used.append(ranked.filter("NOT _lost").select("slug"))
+        losers = ranked.filter("_lost").select(*stories.columns)
+        if losers.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        left = losers.withColumn("slug", slugify_unique(F.col("title_n"), reroll(F.col("story_id"), k + 1)))
+    return reduce(DataFrame.unionByName, settled).unionByName(losers.select("story_id", F.col("hex_id").alias("slug")))
 
 
 def replaced_digests(existing: DataFrame, new: DataFrame, keys: list[str], force: Column) -> DataFrame:
@@ -175,10 +189,10 @@ def profiles(users: DataFrame, settings: DataFrame, interests: DataFrame, streak
 
 
 def details(stories: DataFrame, members: DataFrame, sources: DataFrame, primaries: DataFrame, links: DataFrame, topics: DataFrame) -> DataFrame:
-    """Stories with nested ``sources`` (primary first, then by time, missing ones labelled), ``links`` by position and
-    ``topics`` by weight."""
-    j = members.join(sources.select("source_id", "name", "is_official"), "source_id", "left").join(primaries.select("story_id", F.col("position").alias("_p")), "story_id", "left")
-    source = F.struct((~F.coalesce(F.col("position") == F.col("_p"), F.lit(False))).alias("later"), F.col("published_at").alias("t"), F.col("position").alias("p"), F.coalesce("name", F.lit(UNKNOWN_SOURCE)).alias("name"), F.coalesce("is_official", F.lit(False)).alias("official"))
+    """Stories with nested ``sources`` (primary first, then by time, position and source; missing ones labelled),
+    ``links`` by position and ``topics`` by weight."""
+    j = _sourced(members, sources, primaries)
+    source = F.struct((~F.col("_first")).alias("later"), F.col("published_at").alias("t"), F.col("position").alias("p"), F.col("source_id").alias("s"), F.coalesce("name", F.lit(UNKNOWN_SOURCE)).alias("name"), F.coalesce("is_official", F.lit(False)).alias("official"))
     s = j.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(source)), lambda x: F.struct(x["name"].alias("name"), x["official"].alias("is_official"))).alias("sources"))
     k = links.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]).alias("links"))
     t = topics.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "topic_id"))), lambda x: x["topic_id"]).alias("topics"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, search_query, text, vectors
-from ..operators import clustering, search, stories
+from ..operators import clustering, search, stories, story_store
+from ..operators.story_store import StoryStore
 from ..sources import tables as T
+from ..sources.storage import new_path
 from ..sources.tables import STORY_NOW, at, sql_with
 from . import news
 from .registry import Registry
@@ -182,6 +184,48 @@ def article_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(hashed(spark, sf_dir).join(embedded(spark, sf_dir), "article_id"))
 
 
+#: Minutes between articles of the stored stories, so that stories close; batches that they come in.
+_APART, _BATCHES = 40, 5
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    published = F.timestamp_seconds(F.unix_timestamp(at("2024-01-01 00:00:00")) + F.col("article_id") * 60 * _APART)
+    return hashed(spark, sf_dir).withColumns({"published_at": published, "embedding": F.lit(None).cast("array<float>")})
+
+
+_OPEN = "STRUCT(id BIGINT, s BIGINT, since TIMESTAMP, last TIMESTAMP, held VARCHAR[])"
+_BITS_APART = "bit_count(xor(s, o.s))"
+# one article a step; a step holds the stories that were active in the 72 hours before
+_GREEDY = f"""hashed AS ({SQL['content_hashes']}), simhashed AS ({SQL['article_simhashes']}),
+a AS MATERIALIZED (SELECT article_id, content_hash AS h, simhash AS s, TIMESTAMP '2024-01-01' + article_id * INTERVAL {_APART} MINUTE AS t, row_number() OVER (ORDER BY article_id) AS k FROM hashed JOIN simhashed USING (article_id)),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS article_id, NULL::VARCHAR AS h, NULL::TIMESTAMP AS t, NULL::BIGINT AS story_id, NULL::VARCHAR AS match, NULL::DOUBLE AS similarity, []::{_OPEN}[] AS stories
+UNION ALL SELECT k, article_id, h, t, CASE WHEN pick IS NULL THEN article_id ELSE live[pick].id END, CASE WHEN same IS NOT NULL THEN 'ExactHash' WHEN pick IS NOT NULL THEN 'NearDuplicate' ELSE 'New' END,
+    CASE WHEN same IS NOT NULL THEN 1.0 WHEN pick IS NOT NULL THEN 1 - near.d / 64.0 ELSE 0.0 END,
+    CASE WHEN pick IS NULL THEN list_append(live, {{'id': article_id, 's': s, 'since': t, 'last': t, 'held': [h]}}::{_OPEN})
+        ELSE list_transform(live, lambda o, i: CASE WHEN i = pick THEN {{'id': o.id, 's': o.s, 'since': o.since, 'last': t, 'held': list_append(o.held, h)}}::{_OPEN} ELSE o END) END
+  FROM (SELECT *, COALESCE(same, near.i) AS pick FROM (SELECT *, list_filter(list_transform(live, lambda o, i: CASE WHEN list_contains(o.held, h) THEN i END), lambda i: i IS NOT NULL)[1] AS same,
+      list_sort(list_filter(list_transform(live, lambda o, i: {{'d': {_BITS_APART}, 'i': CASE WHEN s <> 0 AND o.s <> 0 AND {_BITS_APART} <= {hashing.NEAR_BITS} THEN i END}}), lambda x: x.i IS NOT NULL))[1] AS near
+    FROM (SELECT a.*, list_filter(g.stories, lambda o: a.t - o.last <= INTERVAL 72 HOUR) AS live FROM g JOIN a ON a.k = g.k + 1))))"""
+
+
+def _in_batches(spark: SparkSession, sf_dir: str) -> StoryStore:
+    store = StoryStore(spark, new_path(spark, "story-store"))
+    story_store.cluster_periods(store, _spread(spark, sf_dir), _BATCHES)
+    return store
+
+
+@R.add(f"WITH RECURSIVE {_GREEDY} SELECT article_id, story_id, match, CAST(similarity AS DOUBLE) AS similarity FROM g WHERE k > 0")
+def clustered_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that come in batches and meet the stories of earlier ones, by content hash and SimHash."""
+    return _in_batches(spark, sf_dir).read("assigned").select("article_id", "story_id", "match", "similarity")
+
+
+@R.add(f"WITH RECURSIVE {_GREEDY} SELECT story_id, min(t) AS published_at, max(t) AS last_activity_at, count(DISTINCT h) AS n_hashes FROM g WHERE k > 0 GROUP BY story_id")
+def story_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored stories are after the last batch."""
+    return story_store.states(_in_batches(spark, sf_dir))
+
+
 @R.add()
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir)

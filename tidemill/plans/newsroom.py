@@ -46,7 +46,7 @@ _SOURCED = "story_members m LEFT JOIN sources s USING (source_id) LEFT JOIN prim
 
 
 @R.add(f"""{_PRIMARIES}, k AS (SELECT m.story_id, left({_BODY.replace('story_id', 'm.story_id').replace('position', 'm.position')}, 2500) AS x, COALESCE(name, 'Bilinmeyen kaynak') AS s,
-    row_number() OVER (PARTITION BY m.story_id ORDER BY CASE WHEN m.position = p.position THEN 0 ELSE 1 END, NOT COALESCE(is_official, false), m.published_at, m.position) AS k FROM {_SOURCED}),
+    row_number() OVER (PARTITION BY m.story_id ORDER BY CASE WHEN m.position = p.position AND m.source_id = p.primary_source_id THEN 0 ELSE 1 END, NOT COALESCE(is_official, false), m.published_at, m.position, m.source_id) AS k FROM {_SOURCED}),
 l AS (SELECT story_id, list(x ORDER BY k) AS excerpts, list(s ORDER BY k) AS names FROM k WHERE k <= 6 GROUP BY story_id)
 SELECT story_id, excerpts, list_filter(names, lambda v, i: list_position(names, v) = i) AS source_names FROM l""")
 def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ _LINKS = "links AS (SELECT story_id, position, 'https://e/' || story_id || '/' |
 
 
 @R.add(f"""{sql_with('sources', 'story_members', 'stories')}, {news._PRIMARY}, {news._TOPICS}, {_LINKS},
-a AS (SELECT m.story_id, list({{'name': COALESCE(name, 'Bilinmeyen kaynak'), 'is_official': COALESCE(is_official, false)}} ORDER BY CASE WHEN m.position = p.position THEN 0 ELSE 1 END, m.published_at, m.position) AS sources FROM {_SOURCED} GROUP BY m.story_id),
+a AS (SELECT m.story_id, list({{'name': COALESCE(name, 'Bilinmeyen kaynak'), 'is_official': COALESCE(is_official, false)}} ORDER BY CASE WHEN m.position = p.position AND m.source_id = p.primary_source_id THEN 0 ELSE 1 END, m.published_at, m.position, m.source_id) AS sources FROM {_SOURCED} GROUP BY m.story_id),
 b AS (SELECT story_id, list(url ORDER BY position) AS links FROM links GROUP BY story_id), c AS (SELECT story_id, list(topic_id ORDER BY weight DESC, topic_id) AS topics FROM story_topics GROUP BY story_id)
 SELECT stories.story_id, category, sources, COALESCE(links, []) AS links, COALESCE(topics, []) AS topics FROM stories LEFT JOIN a USING (story_id) LEFT JOIN b USING (story_id) LEFT JOIN c USING (story_id)""")
 def story_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,10 @@ def interests_after_mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.unmuted_interests(T.interests(spark, sf_dir), log)
 
 
-@R.add("""WITH t AS (SELECT p_partkey AS topic_id, lower(p_brand) || '-' || p_partkey AS slug FROM part WHERE p_partkey <= 500), r AS (SELECT c_custkey AS user_id, unnest([' BRAND#11-' || (c_custkey % 500), 'brand#22-' || (c_custkey % 500), 'nothing', (SELECT any_value(slug) FROM t WHERE topic_id = 7), (SELECT '  ' || upper(any_value(slug)) FROM t WHERE topic_id = 7)]) AS s FROM customer)
+@R.add("""WITH t AS (SELECT p_partkey AS topic_id, lower(p_brand) || '-' || p_partkey AS slug FROM part), r AS (SELECT c_custkey AS user_id, unnest([' BRAND#11-' || (c_custkey % 500), 'brand#22-' || (c_custkey % 500), 'nothing', (SELECT any_value(slug) FROM t WHERE topic_id = 7), (SELECT '  ' || upper(any_value(slug)) FROM t WHERE topic_id = 7)]) AS s FROM customer)
 SELECT user_id, topic_id, 1.0::DOUBLE AS weight, true AS is_explicit FROM (SELECT DISTINCT user_id, lower(trim(s)) AS slug FROM r) JOIN t USING (slug)""")
 def registered_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = T.table(spark, sf_dir, "part").filter("p_partkey <= 500").select(F.col("p_partkey").alias("topic_id"), F.concat_ws("-", F.lower("p_brand"), "p_partkey").alias("slug"))
+    topics = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic_id"), F.concat_ws("-", F.lower("p_brand"), "p_partkey").alias("slug"))
     own = lambda brand: F.concat(F.lit(brand), (F.col("c_custkey") % 500).cast("string"))
     seventh = topics.filter("topic_id = 7").select(F.col("slug").alias("seventh"))
     c = T.table(spark, sf_dir, "customer").join(F.broadcast(seventh))
