@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .columns import blocks, coded, per_text, running, text_bytes, words
 from .common import stored
 
-#: Labelled documents that the trees are fitted on at most; statistics are of all documents.
+#: Labelled documents that the trees are fitted on at most, about; statistics are of all documents.
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 64
 #: Penalty of a leaf's value, and least sum of second derivatives in a leaf.
@@ -206,11 +206,13 @@ def train(x: np.ndarray, y: np.ndarray, falling: tuple[int, ...] = (), trees: in
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = FIT_ROWS) -> Forest:
-    """Trees fitted on ``rows`` labelled documents at most, those with the smallest hashes of their id. Null ids and labels
+    """Trees fitted on ``rows`` labelled documents at most, about, chosen by the hashes of their ids. Null ids and labels
     teach nothing; a document with several labels has their mean, one with several rows its first by statistics."""
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     found = stats.groupBy("id").agg(F.min(F.struct(*FEATURES)).alias("x")).join(own, "id")
-    some = found.orderBy(F.xxhash64("id"), "id").limit(rows).select("y", "x.*").toPandas()
+    found = stored(found, "labelled")
+    every = max(1, -(-found.count() // rows))
+    some = found.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy("id").select("y", "x.*").toPandas()
     return train(some[list(FEATURES)].to_numpy(float), some["y"].to_numpy(float), tuple(FEATURES.index(c) for c in FALLING))
 
 
