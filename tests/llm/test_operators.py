@@ -697,3 +697,22 @@ def test_similar_groups_lose_no_link(spark):
     assert len(set(plain_components(texts).values())) < len(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == plain_components(texts)
+
+
+def test_long_runs_and_many_secrets(spark):
+    import random
+    import string
+
+    rng = random.Random(1)
+    run = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=100_000))
+    got = secrets.digest(spark.createDataFrame([(1, f"{run} plain {run[:30]}"), (2, "g1" * 40_000)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "entropy:0:100000,entropy:100007:100037", 2: ""}
+
+    runs = [run[a : a + n] for a, n in ((0, 20), (50, 21), (90, 275), (400, 276), (700, 277), (1000, 900))] + ["ab1" * 200, "0123456789abcdef" * 40, "q" * 300]
+    entropy = {r["s"]: r["e"] for r in spark.createDataFrame([(s,) for s in runs], "s string").select("s", secrets.window_entropy(F.col("s")).alias("e")).collect()}
+    for s in runs:
+        assert math.isclose(entropy[s], max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)), abs_tol=1e-9)
+
+    many = " ".join(f"x{i} token=abcdefgh{i}" for i in range(3000)) + " ünd password=token=abcdefgh12 end"
+    masked = secrets.redact(spark.createDataFrame([(many,), (None,), ("clean",)], "text string")).collect()
+    assert sorted(r["text"] or "" for r in masked) == sorted(["", "clean", " ".join(f"x{i} [SECRET]" for i in range(3000)) + " ünd [SECRET] end"])

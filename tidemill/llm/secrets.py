@@ -14,6 +14,7 @@ placeholders.
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ HEX_LONG = r"[0-9a-f]{32,}"
 ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Matches whose places are summed together.
-CHUNK = 256
+#: Matches whose places are summed together, and windows that are slid over together.
+CHUNK = STEP = 256
 #: Bits a character in a window of 20, by character class.
 HEX_BITS, ALNUM_BITS, SYMBOL_BITS = 3.15, 3.75, 3.85
 #: Candidates that are never secrets; whole matches.
@@ -67,29 +68,48 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(let(both, cut), walked)).otherwise(empty)
 
 
-def _clogc(c: Column) -> Column:
-    """c log2 c for a count from 0 to the window's length."""
-    return F.when(c <= 1, 0.0).otherwise(c * F.log2(c.cast("double")))
+#: c log2 c for the counts c from 0 to WINDOW.
+_CLOGC = [c * log2(c) if c else 0.0 for c in range(WINDOW + 1)]
 
 
-def _count(s: Column, ch: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, ch, F.lit("")))
+def _highest(piece: Column) -> Column:
+    """The least sum of c log2 c, over the counts c of a window's characters, of all windows of WINDOW characters in a piece
+    of WINDOW to STEP + WINDOW - 1 characters. Counts are an array with a place for each character of the piece; a step
+    takes one from the character that leaves and gives one to the character that enters."""
+    clogc = F.array(*[F.lit(x) for x in _CLOGC])
+    at = lambda a, i: F.get(a, i)  # noqa: E731  from 0
 
+    def walked(p: Column) -> Column:
+        code, first = p["code"], F.slice(p["code"], 1, WINDOW)
+        counts = F.transform(F.sequence(F.lit(1), p["kinds"]), lambda k: F.size(F.filter(first, lambda c: c == k)))
+        start = F.aggregate(counts, F.lit(0.0), lambda a, c: a + at(p["clogc"], c))
 
-def window_entropy(s: Column) -> Column:
-    """The highest Shannon entropy, in bits a character, of all windows of WINDOW characters in ``s`` (not shorter)."""
-    first = F.substring(s, 1, WINDOW)
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, ch: a + _clogc(_count(first, ch)))
+        def slide(acc: Column, i: Column) -> Column:
+            def step(x: Column) -> Column:
+                n, out, into = acc["n"], x["out"], x["into"]
+                low, high = F.least(out, into), F.greatest(out, into)
+                given = F.when(into < out, 1).otherwise(-1)  # to the lower of the two places
+                moved = F.concat(F.slice(n, F.lit(1), low - 1), F.array(at(n, low - 1) + given), F.slice(n, low + 1, high - low - 1), F.array(at(n, high - 1) - given), F.slice(n, high + 1, p["kinds"]))
+                left, entered = at(n, out - 1), at(n, into - 1)
+                value = acc["now"] - at(p["clogc"], left) + at(p["clogc"], left - 1) - at(p["clogc"], entered) + at(p["clogc"], entered + 1)
+                return F.when(out == into, acc).otherwise(F.struct(moved.alias("n"), value.alias("now"), F.least(acc["least"], acc["now"]).alias("least")))
+
+            return let(F.struct(at(code, i).alias("out"), at(code, i + WINDOW).alias("into")), step)
+
+        steps = F.slice(F.sequence(F.lit(0), F.size(code)), 1, F.size(code) - WINDOW)
+        return F.aggregate(steps, F.struct(counts.alias("n"), start.alias("now"), start.alias("least")), slide, lambda acc: F.least(acc["least"], acc["now"]))
 
-    def slide(acc: Column, i: Column) -> Column:
-        kept = F.substr(s, i + 1, F.lit(WINDOW - 1))  # what the old and the new window share
-        left, entered = _count(kept, F.substr(s, i, F.lit(1))), _count(kept, F.substr(s, i + WINDOW, F.lit(1)))
-        now = acc["now"] - _clogc(left + 1) + _clogc(left) + _clogc(entered + 1) - _clogc(entered)
-        return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
+    chars = F.split(piece, "")
+    coded = lambda c: let(F.array_distinct(c), lambda kinds: F.struct(F.transform(c, lambda x: F.array_position(kinds, x).cast("int")).alias("code"), F.size(kinds).alias("kinds"), clogc.alias("clogc")))
+    return let(let(chars, coded), walked)
 
-    steps = F.when(F.length(s) > WINDOW, F.sequence(F.lit(1), F.length(s) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(start.alias("now"), start.alias("least")), slide)["least"]
-    return F.log2(F.lit(float(WINDOW))) - least / WINDOW
+
+def window_entropy(s: Column) -> Column:
+    """The highest Shannon entropy, in bits a character, of all windows of WINDOW characters in ``s`` (ASCII, not shorter). A
+    long run is cut into pieces of STEP windows, by bytes, so that a step costs the same at any place of it."""
+    begins = F.sequence(F.lit(0), F.length(s) - WINDOW, F.lit(STEP))
+    pieces = let(s.cast("binary"), lambda b: F.transform(begins, lambda i: F.substring(b, i + 1, F.lit(STEP + WINDOW - 1)).cast("string")))
+    return F.log2(F.lit(float(WINDOW))) - F.array_min(F.transform(pieces, _highest)) / WINDOW
 
 
 def entropy_spans(text: Column) -> Column:
@@ -129,16 +149,35 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     """``docs`` with every span of a secret in the text replaced by ``mask``; overlapping spans become one. Texts without
     secrets, null included, stay as they are."""
     text = F.col(text_col)
-    reach = F.aggregate(  # overlapping spans as one, (from, to), in order
-        "secrets", F.array().cast("array<struct<a:int,z:int>>"),
-        lambda out, x: F.when((F.size(out) > 0) & (x["start"] < F.element_at(out, -1)["z"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["z"], x["end"]).alias("z")))))
-        .otherwise(F.concat(out, F.array(F.struct(x["start"].alias("a"), x["end"].alias("z"))))),
-    )
+    # overlapping spans as one, (a, z), in order: one begins where no span before reaches; sums in chunks, as in ``spans``
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda k: F.slice(r, k * CHUNK + 1, CHUNK))
+    most = lambda c: F.array_max(F.transform(c, lambda x: x["end"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.array(F.struct(x["start"].alias("a"), acc["far"].alias("before")))
+        return F.struct(F.greatest(acc["far"], x["end"]).alias("far"), F.when(x["start"] >= acc["far"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def merged(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.greatest(F.element_at(a, -1), most(c)))))
+        none = F.array().cast("array<struct<a:int,before:int>>")
+        first = lambda at: F.flatten(F.zip_with(chunks, F.slice(at, 1, F.size(chunks)), lambda c, z: F.aggregate(c, F.struct(z.alias("far"), none.alias("out")), step)["out"]))
+        ends = lambda at, r: F.concat(F.transform(F.slice(r, 2, F.size(r)), lambda x: x["before"]), F.array(F.element_at(at, -1)))
+        return let(before, lambda at: let(first(at), lambda r: F.zip_with(r, ends(at, r), lambda x, z: F.struct(x["a"].alias("a"), z.alias("z")))))
+
+    reach = let(cut(F.col("secrets")), merged)
+
     def between(r: Column) -> Column:
         """The pieces of the text around the spans, one more than these."""
         begin = lambda i: F.when(i > 0, F.element_at(r, F.greatest(i, F.lit(1)))["z"]).otherwise(0)
         end = lambda i: F.when(i < F.size(r), F.element_at(r, F.least(i + 1, F.size(r)))["a"]).otherwise(F.length(text))
-        return F.transform(F.sequence(F.lit(0), F.size(r)), lambda i: F.substr(text, begin(i) + 1, end(i) - begin(i)))
+
+        def chunk(k: Column) -> Column:
+            """CHUNK pieces from their own stretch of the text: finding a place in a text costs as much as it is far."""
+            first, last = k * CHUNK, F.least(k * CHUNK + (CHUNK - 1), F.size(r))
+            stretch = F.struct(begin(first).alias("at"), F.substr(text, begin(first) + 1, end(last) - begin(first)).alias("s"))
+            return let(stretch, lambda x: F.transform(F.sequence(first, last), lambda i: F.substr(x["s"], begin(i) - x["at"] + 1, end(i) - begin(i))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(r) / CHUNK).cast("int")), chunk))
 
     masked = F.array_join(let(reach, between), mask)
     kept = [c for c in docs.columns if c != "secrets"]
