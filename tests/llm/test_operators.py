@@ -716,3 +716,16 @@ def test_long_runs_and_many_secrets(spark):
     many = " ".join(f"x{i} token=abcdefgh{i}" for i in range(3000)) + " ünd password=token=abcdefgh12 end"
     masked = secrets.redact(spark.createDataFrame([(many,), (None,), ("clean",)], "text string")).collect()
     assert sorted(r["text"] or "" for r in masked) == sorted(["", "clean", " ".join(f"x{i} [SECRET]" for i in range(3000)) + " ünd [SECRET] end"])
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None if k % 2 else 1, "word " * (1 + k % 40), f"s{k % 3}") for k in range(600)]
+    same = [(5, "one two three four five six", "s0")] * 900 + [(None, "again and again", "s1")] * 700 + [(None, None, None)] * 3 + [(None, None, "s2")] * 3
+    for table in (rows, [(None, t, s) for _, t, s in rows], [(1, t, s) for _, t, s in rows], rows + same, same):
+        df = spark.createDataFrame([(i, t, s, "x", 1) for i, t, s in table], "doc_id long, text string, source string, lang string, _m int").repartition(4)
+        m = mixing.mix(df).collect()
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in m) == Counter(table)
+        for s in {r["source"] for r in m}:
+            own = [r for r in m if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in own)
+        assert Counter(tuple(r) for r in m) == Counter(tuple(r) for r in mixing.mix(df.repartition(3)).collect())

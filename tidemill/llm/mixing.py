@@ -7,6 +7,9 @@ document's size (or a given weight) and the source's level makes the words of al
 with pi of 1 are certain copies, set apart; the others are an order sample: they are ranked by random odds over inclusion
 odds, (u / (1 - u)) / (pi / (1 - pi)), and the first ones are taken until the sample is full, so it has a fixed size.
 
+Random numbers hang on the id, the text and the number of the copy: rows with equal ids and texts are numbered, so a source
+that is mostly one repeated row is sampled like any other.
+
 DataFrame operations only. A source may hold any share of the rows: words are summed by source and merit, ranks are cut
 into slices by value, as many as the source has rows for, and only the slice in which the sample ends is ordered.
 """
@@ -16,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import sieve, stored, word_count
 
 #: Slices of a source's ranks at least, and rows of a slice on average, above which it has more.
 SLICES, SLICE_ROWS = 4096, 4096
+#: Copies of a row that are made together.
+COPIES = 4096
 #: A document's merit: one, and one more for each of these sizes that it reaches.
 MERIT_SIZES = (100, 400, 1600)
 _RANGE = 1 << 48
@@ -68,17 +73,36 @@ def levels(by_merit: DataFrame) -> DataFrame:
     return free.groupBy("_source").agg(F.max(F.struct("_merit", "_level"))["_level"].alias("_level"))
 
 
+def numbered(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_copy``: rows with equal id, source and text are numbered from 1. Most rows have no equal: only the
+    others are aggregated, to distinct rows and their counts, and spread again, a chunk of COPIES at a time."""
+    own = docs.withColumn("_equal", F.xxhash64(F.struct(id_col, source_col, text_col)))
+    repeated = stored(own.groupBy("_equal").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("_equal"), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("_copy", F.lit(1).cast("long"))
+    maybe, clean = sieve(own, "_equal", repeated)
+    several = maybe.join(repeated.hint("shuffle_hash"), "_equal", "left_semi")
+    alone = clean.unionByName(maybe.join(repeated.hint("shuffle_hash"), "_equal", "left_anti")).withColumn("_copy", F.lit(1).cast("long"))
+    distinct = several.groupBy(*several.columns).agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy("_equal").orderBy(F.xxhash64(*docs.columns))
+    first = distinct.withColumn("_first", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m"))
+    chunks = first.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / COPIES)))).repartition("_equal", "_chunk")
+    begin = F.col("_chunk") * COPIES
+    spread = chunks.withColumn("_k", F.explode(F.sequence(begin + 1, F.least(begin + COPIES, F.col("_m"))))).withColumn("_copy", F.col("_first") + F.col("_k"))
+    return alone.drop("_equal").unionByName(spread.select(*docs.columns, "_copy"))
+
+
 def _ranks(sized: DataFrame, seed: str) -> DataFrame:
-    """``_rank``: random odds over inclusion odds, as a number from 0 (certain) to 1 (never)."""
+    """``_rank``: random odds over inclusion odds, as a number from 0 (certain) to 1 (never). ``_tie`` orders equal ones."""
     pi = F.least(F.coalesce(F.col("_level"), F.lit(1.0)) * F.col("_merit"), F.lit(1.0))
-    u = uniform(F.lit(seed), F.col("_id"))
+    u = uniform(F.lit(seed), F.col("_id"), F.col("_text"), F.col("_copy"))
     odds = (u / (1 - u)) * (1 - pi) / F.greatest(pi, F.lit(1e-12))
-    return sized.withColumn("_rank", odds / (1 + odds))
+    return sized.withColumns({"_rank": odds / (1 + odds), "_tie": F.xxhash64("_id", "_text", "_copy")})
 
 
 def source_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
-    """For (``_id``, ``_source``, ``_size``, ``_merit``): one row for each source with its target, whole copies, level and
-    the last rank (``_last``: rank, id) that gets one more copy, null where none does."""
+    """For (``_id``, ``_text``, ``_copy``, ``_source``, ``_size``, ``_merit``): one row for each source with its target, whole
+    copies, level and the last rank (``_last``: rank, tie) that gets one more copy, null where none does."""
     by_merit = stored(sized.groupBy("_source", "_merit").agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_rows")), "merits")  # a few rows for each source
     src = by_merit.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.greatest(F.lit(SLICES), F.ceil(F.sum("_rows") / SLICE_ROWS)).alias("_slices"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -96,12 +120,12 @@ def source_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most:
     )
     cut = stored(cut.select("_source", F.col("_cut._slice").alias("_cut_slice"), F.col("_cut._from").alias("_cut_from")), "cuts")
     edge = _with(ranked, cut).filter((F.col("_slice") == F.col("_cut_slice")) & (F.col("_rest") > 0))
-    inner = Window.partitionBy("_source").orderBy("_rank", F.col("_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_source").orderBy("_rank", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_before", F.col("_cut_from") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    taken = edge.filter(F.col("_before") + F.col("_size") / 2 <= F.col("_rest")).groupBy("_source").agg(F.max(F.struct("_rank", "_id")).alias("_last"))
+    taken = edge.filter(F.col("_before") + F.col("_size") / 2 <= F.col("_rest")).groupBy("_source").agg(F.max(F.struct("_rank", "_tie")).alias("_last"))
     # where not even the first document of that slice fits, all earlier slices are taken still
     plan = _with(_with(goal, cut), taken)
-    return stored(plan.select("_source", "source_size", "target", "_whole", "_rest", "_slices", "_level", F.col("_cut_slice"), F.col("_last._rank").alias("_last_rank"), F.col("_last._id").alias("_last_id")), "mix-plan")
+    return stored(plan.select("_source", "source_size", "target", "_whole", "_rest", "_slices", "_level", F.col("_cut_slice"), F.col("_last._rank").alias("_last_rank"), F.col("_last._tie").alias("_last_tie")), "mix-plan")
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -116,28 +140,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     (words the mix takes, ``size * copies``) added; columns of these names in ``docs`` are replaced.
 
     A null text has size 0, a null source is a source of its own, last in order. Documents of size 0 take 0 words. Rows
-    with the same id and size share their rank and are taken or left together. ``weight_col``: a positive number for each
+    with the same id, source and text are numbered, and a sample that ends among them takes a part; null ids are told by
+    their texts. Columns must be of kinds that can be grouped. ``weight_col``: a positive number for each
     document in place of its size's merit, rounded to a whole power of the square root of two (null: 1). An empty table
-    gives an empty result. Random numbers depend on ``seed`` and the id, so that reruns agree.
+    gives an empty result. Random numbers depend on ``seed``, the id, the text and the copy's number, so that reruns agree.
     """
-    base = docs.drop("size", "source_size", "target", "copies", "taken")
+    kept = docs.drop("size", "source_size", "target", "copies", "taken")
+    name = {c: f"c{i}" for i, c in enumerate(kept.columns)}  # names that no added column has
+    id_col, source_col, text_col, weight_col = name[id_col], name[source_col], name[text_col], name[weight_col] if weight_col else None
+    base = numbered(kept.toDF(*name.values()), id_col, source_col, text_col)
     size = word_count(F.col(text_col))
     given = F.pow(F.lit(2.0), F.round(2 * F.log2(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)))) / 2) if weight_col else None
     merit = given if weight_col else sum((F.when(F.col("_size") >= n, 1).otherwise(0) for n in MERIT_SIZES), F.lit(1))
-    own = lambda df: df.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": size}).withColumn("_merit", merit)
-    sized = stored(own(base).select("_id", "_source", "_size", "_merit"), "sizes")
+    own = lambda df: df.withColumns({"_id": F.col(id_col), "_text": F.md5(F.coalesce(text_col, F.lit("")).cast("binary")), "_source": F.col(source_col), "_size": size}).withColumn("_merit", merit)
+    sized = stored(own(base).select("_id", "_text", "_copy", "_source", "_size", "_merit"), "sizes")
     plan = source_plan(sized, weights, share, most, seed)
     out = _ranks(_with(own(base), plan), seed)
     at = F.floor(F.col("_rank") * F.col("_slices")).cast("int")
-    earlier = (F.col("_rank") < F.col("_last_rank")) | ((F.col("_rank") == F.col("_last_rank")) & (F.col("_id") <= F.col("_last_id")))
+    earlier = (F.col("_rank") < F.col("_last_rank")) | ((F.col("_rank") == F.col("_last_rank")) & (F.col("_tie") <= F.col("_last_tie")))
     extra = (F.col("_rest") > 0) & ((at < F.col("_cut_slice")) | F.coalesce(earlier, F.lit(False)))
     copies = F.least(F.col("_whole") + extra.cast("long"), F.lit(most))
-    return out.select(*base.columns, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    return out.select(*(F.col(v).alias(c) for c, v in name.items()), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(LEN(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-        ((('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT) + 0.5) / 281474976710656.0 AS u
+        ((('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, source, text)), 1, 12))::BIGINT) + 0.5) / 281474976710656.0 AS u
     FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
