@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..functions.vectors import cosine
 
 #: Stories that keyword search scores; passages fetched, and kept after the filters; tokens a query has at most.
 POOL, FETCHED, KEPT, TOKENS = 300, 24, 8, 6
@@ -38,18 +37,6 @@ def keyword_search(stories: DataFrame, tokens: list[str]) -> DataFrame:
     return pool.withColumn("relevance", relevance)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, similarity): the ``k`` nearest others by cosine, exactly, ties to the smaller id.
-
-    ``queries`` (query_id, query) is a stated set, broadcast below Spark's size threshold; each task keeps its own best
-    before anything is shuffled, so what moves is k rows for each query and task, not every pair."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(queries, F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", cosine(F.col("v"), F.col("query")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # Spark ranks inside tasks first
-    return ranked.select("query_id", "rank", "id", "similarity")
-
-
 def related(near: DataFrame, overlap: DataFrame) -> DataFrame:
     """(query_id, id): the near ones; for queries without any, those of ``overlap``."""
     without = overlap.join(near.select("query_id").distinct(), "query_id", "left_anti")

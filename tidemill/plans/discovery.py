@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, search_query, text, vectors
-from ..operators import clustering, search, stories, story_store
+from ..operators import clustering, nearest, search, stories, story_store
 from ..operators.story_store import StoryStore
 from ..sources import tables as T
 from ..sources.storage import new_path
@@ -81,7 +81,7 @@ _NEAR = f"near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS.format(a='
 
 def near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     v = T.table(spark, sf_dir, "embeddings")
-    return search.nearest(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+    return nearest.nearest(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
 
 
 @R.add(f"WITH {_NEAR} SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM near WHERE rank <= 5")
