@@ -117,7 +117,7 @@ def _features(df: DataFrame) -> DataFrame:
         for b in batches:
             found = [counts(t) for t in b.column(1).to_pylist()]
             at = [a.astype(np.uint16).tobytes() for a, _ in found]
-            n = [np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() for _, c in found]  # its logarithm counts
+            n = [c.astype(np.uint32).tobytes() for _, c in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "place", "at", "n"])
 
     return df.mapInArrow(work, "lang string, place long, at binary, n binary")
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id") -> Model
     got = _features(near.select("lang", "text", "place")).toArrow()
     small = sorted(zip(got["place"].to_pylist(), got["lang"].to_pylist(), got["at"].to_pylist(), got["n"].to_pylist(), strict=True))
     del got
-    return train(model, [(index[lang], np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint16)) for _, lang, at, n in small])
+    return train(model, [(index[lang], np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint32)) for _, lang, at, n in small])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
