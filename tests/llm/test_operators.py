@@ -696,7 +696,8 @@ def test_similar_groups_lose_no_link(spark):
             texts[len(texts)] = " ".join(w) + line * int(rng.integers(0, 3))
     assert len(set(plain_components(texts).values())) < len(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == plain_components(texts)
+    for apart in (simhash.APART, None):  # with the bound of fingerprints, and all compared
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, apart=apart).collect()} == plain_components(texts)
 
 
 def test_long_runs_and_many_secrets(spark):

@@ -487,7 +487,7 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
     return dealt.groupBy("bucket").applyInArrow(find, "token long, node long, m long, place int, near long, apart int")
 
 
-def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, apart: int = APART) -> DataFrame:
     """(a, b), a < b: all pairs of ``shared`` in different components that ``least`` does not rule out by the sizes of the
     sets, by what is left of them after the shared shingle and by their wide fingerprints. Sets of a shingle that is in more than TOGETHER of them are
     dealt into blocks, and each pair of blocks is a group of its own."""
@@ -524,7 +524,7 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least:
                 all_x, all_y = at[found], to[found]
                 for i in range(0, len(all_x), 1 << 15):  # bounded memory
                     x, y = all_x[i : i + (1 << 15)], all_y[i : i + (1 << 15)]
-                    close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= APART)
+                    close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= apart)
                     x, y = node[x[close]], node[y[close]]
                     kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
                     held += len(x)
@@ -538,14 +538,14 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least:
     return dealt.repartition("v").sortWithinPartitions("v", "m").mapInArrow(work, "a long, b long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float, most: int = APART) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Wide
     fingerprints rule most others out. For the rest, each set is made of one of its texts again and sent,
     once, to each group in which it is compared; a group is one set with some of its partners. Shingles are told by 48 bits."""
     about = nodes.select("node", "m", "wide")
     both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "wide": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "wide": "y"}).hint("shuffle_hash"), "b")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE // 64)), F.lit(0))
-    pairs = stored(both.filter((F.least("ma", "mb") < FEW) | (apart <= APART)).select("a", "b"), "pairs")
+    pairs = stored(both.filter((F.least("ma", "mb") < FEW) | (apart <= most)).select("a", "b"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"))
     goes = dealt.select(F.col("a").alias("node"), F.struct("g", F.lit(True).alias("first")).alias("to")).unionByName(dealt.select(F.col("b").alias("node"), F.struct("g", F.lit(False).alias("first")).alias("to")))
@@ -587,14 +587,15 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     return stored(sent.groupBy("g").applyInArrow(compare, "a long, b long"), "links")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, apart: int | None = APART) -> tuple[DataFrame, DataFrame]:
     """(id, text_hash, fp, node) for each row of ``docs``, and (node, root, component_id, n) for each distinct set of
     shingles: ``root`` is equal for sets that links reach, where a link is a similarity of ``least`` or more.
 
     No link is lost: two similar sets share one of the first shingles of each in any common order (a prefix-filter join).
     1. Sets that share such a shingle each propose those with the closest fingerprints, which links most near copies.
     2. All pairs between the components so far that share such a shingle are checked.
-    In both steps pairs whose wide SimHash fingerprints are further apart than similar sets can be are left out (see APART).
+    In both steps pairs whose wide SimHash fingerprints are more than ``apart`` bits apart are left out (see APART, which is for
+    ``least`` of 0.8 and more); with None all are compared.
     """
     own = stored(_sets(docs, id_col, text_col, words), "sets")
     rep = F.min(F.struct(F.col("id").isNull().alias("_z"), "id", "text_hash")).alias("rep")
@@ -605,16 +606,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = shared.filter("node <> near").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "near"))), 1, PROPOSED).alias("p"))
     first = near.select("node", F.explode("p.near").alias("near")).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
     first = stored(first, "proposed")
-    check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
+    most = WIDE if apart is None else apart
+    check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least, most)
     close = check(first)
-    rest = crossing_pairs(shared, nodes, connected(close), least).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
+    rest = crossing_pairs(shared, nodes, connected(close), least, most).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
     links = close.unionByName(check(rest))
     return own.select("id", "text_hash", "fp", "node"), _rooted(nodes.select("node", "least", "n"), links, "node")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, apart: int | None = APART) -> DataFrame:
     """As ``near_duplicates``, but a link is a Jaccard similarity of ``least`` or more of the sets of word shingles (texts
     without words are equal)."""
-    own, labels = similar_sets(docs, id_col, text_col, words, least)
+    own, labels = similar_sets(docs, id_col, text_col, words, least, apart)
     out = hot_join(own, labels, "node", "n")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
