@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables as T
 from ..sources.storage import new_path
+from ..sources.tables import at
+from ..streaming import cycle as C
 from ..streaming import pipeline as P
 from .registry import Registry
 
@@ -44,3 +47,44 @@ def stream_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stream-streaks")
     P.run(P.streaks(_events(spark, sf_dir)), P.upsert_counts(path, ["user_id"]), "update", path)
     return P.last_of(spark, path, ["user_id"]).select("user_id", "current", "longest", "last_day")
+
+
+#: Runs of the cycle, and the moment at which they are asked.
+_RUNS, _CYCLE_NOW = 3, "2024-01-08 00:00:00"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fetched items: some repeat an id, and some have no address, no text, or a time that is old or no time."""
+    i = F.col("doc_id")
+    published = F.when(i % 17 == 0, "soon").when(i % 13 == 0, "2023-11-05 10:00:00").otherwise(F.date_format(F.timestamp_seconds(F.unix_timestamp(at("2024-01-01 00:00:00")) + i % 10000 * 60), "yyyy-MM-dd HH:mm:ss"))
+    d = T.table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("source").alias("source_id"), F.when(i % 10 == 3, i - 1).otherwise(i).alias("external_id"), i.alias("position"), F.when(i % 19 > 0, F.concat(F.lit("http://www.e.org/a/"), i.cast("string"), F.lit("/?utm_source=x"))).alias("url"),
+        F.concat(F.lit("t"), i.cast("string")).alias("title"), F.lit(None).cast("string").alias("excerpt"), F.when(i % 23 > 0, F.substring_index("text", "\n", 3)).alias("content"), published.alias("published"),
+    )
+
+
+def _cycled(spark: SparkSession, sf_dir: str) -> C.Cycle:
+    """Each run of the stream finds what has come since the last one."""
+    path = new_path(spark, "cycle")
+    cycle = C.Cycle(spark, f"{path}/tables", at(_CYCLE_NOW))
+    for k in range(_RUNS):
+        _items(spark, sf_dir).filter(F.col("position") % _RUNS == k).write.mode("append").parquet(f"{path}/feed")
+        P.run(P.read(spark, f"{path}/feed"), cycle.step, path=f"{path}/stream")
+    return cycle
+
+
+_LABELLED = f"""i AS (SELECT doc_id % {_RUNS} AS batch, source, CASE WHEN doc_id % 10 = 3 THEN doc_id - 1 ELSE doc_id END AS external_id, doc_id AS position,
+    CASE WHEN doc_id % 19 = 0 THEN 'no address' WHEN doc_id % 23 = 0 OR trim(regexp_replace(array_to_string(string_split(text, chr(10))[1:3], chr(10)), '^ +| +$', '', 'g')) = '' THEN 'no text' WHEN doc_id % 17 = 0 THEN 'unreadable time' WHEN doc_id % 13 = 0 THEN 'too old' END AS reason FROM documents),
+l AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN row_number() OVER (PARTITION BY source, external_id, reason IS NULL ORDER BY batch, position) = 1 THEN 'created' ELSE 'known' END AS status FROM i)"""
+
+
+@R.add(f"WITH {_LABELLED} SELECT CAST(batch AS INTEGER) AS batch, count(*) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'known') AS known, count(*) FILTER (status = 'rejected') AS rejected FROM l GROUP BY ALL")
+def cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the items of each run."""
+    return _cycled(spark, sf_dir).counts().select("batch", "fetched", *C.STATUSES)
+
+
+@R.add(f"WITH {_LABELLED} SELECT position, reason FROM l WHERE status = 'rejected'")
+def cycle_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cycled(spark, sf_dir).items("rejected").select("position", "reason")
