@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 from ..sources.storage import new_path
 from ..sources.tables import at
+from ..streaming import backoff
 from ..streaming import cycle as C
 from ..streaming import pipeline as P
 from .registry import Registry
@@ -88,3 +89,13 @@ def cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"WITH {_LABELLED} SELECT position, reason FROM l WHERE status = 'rejected'")
 def cycle_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cycled(spark, sf_dir).items("rejected").select("position", "reason")
+
+
+@R.add("""WITH e AS (SELECT user_id AS source_id, ts, event_id AS seq, CAST(event_type IN ('view', 'click') AS INTEGER) AS failed FROM events), g AS (SELECT *, sum(1 - failed) OVER (PARTITION BY source_id ORDER BY ts, seq) AS run FROM e),
+f AS (SELECT *, CAST(sum(failed) OVER (PARTITION BY source_id, run ORDER BY ts, seq) AS BIGINT) AS failures FROM g), d AS (SELECT *, ts + INTERVAL 30 MINUTE * least(CAST(pow(2, failures) AS BIGINT), 24) AS due_at, lead(ts) OVER (PARTITION BY source_id ORDER BY ts, seq) AS following, max(ts) OVER () AS ended FROM f)
+SELECT source_id, due_at, failures FROM d WHERE due_at <= COALESCE(following, ended)""")
+def source_due_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches of a source every half hour, some of which fail: when each became due before it was fetched again."""
+    e = P.read(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").isin("view", "click").alias("failed"), F.lit(30).alias("minutes"))
+    with backoff.timers(spark):
+        return spark.read.parquet(P.run(backoff.due_moments(e)))
