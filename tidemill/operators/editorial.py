@@ -174,6 +174,11 @@ def once_daily(suggestions: DataFrame, local_date: Column) -> DataFrame:
     return first.select("user_id", "day", F.col("f.suggestion_id").alias("suggestion_id"), F.posexplode_outer("f.resources").alias("p", "resource")).select("user_id", "day", "suggestion_id", (F.col("p") + 1).alias("position"), "resource")
 
 
+def history(suggestions: DataFrame, local_date: Column, today: Column) -> DataFrame:
+    """Suggestions but for those of today by the reader's calendar, which are on screen already; with their ``day``."""
+    return suggestions.withColumn("day", local_date).filter(F.col("day") != today)
+
+
 def learning_context(stories: DataFrame, now: Column) -> DataFrame:
     """The most important published stories of the last days."""
     recent = stories.filter((F.col("status") == "Published") & (F.col("published_at") >= now - F.make_dt_interval(days=F.lit(LEARNING_DAYS))))

@@ -58,6 +58,11 @@ def report(items: DataFrame, by: str) -> DataFrame:
     return items.groupBy(by).agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("status") == "created").alias("created"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def saved_and_failed(rows: DataFrame, good: Column) -> DataFrame:
+    """(saved, failed): rows for which ``good`` holds, and all others, unknown ones too."""
+    return rows.agg(F.count_if(good).alias("saved"), F.count_if(~F.coalesce(good, F.lit(False))).alias("failed"))
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str, kept: list[str]) -> DataFrame:
     """``target`` after ``changes``: columns of known rows are updated but for those in ``kept``, which operators own; new
     rows are added."""

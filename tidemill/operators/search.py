@@ -37,10 +37,12 @@ def keyword_search(stories: DataFrame, tokens: list[str]) -> DataFrame:
     return pool.withColumn("relevance", relevance)
 
 
-def related(near: DataFrame, overlap: DataFrame) -> DataFrame:
-    """(query_id, id): the near ones; for queries without any, those of ``overlap``."""
+def related(near: DataFrame, overlap: DataFrame, published: DataFrame) -> DataFrame:
+    """(query_id, id): the near ones that are ``published`` (story_id), fewer where some aren't; for queries without any near
+    one, published or not, those of ``overlap``, whose candidates are published."""
     without = overlap.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    return near.select("query_id", "id").unionByName(without.select("query_id", "id"))
+    shown = near.join(published.select(F.col("story_id").alias("id")), "id", "left_semi")
+    return shown.select("query_id", "id").unionByName(without.select("query_id", "id"))
 
 
 def topic_overlap(story_topics: DataFrame, queries: DataFrame, importance: DataFrame, k: int = 5) -> DataFrame:
@@ -86,6 +88,16 @@ def topic_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return cut("title_n", 1.0).unionByName(cut("body_n", 0.6)).join(listed.drop("_n"), "term").groupBy("id", "slug").agg(F.max("weight").alias("weight"))
 
 
+def topic_terms(name: Column, aliases: Column) -> Column:
+    """The phrases that stand for a topic: its name and its aliases, each once."""
+    return F.array_distinct(F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>"))))
+
+
+def tagged(bookmarks: DataFrame, tag: str) -> DataFrame:
+    """Bookmarks that carry a tag; all where none is given."""
+    return bookmarks.filter(F.array_contains("tags", tag.strip())) if tag.strip() else bookmarks
+
+
 def merged_tags(suggested: DataFrame, matched: DataFrame) -> DataFrame:
     """Suggested (id, slug) with weight 1.0 and matched tags, the heavier of each."""
     return suggested.select("id", "slug", F.lit(1.0).alias("weight")).unionByName(matched.select("id", "slug", "weight")).groupBy("id", "slug").agg(F.max("weight").alias("weight"))

@@ -101,10 +101,10 @@ shared AS (SELECT query_id, story_id AS id, count(*) AS shared FROM story_topics
 ranked AS (SELECT query_id, id, shared, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, importance DESC, id) AS INTEGER) AS rank FROM shared JOIN stories ON stories.story_id = id)"""
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlap(spark: SparkSession, sf_dir: str, shown: str = "true") -> DataFrame:
     s = T.stories(spark, sf_dir)
     topics = stories.topics(T.story_members(spark, sf_dir))
-    return search.topic_overlap(topics, s.filter("story_id % 50 = 0").select(F.col("story_id").alias("query_id")), s.select("story_id", F.col("importance").alias("importance_score")))
+    return search.topic_overlap(topics, s.filter("story_id % 50 = 0").select(F.col("story_id").alias("query_id")), s.filter(shown).select("story_id", F.col("importance").alias("importance_score")))
 
 
 @R.add(f"{sql_with('story_members', 'stories')}, {_OVERLAP} SELECT query_id, rank, id, shared FROM ranked WHERE rank <= 5")
@@ -112,9 +112,14 @@ def topic_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir)
 
 
-@R.add(f"{sql_with('story_members', 'stories')}, {_OVERLAP}, {_NEAR}, n AS (SELECT query_id, id FROM near WHERE rank <= 5) SELECT query_id, id FROM n UNION ALL SELECT query_id, id FROM ranked WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM n)")
+_SHOWN = _OVERLAP.replace("ON stories.story_id = id)", "ON stories.story_id = id WHERE status = 'Published')")
+
+
+@R.add(f"""{sql_with('story_members', 'stories')}, {_SHOWN}, {_NEAR}, n AS (SELECT query_id, id FROM near WHERE rank <= 5)
+SELECT query_id, id FROM n JOIN stories ON story_id = id WHERE status = 'Published' UNION ALL SELECT query_id, id FROM ranked WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM n)""")
 def related_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.related(near(spark, sf_dir, 5), _overlap(spark, sf_dir))
+    published = T.stories(spark, sf_dir).filter("status = 'Published'")
+    return search.related(near(spark, sf_dir, 5), _overlap(spark, sf_dir, "status = 'Published'"), published)
 
 
 TERMS = [("widgets", "widget"), ("widgets", "ring"), ("colours", "red"), ("colours", "blue bolt"), ("brands", "brand 17"), ("sizes", "economy"), ("sizes", "x"), ("brands", "brand 2")]

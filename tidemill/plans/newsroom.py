@@ -153,11 +153,11 @@ def daily_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.once_daily(rows, F.to_date(dates.local(F.col("at"), F.lit("Europe/Istanbul"), ["Europe/Istanbul"])))
 
 
-@R.add("WITH l AS (SELECT event_id AS suggestion_id, user_id, CAST(ts AS DATE) AS day FROM events) SELECT suggestion_id, user_id FROM l WHERE day <> DATE '2024-01-30'")
+@R.add("WITH l AS (SELECT event_id AS suggestion_id, user_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day FROM events) SELECT suggestion_id, user_id, day FROM l WHERE day <> DATE '2024-01-30'")
 def learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What isn't today's."""
-    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("suggestion_id"), "user_id", F.to_date("ts").alias("day"))
-    return e.filter("day <> DATE '2024-01-30'").select("suggestion_id", "user_id")
+    """What isn't today's, by the reader's calendar."""
+    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("suggestion_id"), "user_id", F.col("ts").cast("timestamp").alias("at"))
+    return editorial.history(e, F.to_date(dates.local(F.col("at"), F.lit("Europe/Istanbul"), ["Europe/Istanbul"])), F.lit("2024-01-30").cast("date")).select("suggestion_id", "user_id", "day")
 
 
 @R.add(f"{news.SCORED} SELECT story_id, importance_score FROM scored WHERE status = 'Published' AND published_at >= TIMESTAMP '{STORY_NOW}' - INTERVAL 7 DAY ORDER BY importance_score DESC, story_id LIMIT 25")
@@ -224,7 +224,7 @@ def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT count(*) FILTER (n_chars >= 600) AS saved, count(*) FILTER (n_chars < 600) AS failed FROM documents")
 def save_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").agg(F.count_if(F.col("n_chars") >= 600).alias("saved"), F.count_if(F.col("n_chars") < 600).alias("failed"))
+    return ingest.saved_and_failed(T.table(spark, sf_dir, "documents"), F.col("n_chars") >= 600)
 
 
 @R.add("SELECT page_id, CAST(row_number() OVER (ORDER BY md5('show:' || page_id), page_id) AS INTEGER) AS place FROM pages ORDER BY md5('show:' || page_id), page_id LIMIT 6")
@@ -239,14 +239,14 @@ def preloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tagged_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     tag = lambda n: F.concat(F.lit("t"), (F.col("event_id") % n).cast("string"))
-    return e.withColumn("tags", F.array(tag(5), tag(7))).filter(F.array_contains("tags", "t3")).select("event_id", "user_id")
+    return search.tagged(e.withColumn("tags", F.array(tag(5), tag(7))), " t3 ").select("event_id", "user_id")
 
 
-@R.add("WITH t AS (SELECT p_partkey AS topic_id, [p_brand] || string_split(p_name, ' ') || [p_brand] AS names FROM part) SELECT topic_id, list_filter(names, lambda v, i: list_position(names, v) = i) AS terms FROM t")
+@R.add("WITH t AS (SELECT p_partkey AS topic_id, [p_name] || string_split(p_name, ' ') || [p_name] AS names FROM part) SELECT topic_id, list_filter(names, lambda v, i: list_position(names, v) = i) AS terms FROM t")
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.table(spark, sf_dir, "part")
-    aliases = F.concat(F.split("p_name", " "), F.array("p_brand"))
-    return p.select(F.col("p_partkey").alias("topic_id"), F.array_distinct(F.array_prepend(aliases, F.col("p_brand"))).alias("terms"))
+    aliases = F.concat(F.split("p_name", " "), F.array("p_name"))
+    return p.select(F.col("p_partkey").alias("topic_id"), search.topic_terms(F.col("p_name"), aliases).alias("terms"))
 
 
 _CUT = "CASE WHEN trim({c}) = '' THEN {c} ELSE left(trim({c}), {n}) END"
