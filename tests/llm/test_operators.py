@@ -696,8 +696,23 @@ def test_similar_groups_lose_no_link(spark):
             texts[len(texts)] = " ".join(w) + line * int(rng.integers(0, 3))
     assert len(set(plain_components(texts).values())) < len(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for apart in (simhash.APART, None):  # with the bound of fingerprints, and all compared
-        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, apart=apart).collect()} == plain_components(texts)
+    for bound in (True, False):  # with the bound of sketches, and all compared
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, bound=bound).collect()} == plain_components(texts)
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.empty(0, np.uint64)]
+    for size in (1, 3, 20, 40, 150, 300, 2000, 9000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate((base[size // 10 :], rng.integers(0, 1 << 63, size // 5).astype(np.uint64))))]
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = simhash.Sketches(simhash.odd_sketch(s).tobytes() for s in sets).apart(x, y)
+    differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    assert (apart <= differ).all() and (apart[x == y] == 0).all()
+    similar = np.array([len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    sizes = np.array([len(s) for s in sets])
+    assert (apart <= simhash.most_apart(0.8, sizes[x] + sizes[y]))[similar].all()
 
 
 def test_long_runs_and_many_secrets(spark):

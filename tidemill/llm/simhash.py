@@ -18,7 +18,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -61,15 +61,44 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
-def wide_fingerprint(distinct: np.ndarray) -> np.ndarray:
-    """WIDE bits of a set of shingles, as signed longs: SimHash over as many hashes of each shingle."""
-    ones, n = np.zeros(WIDE, np.int64), max(1, len(distinct))
-    for i in range(0, len(distinct), 16384):
-        h = distinct[i : i + 16384, None] * _ODD + (distinct[i : i + 16384, None] >> np.uint64(32))
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).view(">u8").astype(np.uint64).view(np.int64)
+def odd_sketch(distinct: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 to WIDEST slots, in words of 64 slots: at least two slots a shingle
+    as long as that is not too wide. A shingle that is in one of two sets only turns one slot over, so sketches never differ
+    in more slots than the sets do in shingles."""
+    slots = min(WIDEST, 1 << max(6, (2 * len(distinct) - 1).bit_length()))
+    odd = np.bincount((distinct & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """Sketches of many sets, which may differ in width."""
+
+    def __init__(self, packed: Iterable[bytes]) -> None:
+        packed = list(packed)
+        self.width = np.fromiter((len(b) // 8 for b in packed), np.int64, len(packed))
+        self.start = np.cumsum(self.width) - self.width
+        self.words = np.frombuffer(b"".join(packed), np.uint64)
+
+    def _take(self, at: np.ndarray, own: int, width: int) -> np.ndarray:
+        whole = self.words[self.start[at][:, None] + np.arange(own)]
+        return np.bitwise_xor.reduce(whole.reshape(len(at), own // width, width), axis=1)  # a sketch of fewer slots
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slots in which the sketches at places ``x`` differ from those at ``y``, in the narrower width of the two."""
+        out = np.zeros(len(x), np.int64)
+        both = self.width[x] << 32 | self.width[y]
+        for b in np.unique(both).tolist():
+            of = np.flatnonzero(both == b)
+            for i in range(0, len(of), 1 << 14):  # bounded memory
+                part, wide = of[i : i + (1 << 14)], (b >> 32, b & 0xFFFFFFFF)
+                one, other = (self._take(at[part], own, min(wide)) for at, own in zip((x, y), wide, strict=True))
+                out[part] = np.bitwise_count(one ^ other).sum(axis=1)
+        return out
+
+
+def most_apart(least: float, sizes: np.ndarray) -> np.ndarray:
+    """Shingles that are in one only of two sets with so many shingles together, at most, if their similarity is ``least``."""
+    return sizes * ((1 - least) / (1 + least)) + 1e-6
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -325,10 +354,8 @@ def _rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 #: Texts whose shingles are counted to put the frequent ones last; most shingles that are kept as frequent.
 COUNTED, FREQUENT = 8192, 1 << 18
-#: Bits of a wide fingerprint, and the most bits in which sets of similarity 0.8 differ: 39 on average with a deviation of
-#: below 6, so that a chance of less than one in 10^11 is left out. Sets with fewer shingles than FEW are not told so.
-WIDE, APART, FEW = 256, 80, 16
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Most slots of a sketch. Wider ones rule more of the pairs of long texts out, but weigh more.
+WIDEST = 4096
 #: Partners that a set proposes first, the closest by fingerprint. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
 #: that are compared with another one in one group.
 PROPOSED, TOGETHER, PREFIXES, PARTNERS = 8, 4096, 1 << 19, 256
@@ -345,8 +372,15 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.nd
             held = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["x"])
 
-    found = some.mapInArrow(work, "x long").groupBy("x").count().filter("count > 2").orderBy(F.desc("count"), "x").limit(FREQUENT).toPandas()
-    x, n = found["x"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    found = stored(some.mapInArrow(work, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 2"), "counted")
+    least, kept = 3, 0
+    for r in sorted(found.groupBy("n").agg(F.count(F.lit(1)).alias("of")).collect(), reverse=True):  # COUNTED rows at most
+        kept += r["of"]
+        if kept > FREQUENT:
+            least = r["n"] + 1
+            break
+    told = found.filter(F.col("n") >= least).toArrow()
+    x, n = told["x"].to_numpy().view(np.uint64), told["n"].to_numpy()
     order = np.argsort(x)
     return x[order], n[order], some.count()
 
@@ -364,8 +398,8 @@ def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarra
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text_hash, fp, m, node, wide) for each row. ``node`` is the hash of the set of distinct shingles, m its size,
-    ``wide`` its wide fingerprint."""
+    """(id, text_hash, fp, m, node, odd) for each row. ``node`` is the hash of the set of distinct shingles, m its size,
+    ``odd`` its sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -375,16 +409,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 for t in b.column(2).to_pylist():
                     h = shingle_hashes(t, words)
                     u = np.unique(h)
-                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), wide_fingerprint(u)))
-                fp, m, node, wide = zip(*rows, strict=True)
+                    rows.append((_majority(h), len(u), xxhash.xxh64_intdigest(u.tobytes()), odd_sketch(u).tobytes()))
+                fp, m, node, odd = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(wide, pa.list_(pa.int64()))],
-                    ["id", "text_hash", "fp", "m", "node", "wide"],
+                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(m, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(odd, pa.binary())],
+                    ["id", "text_hash", "fp", "m", "node", "odd"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, wide array<long>")
+    return read.mapInArrow(work, f"id {kind}, text_hash long, fp long, m long, node long, odd binary")
 
 
 def nearest_together(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -487,65 +521,96 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
     return dealt.groupBy("bucket").applyInArrow(find, "token long, node long, m long, place int, near long, apart int")
 
 
-def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, apart: int = APART) -> DataFrame:
+def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, bound: bool = True, closest: bool = False) -> DataFrame:
     """(a, b), a < b: all pairs of ``shared`` in different components that ``least`` does not rule out by the sizes of the
-    sets, by what is left of them after the shared shingle and by their wide fingerprints. Sets of a shingle that is in more than TOGETHER of them are
-    dealt into blocks, and each pair of blocks is a group of its own."""
-    about = nodes.select("node", "wide").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = shared.select("token", "node", "m", "place").join(about.hint("shuffle_hash"), "node")
+    sets, by what is left of them after the shared shingle and, with ``bound``, by their sketches. With ``closest`` a set has
+    only the one of them with the closest sketch, and two components have one pair. Sets of a shingle that is in more than
+    TOGETHER of them are dealt into blocks, and each pair of blocks is a group of its own."""
+    rooted = shared.select("token", "node", "m", "place").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("blocks")).filter("x <> y").select("token", "blocks")
     own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
-    dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("own", own)
+    dealt = rooted.join(several.hint("shuffle_hash"), "token").withColumn("own", own).join(nodes.select("node", "odd"), "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("v")
-    wide = [F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)]
-    dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"), *wide)
+    dealt = dealt.select(key, "m", "node", "root", "place", "own", F.col("own").eqNullSafe(F.col("other")).cast("int").alias("same"), "odd")
     of_both = least / (1 + least)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, m, node, root, place, own, same, *wide in _whole_groups(batches):
-            wide = np.stack(wide, axis=1).view(np.uint64)
-            at, shift, kept, held = np.arange(len(v)), 1, [], 0
-            left = m - place
-
-            def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
-                a, b = np.concatenate(kept, axis=1)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
-
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """Nodes and roots of whole groups, and places of the pairs that may be similar with the slots they differ in; None after the last."""
+        for v, m, node, root, place, own, same, odd in _whole_groups(batches):
+            sketches, left = Sketches(odd), m - place
+            at, shift = np.arange(len(v)), 1
             while len(at):  # all groups at once: each set with the one so many places on, until that is too large
                 at = at[at + shift < len(v)]
                 to = at + shift
                 at = at[(v[at] == v[to]) & (m[at] + 1e-9 >= least * m[to])]
                 to = at + shift
                 found = (root[at] != root[to]) & ((own[at] != own[to]) | ((same[at] & same[to]) == 1)) & (np.minimum(left[at], left[to]) + 1e-9 >= of_both * (m[at] + m[to]))
-                all_x, all_y = at[found], to[found]
-                for i in range(0, len(all_x), 1 << 15):  # bounded memory
-                    x, y = all_x[i : i + (1 << 15)], all_y[i : i + (1 << 15)]
-                    close = (m[x] < FEW) | (m[y] < FEW) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= apart)
-                    x, y = node[x[close]], node[y[close]]
-                    kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-                    held += len(x)
-                    if held > 1 << 17:
-                        yield flush(kept)
-                        kept, held = [], 0
+                x, y = at[found], to[found]
+                if len(x):
+                    d = sketches.apart(x, y)
+                    close = d <= most_apart(least, m[x] + m[y]) if bound else np.ones(len(x), bool)
+                    yield node, root, np.stack((x[close], y[close])), d[close]
                 shift += 1
-            if held:
-                yield flush(kept)
+            yield node, root, None, None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        held = 0
+        for node, _, places, _ in pairs_of(batches):
+            if places is not None:
+                x, y = node[places]
+                kept.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                held += len(x)
+            if held and (places is None or held > 1 << 17):
+                a, b = np.concatenate(kept, axis=1)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+                kept, held = [], 0
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for node, root, places, d in pairs_of(batches):
+            best = np.full(len(node), np.iinfo(np.int64).max) if best is None else best
+            if places is not None:
+                np.minimum.at(best, places[0], d << 32 | places[1])
+                np.minimum.at(best, places[1], d << 32 | places[0])
+                continue
+            own = np.flatnonzero(best < np.iinfo(np.int64).max)
+            other, d = best[own] & 0xFFFFFFFF, best[own] >> 32
+            cols = [node[own], d, np.minimum(node[own], node[other]), np.maximum(node[own], node[other]), np.minimum(root[own], root[other]), np.maximum(root[own], root[other])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "d", "a", "b", "r", "s"])
+            best = None
+
+    together = dealt.repartition("v").sortWithinPartitions("v", "m")
+    if not closest:
+        return together.mapInArrow(each, "a long, b long").distinct()
+    found = together.mapInArrow(nearest, "node long, d long, a long, b long, r long, s long")
+    found = found.groupBy("node").agg(F.min(F.struct("d", "a", "b", "r", "s")).alias("p")).select("p.*")
+    return found.groupBy("r", "s").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def maybe_similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and sketches do not rule a similarity of ``least`` out."""
+    about = nodes.select("node", "m", "odd")
+    both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "odd": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "odd": "y"}).hint("shuffle_hash"), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sizes = batch.num_rows, batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            sketches = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist())
+            close = sketches.apart(np.arange(n), n + np.arange(n)) <= most_apart(least, sizes)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(close)) for c in batch.columns[:2]], ["a", "b"])
 
-    return dealt.repartition("v").sortWithinPartitions("v", "m").mapInArrow(work, "a long, b long").distinct()
+    return both.select("a", "b", "ma", "mb", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float, most: int = APART) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Wide
-    fingerprints rule most others out. For the rest, each set is made of one of its texts again and sent,
-    once, to each group in which it is compared; a group is one set with some of its partners. Shingles are told by 48 bits."""
-    about = nodes.select("node", "m", "wide")
-    both = pairs.join(about.withColumnsRenamed({"node": "a", "m": "ma", "wide": "x"}).hint("shuffle_hash"), "a").join(about.withColumnsRenamed({"node": "b", "m": "mb", "wide": "y"}).hint("shuffle_hash"), "b")
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE // 64)), F.lit(0))
-    pairs = stored(both.filter((F.least("ma", "mb") < FEW) | (apart <= most)).select("a", "b"), "pairs")
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more. Each set is made of
+    one of its texts again and sent, once, to each group in which it is compared; a group is one set with some of its
+    partners. Shingles are told by 48 bits."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"))
     goes = dealt.select(F.col("a").alias("node"), F.struct("g", F.lit(True).alias("first")).alias("to")).unionByName(dealt.select(F.col("b").alias("node"), F.struct("g", F.lit(False).alias("first")).alias("to")))
@@ -587,36 +652,38 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     return stored(sent.groupBy("g").applyInArrow(compare, "a long, b long"), "links")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, apart: int | None = APART) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bound: bool = True) -> tuple[DataFrame, DataFrame]:
     """(id, text_hash, fp, node) for each row of ``docs``, and (node, root, component_id, n) for each distinct set of
     shingles: ``root`` is equal for sets that links reach, where a link is a similarity of ``least`` or more.
 
     No link is lost: two similar sets share one of the first shingles of each in any common order (a prefix-filter join).
     1. Sets that share such a shingle each propose those with the closest fingerprints, which links most near copies.
-    2. All pairs between the components so far that share such a shingle are checked.
-    In both steps pairs whose wide SimHash fingerprints are more than ``apart`` bits apart are left out (see APART, which is for
-    ``least`` of 0.8 and more); with None all are compared.
+    2. Of what is in different components then, each set proposes the one with the closest sketch.
+    3. All pairs between the components so far that share such a shingle are checked.
+    Pairs whose sketches differ in more slots than similar sets do in shingles are left out in each step, which is exact;
+    without ``bound`` all are compared.
     """
     own = stored(_sets(docs, id_col, text_col, words), "sets")
     rep = F.min(F.struct(F.col("id").isNull().alias("_z"), "id", "text_hash")).alias("rep")
-    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep, *(F.first(c).alias(c) for c in ("m", "wide"))), "nodes")
+    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep, *(F.first(c).alias(c) for c in ("m", "odd"))), "nodes")
     *frequent, sampled = frequent_shingles(docs, text_col, words)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     shared = stored(shared_shingles(docs, text_col, words, least, tuple(frequent), max(1, sampled), n, size), "shared")
     near = shared.filter("node <> near").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "near"))), 1, PROPOSED).alias("p"))
     first = near.select("node", F.explode("p.near").alias("near")).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
-    first = stored(first, "proposed")
-    most = WIDE if apart is None else apart
-    check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least, most)
-    close = check(first)
-    rest = crossing_pairs(shared, nodes, connected(close), least, most).join(first.hint("shuffle_hash"), ["a", "b"], "left_anti")
-    links = close.unionByName(check(rest))
+    first = stored(maybe_similar(first, nodes, least) if bound else first, "proposed")
+    check = lambda pairs: similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
+    links, tried = check(first), first
+    for closest in (True, False):
+        more = crossing_pairs(shared, nodes, connected(links), least, bound, closest).join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti")
+        more = stored(more, "crossing")
+        links, tried = links.unionByName(check(more)), tried.unionByName(more)
     return own.select("id", "text_hash", "fp", "node"), _rooted(nodes.select("node", "least", "n"), links, "node")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, apart: int | None = APART) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bound: bool = True) -> DataFrame:
     """As ``near_duplicates``, but a link is a Jaccard similarity of ``least`` or more of the sets of word shingles (texts
     without words are equal)."""
-    own, labels = similar_sets(docs, id_col, text_col, words, least, apart)
+    own, labels = similar_sets(docs, id_col, text_col, words, least, bound)
     out = hot_join(own, labels, "node", "n")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
