@@ -1,6 +1,7 @@
 """Functions on literal cases and against plain loops."""
 
 import hashlib
+import math
 import unicodedata
 from datetime import datetime, timedelta
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import dates, hashing, loose_json, search_query, text, urls, vectors
 from tidemill.operators import clustering, ingest, scoring, search, stories
+from tidemill.plans import discovery
 from tidemill.sources import feeds
 from tidemill.sources.readable import readable
 
+from .support import differences, duck_rows
+
 NOW = datetime(2026, 7, 26, 12)
 
 
@@ -259,3 +263,13 @@ def test_topic_terms_are_what_is_hashed(spark, monkeypatch, capsys):
         joined = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
         assert len(joined) == 1 and kind in joined[0] and "BuildRight" in joined[0]  # never the texts' sequences
         assert sorted(map(tuple, tags.filter("id < 1").collect())) == [(0, "a", 1.0), (0, "b", 0.6)] and tags.count() == 200
+
+
+def test_topic_centroids_round_the_mean_itself(spark, tmp_path):
+    a, b = 1.0000048875808716, 1.0000050067901611  # neighbouring floats; their mean is below 1.000005 and no float
+    rows = [(1, [a, -1e-7], 0), (2, [b, -1e-7], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made, sql = discovery.topic_centroids(spark, str(tmp_path)), discovery.SQL["topic_centroids"]
+    assert [list(r["centroid"]) for r in made.collect()] == [[1.0, 0.0]] and not differences(made, sql, str(tmp_path))
+    zero = [v for _, rows in [duck_rows(sql, str(tmp_path))] for v in list(rows)[0][0]][1]
+    assert zero == 0 and math.copysign(1, zero) == 1  # as Spark rounds: not -0.0

@@ -23,11 +23,11 @@ def unit(v: Column) -> Column:
     return F.when(length == 0, v).otherwise(F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
 
 
-def centroid(df: DataFrame, keys: list[str], vector: str, name: str = "centroid") -> DataFrame:
-    """Mean of the vectors that aren't empty, by ``keys``; null where their widths differ. Components are summed before
+def centroid(df: DataFrame, keys: list[str], vector: str, name: str = "centroid", kind: str = "float") -> DataFrame:
+    """Mean of the vectors that aren't empty, by ``keys``, with components of ``kind``; null where their widths differ. Components are summed before
     the shuffle, so a key of any size is no more than its width in rows."""
     given = df.filter(F.size(vector) > 0)
     long = given.select(*keys, F.size(vector).alias("_w"), F.posexplode(vector).alias("_i", "_x"))
     summed = long.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"))
     joined = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    return joined.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.transform("_v", lambda x: x["_m"].cast("float"))).alias(name))
+    return joined.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.transform("_v", lambda x: x["_m"].cast(kind))).alias(name))
