@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import slugify_unique
 from tidemill.operators import editorial, stories
+from tidemill.sources.storage import stored
 
 T = dt.datetime(2024, 1, 1)
 MEMBERS = "story_id long, position int, source_id long, published_at timestamp, body string"
@@ -38,3 +39,32 @@ def test_slugs_until_none_is_lost(spark):
 def test_nothing_to_slug(spark):
     df = spark.createDataFrame([], "story_id long, title_n string, hex_id string")
     assert editorial.unique_slugs(df, df.select(F.col("title_n").alias("slug"))).count() == 0
+
+
+def test_members_are_shuffled_once_for_counts(spark):
+    rows = [(1, 1, 7, T, 2), (1, 2, 7, T + dt.timedelta(days=1), None), (1, 3, 5, T, 4), (1, 4, None, T, 8), (1, 5, 9, T, 1), (2, 1, None, T, None)]
+    m = spark.createDataFrame(rows, "story_id long, position int, source_id long, published_at timestamp, engagement_score int")
+    sources = stored(spark.createDataFrame([(5, True, 0.25), (7, False, 0.75)], "source_id long, is_official boolean, trust_weight double"), "sources")
+    made = stories.aggregates(m, sources)
+    assert {r[0]: tuple(r)[1:] for r in made.collect()} == {1: (3, 1, 0.75, 15, T, T + dt.timedelta(days=1)), 2: (0, 0, 0.5, 0, T, T)}
+    plan = stories.aggregates(m, sources)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning(story_id") == 1
+
+
+def test_what_a_reader_wants_is_gathered_by_topic(spark, monkeypatch):
+    """A row for each reader is what is stored, before any story of the pool is laid beside it."""
+    from tidemill.operators import scoring
+
+    tables = []
+    monkeypatch.setattr(scoring, "stored", lambda df, name: tables.append(df) or df)
+    pool = spark.createDataFrame([(s, "Ai", 3, 50, 50, 1) for s in range(1, 6)], "story_id long, category string, reading_minutes int, importance_score int, trust_score int, primary_source_id long")
+    topics = spark.createDataFrame([(s, t, 0.5 * s) for s in range(1, 5) for t in (1, 2, s + 10)], "story_id long, topic_id long, weight double")
+    readers = spark.createDataFrame([(u,) for u in (1, 2, 3)], "user_id long")
+    interests = spark.createDataFrame([(1, 1, 0.5), (1, 2, 2.0), (1, 12, 0.1), (2, 14, 0.4), (2, 99, 1.0)], "user_id long, topic_id long, weight double")
+    muted = spark.createDataFrame([(2, 12), (3, 1)], "user_id long, topic_id long")
+    none = spark.createDataFrame([], "user_id long, story_id long")
+    got = {(r["user_id"], r["story_id"]): r["score"] for r in scoring.personal(pool, readers, topics, interests, muted, none.withColumnRenamed("story_id", "source_id"), none).collect()}
+    likes = {(1, 1): 0.5 + 0.07, (1, 2): 1.0, (1, 3): 1.0, (1, 4): 1.0, (2, 4): 0.4}
+    shown = [(1, s) for s in range(1, 6)] + [(2, s) for s in (1, 3, 4, 5)] + [(3, 5)]
+    assert got == {k: round(0.45 * 50 + 35 * likes.get(k, 0), 4) for k in shown}
+    assert [t.count() for t in tables] == [3] and {"wanted", "unwanted"} <= set(tables[0].columns)

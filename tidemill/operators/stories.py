@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 def aggregates(members: DataFrame, sources: DataFrame) -> DataFrame:
     """By story: distinct and official sources, highest trust weight (0.5 without any), engagement, first and last time.
+    Members are shuffled once, by story; a row for each story and source is made where they are, and so are its counts.
     ``sources`` is a dimension; Spark broadcasts it while it is small."""
-    j = members.join(sources.select("source_id", "is_official", "trust_weight"), "source_id", "left")
+    t = F.col("published_at")
+    each = members.repartition("story_id").groupBy("story_id", "source_id").agg(F.sum(F.coalesce("engagement_score", F.lit(0))).alias("_e"), F.min(t).alias("_first"), F.max(t).alias("_last"))
+    known = sources.groupBy("source_id").agg(F.max("is_official").alias("is_official"), F.max("trust_weight").alias("trust_weight"), F.count(F.lit(1)).alias("_n"))
+    j = each.join(known, "source_id", "left")
     return j.groupBy("story_id").agg(
-        F.count_distinct("source_id").cast("int").alias("distinct_source_count"), F.count_distinct(F.when(F.col("is_official"), F.col("source_id"))).cast("int").alias("official_source_count"),
-        F.coalesce(F.max("trust_weight"), F.lit(0.5)).alias("max_trust_weight"), F.sum(F.coalesce("engagement_score", F.lit(0))).alias("engagement"), F.min("published_at").alias("first_published_at"), F.max("published_at").alias("last_activity_at"),
+        F.count("source_id").cast("int").alias("distinct_source_count"), F.count_if("is_official").cast("int").alias("official_source_count"),
+        F.coalesce(F.max("trust_weight"), F.lit(0.5)).alias("max_trust_weight"), F.sum(F.col("_e") * F.coalesce("_n", F.lit(1))).alias("engagement"), F.min("_first").alias("first_published_at"), F.max("_last").alias("last_activity_at"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import readers, scoring, stories, trends
 from ..sources import tables as T
+from ..sources.storage import stored
 from ..sources.tables import EVENT_NOW, STORY_NOW, at, sql_with
 from .registry import Registry
 
@@ -132,13 +133,15 @@ personal AS (SELECT user_id, story_id, category, reading_minutes, round_even(lea
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool is found first; then its stories alone meet their members, each of which has a primary one."""
     members, i = T.story_members(spark, sf_dir), T.interactions(spark, sf_dir)
-    primaries = stories.primary(members, T.sources(spark, sf_dir)).drop("position")
-    pool = scored(spark, sf_dir).filter("status = 'Published'").join(primaries, "story_id").orderBy(F.desc("importance_score"), F.desc("published_at"), "story_id").limit(POOL)
-    pool = pool.select("story_id", "category", "importance_score", "trust_score", "primary_source_id", (F.col("engagement") % 9 + 1).cast("int").alias("reading_minutes"))
+    best = scored(spark, sf_dir).filter("status = 'Published'").orderBy(F.desc("importance_score"), F.desc("published_at"), "story_id").limit(POOL)
+    best = stored(best.select("story_id", "category", "importance_score", "trust_score", (F.col("engagement") % 9 + 1).cast("int").alias("reading_minutes")), "pool")
+    members = members.join(F.broadcast(best.select("story_id")), "story_id", "left_semi")
     e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_id"), "embedding")
+    pool = best.join(stories.primary(members, T.sources(spark, sf_dir)).drop("position"), "story_id")
     pool = pool.withColumn("_v", F.col("story_id") % 500).join(e.withColumnRenamed("story_id", "_v"), "_v", "left").drop("_v")
-    return scoring.personal(pool, i.select("user_id").distinct(), stories.topics(members), T.interests(spark, sf_dir), T.muted(spark, sf_dir), T.favourites(spark, sf_dir), readers.seen(i), readers.taste(i, e))
+    return scoring.personal(stored(pool, "pool"), i.select("user_id").distinct(), stories.topics(members), T.interests(spark, sf_dir), T.muted(spark, sf_dir), T.favourites(spark, sf_dir), readers.seen(i), readers.taste(i, e))
 
 
 @R.add(f"{_PERSONAL}\nSELECT user_id, story_id, score, reason FROM personal")
