@@ -68,3 +68,15 @@ def test_what_a_reader_wants_is_gathered_by_topic(spark, monkeypatch):
     shown = [(1, s) for s in range(1, 6)] + [(2, s) for s in (1, 3, 4, 5)] + [(3, 5)]
     assert got == {k: round(0.45 * 50 + 35 * likes.get(k, 0), 4) for k in shown}
     assert [t.count() for t in tables] == [3] and {"wanted", "unwanted"} <= set(tables[0].columns)
+
+
+def test_bodies_are_cut_and_parted_before_they_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(editorial, "PART", 16)
+    rows = [(i // 8, i % 8, 3, T, f"{i} " + "x" * 3000) for i in range(160)]
+    m = spark.createDataFrame(rows, MEMBERS)
+    sources = stored(spark.createDataFrame([(3, "n3", True, 0.5)], "source_id long, name string, is_official boolean, trust_weight double"), "sources")
+    made = editorial.prompt_contexts(m, sources, stored(stories.primary(m, sources), "primaries"))
+    shuffled = made._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(story_id")
+    assert "10), REPARTITION_BY_NUM" in shuffled[1] and "substring" not in shuffled[0] and "substring(body" in shuffled[1]
+    got = {r["story_id"]: r["excerpts"] for r in made.collect()}
+    assert got == {s: [f"{8 * s + k} ".ljust(2500, "x") for k in range(6)] for s in range(20)}

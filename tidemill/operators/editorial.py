@@ -13,6 +13,8 @@ from ..sources.storage import stored
 from . import stories as S
 
 PROMPT_ARTICLES, PROMPT_CHARS, LEARNING_DAYS, LEARNING_STORIES = 6, 2500, 7, 25
+#: Members of a part, so that its excerpts are sorted in memory.
+PART = 40_000
 UNKNOWN_SOURCE = "Bilinmeyen kaynak"
 #: Given where a reader has no such row.
 PROFILE = {"experience_level": "Mid", "digest_hour": 8, "story_count": 10, "learning_minutes": 15}
@@ -61,11 +63,15 @@ def _sourced(members: DataFrame, sources: DataFrame, primaries: DataFrame) -> Da
 def prompt_contexts(members: DataFrame, sources: DataFrame, primaries: DataFrame) -> DataFrame:
     """(story_id, excerpts, source_names): PROMPT_ARTICLES members, primary first, then official ones, then by time, position
     and source; the first PROMPT_CHARS characters of each, and the distinct source names. ``members``: story_id, position,
-    source_id, published_at, body."""
-    j = _sourced(members, sources, primaries)
+    source_id, published_at, body.
+
+    Bodies are cut before they are shuffled, once, to parts of about PART members. Spark sizes parts by compressed bytes, and
+    texts may be many times those, so that each sort of a part would spill."""
+    cut = members.withColumn("body", F.substring("body", 1, PROMPT_CHARS))
+    j = _sourced(cut.repartition(max(1, -(-members.count() // PART)), "story_id"), sources, primaries)
     order = [F.col("_first").desc(), F.coalesce("is_official", F.lit(False)).desc(), F.col("published_at"), F.col("position"), F.col("source_id")]
     first = j.withColumn("_k", F.row_number().over(Window.partitionBy("story_id").orderBy(*order))).filter(F.col("_k") <= PROMPT_ARTICLES)
-    one = F.struct("_k", F.substring("body", 1, PROMPT_CHARS).alias("x"), F.coalesce("name", F.lit(UNKNOWN_SOURCE)).alias("s"))
+    one = F.struct("_k", F.col("body").alias("x"), F.coalesce("name", F.lit(UNKNOWN_SOURCE)).alias("s"))
     listed = first.groupBy("story_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
     return listed.select("story_id", F.transform("a", lambda r: r["x"]).alias("excerpts"), F.array_distinct(F.transform("a", lambda r: r["s"])).alias("source_names"))
 
