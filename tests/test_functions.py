@@ -292,3 +292,20 @@ def test_topic_overlap_lists_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "SUBSETS", 10)
     monkeypatch.setattr(search, "_by_topic", lambda *_: pytest.fail("stories of a few topics were met topic by topic"))
     search.topic_overlap(pairs, asked, scores).collect()
+
+
+def test_python_holds_pieces_of_a_batch(monkeypatch):
+    """However large Spark's batches are, no more than a piece is made at a time."""
+    import pyarrow as pa
+
+    from tidemill.sources import readable
+
+    pages = pa.array(["<article><p>" + f"{i} word " * 30 + "</p></article>" for i in range(300)] + [None])
+    parts = list(readable.readable_body.func(iter([pages, pages.slice(0, 0)])))
+    assert max(map(len, parts)) == readable.PIECE and [x.as_py() for p in parts for x in p] == [readable.readable(h) for h in pages.to_pylist()]
+    monkeypatch.setattr(hashing.F, "arrow_udf", lambda kind: lambda f: f)
+    texts = pa.array([f"word{i} word{i % 7} other" for i in range(700)] + [None, ""])
+    parts = list(hashing.hashed_embedding(iter([texts, texts.slice(0, 0)]), 8))
+    assert max(map(len, parts)) == hashing.PIECE and sum(map(len, parts)) == len(texts)
+    alone = [next(hashing.hashed_embedding(iter([texts.slice(i, 1)]), 8))[0].as_py() for i in (0, 300, 699, 700, 701)]
+    assert [pa.chunked_array(parts)[i].as_py() for i in (0, 300, 699, 700, 701)] == alone
