@@ -35,3 +35,31 @@ def test_due_moments_over_runs(spark):
     got = sorted((r["source_id"], r["due_at"], r["failures"]) for r in spark.read.parquet(f"{path}/due").collect())
     assert got == plain(rows, max(r[1] for r in rows)) and any(f > 2 for *_, f in got)
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_messages_of_a_source():
+    """A source that is new, and one whose timer is known, look no timers up."""
+    import pandas as pd
+
+    calls = []
+
+    class Told:
+        state = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                self.state = args[0] if name == "update" else self.state
+                return {"getValueState": self, "get": self.state, "listTimers": iter([5])}.get(name)
+
+            return call
+
+    b = backoff.BackOff()
+    b.init(Told())
+    rows = lambda us: iter([pd.DataFrame({"us": [us], "seq": [1], "failed": [False], "minutes": [30]})])
+    assert list(b.handleInputRows((1,), rows(0), None)) == [] and calls == ["getValueState", "get", "registerTimer", "update"]
+    calls.clear()
+    assert list(b.handleInputRows((1,), rows(60), None)) == [] and calls == ["get", "deleteTimer", "registerTimer", "update"]
+    b.source.update((0, -1))
+    calls.clear()
+    assert list(b.handleInputRows((1,), rows(90), None)) == [] and "listTimers" in calls

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -53,14 +54,20 @@ class BackOff(StatefulProcessor):
             yield pd.DataFrame({"source_id": [key[0]] * len(due), "due_at": [_ZERO + timedelta(microseconds=d) for d, _ in due], "failures": [f for _, f in due]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        failures, due = self.source.get() if self.source.exists() else (0, -1)
+        """Each call of the handle is a message to Spark, so a source without state, which has no timer, asks for none, and a
+        timer whose moment is known isn't looked up."""
+        known = self.source.get()
+        failures, due = known or (0, -1)
+        old = [] if known is None else [-(-due // 1000)] if due >= 0 else list(self.handle.listTimers())
         passed = []
-        for r in pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable").itertuples():
-            if 0 <= due <= r.us:
+        cols = [np.concatenate(c) for c in zip(*([f[c].to_numpy() for c in ("us", "seq", "failed", "minutes")] for f in rows), strict=True)]
+        order = np.lexsort((cols[1], cols[0]))
+        for us, _, failed, minutes in zip(*(c[order].tolist() for c in cols), strict=True):
+            if 0 <= due <= us:
                 passed.append((due, failures))
-            failures = failures + 1 if r.failed else 0
-            due = r.us + wait_us(r.minutes, failures)
-        for t in list(self.handle.listTimers()):
+            failures = failures + 1 if failed else 0
+            due = us + wait_us(minutes, failures)
+        for t in old:
             self.handle.deleteTimer(t)
         self.handle.registerTimer(-(-due // 1000))
         self.source.update((failures, due))
