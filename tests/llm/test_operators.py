@@ -745,3 +745,21 @@ def test_mix_of_null_and_repeated_ids(spark):
             own = [r for r in m if r["source"] == s]
             assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in own)
         assert Counter(tuple(r) for r in m) == Counter(tuple(r) for r in mixing.mix(df.repartition(3)).collect())
+
+
+def test_prefixes_hold_no_whole_sets():
+    """A block of prefixes is kept until it is full: it weighs what the prefixes do, not the sets they are cut from."""
+    u = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, np.uint64))
+    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for first in (simhash.shingle_prefix(u, 0.8, none), simhash.shingle_prefix(u, 0.8, (u[:9], np.full(9, 5)))):
+        held = first if first.base is None else first.base
+        assert len(first) == 1001 and held.nbytes == first.nbytes
+
+
+def test_sets_are_sent_in_bounded_batches(spark, monkeypatch):
+    """A set that meets many others is sent to many groups: what is sent at once is bounded, and nothing is lost."""
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(12)], "doc_id long, text string")
+    want = sorted(map(tuple, simhash.similar_groups(docs, words=5).collect()))
+    monkeypatch.setattr(simhash, "SENT", 5000)
+    assert sorted(map(tuple, simhash.similar_groups(docs, words=5).collect())) == want and {r[2] for r in want} == {0}

@@ -357,8 +357,14 @@ COUNTED, FREQUENT = 8192, 1 << 18
 #: Most slots of a sketch. Wider ones rule more of the pairs of long texts out, but weigh more.
 WIDEST = 4096
 #: Partners that a set proposes first, the closest by fingerprint. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
-#: that are compared with another one in one group.
-PROPOSED, TOGETHER, PREFIXES, PARTNERS = 8, 4096, 1 << 19, 256
+#: that are compared with another one in one group. Bytes of sets that are sent at once.
+PROPOSED, TOGETHER, PREFIXES, PARTNERS, SENT = 8, 4096, 1 << 19, 256, 1 << 22
+
+
+def _pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in parts: its texts become Python's a few at a time, whatever the size of a batch."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -368,9 +374,10 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.nd
     some = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).dropDuplicates(["t"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["x"])
+        for whole in batches:
+            for b in _pieces(whole):
+                held = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["x"])
 
     found = stored(some.mapInArrow(work, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 2"), "counted")
     least, kept = 3, 0
@@ -394,7 +401,7 @@ def shingle_prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarra
     if len(x):
         at = np.minimum(np.searchsorted(x, distinct), len(x) - 1)
         count = np.where(x[at] == distinct, n[at], 0)
-    return distinct[np.lexsort((distinct, count))][: m - math.ceil(least * m - 1e-9) + 1] if m else distinct
+    return distinct[np.lexsort((distinct, count))[: m - math.ceil(least * m - 1e-9) + 1]] if m else distinct
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -403,8 +410,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
+            for b in _pieces(whole):
                 rows = []
                 for t in b.column(2).to_pylist():
                     h = shingle_hashes(t, words)
@@ -457,20 +463,30 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
     buckets = max(1, math.ceil(size / 6 * (1 - least) / PREFIXES))
     some, count = frequent
     hot, slices = some[count * n > sampled * CROWDED], (count[count * n > sampled * CROWDED] * n // (sampled * CROWDED) + 1).astype(np.uint64)
-    mixed = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = x ^ (x >> np.uint64(29))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x
 
     def packed(sets: dict[int, tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         node, m, fp = np.array(list(sets), np.uint64), np.array([x[0] for x in sets.values()], np.uint32), np.array([x[1] for x in sets.values()], np.uint64)
-        sizes = [len(x[2]) for x in sets.values()]
+        sizes = np.array([len(x[2]) for x in sets.values()], np.int32)
         token = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in sets.values())])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int64)
+        sets.clear()
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
         deal = token >> np.uint64(16)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
             split = hot[at] == token
             deal = np.where(split, mixed(token ^ (mixed(node[owner] ^ token) % slices[at])), deal)
-        bucket = (mixed(deal) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        deal = mixed(deal)
+        deal >>= np.uint64(32)
+        deal *= np.uint64(buckets)
+        deal >>= np.uint64(32)
+        bucket = deal.astype(np.uint32)
+        del deal
         order = np.lexsort((token, bucket))
         bucket, token, owner, place = bucket[order], token[order], owner[order], place[order]
         rows = []
@@ -483,7 +499,7 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[int, int, np.ndarray]] = {}
         held = 0
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole)):
             for t in b.column(0).to_pylist():
                 h = shingle_hashes(t, words)
                 u = np.unique(h)
@@ -493,17 +509,23 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
                     held += len(sets[node][2])
                 if held > PREFIXES:
                     yield packed(sets)
-                    sets, held = {}, 0
+                    held = 0
         if sets:
             yield packed(sets)
 
     def find(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        sizes = [len(r["node"]) // 8 for r in rows]
-        all_ = lambda k, kind: np.concatenate([get(r[k], kind) for r in rows])
-        token, place = all_("token", np.uint64), all_("place", np.uint32).astype(np.int32)
-        owner = np.concatenate([get(r["owner"], np.uint32).astype(np.int64) + at for r, at in zip(rows, np.cumsum(sizes) - sizes, strict=True)])
-        node, m, fp = all_("node", np.uint64)[owner], all_("m", np.uint32).astype(np.int64)[owner], all_("fp", np.uint64)[owner]
+        each = lambda k, kind: [get(x, kind) for x in t[k].to_pylist()]  # noqa: E731  a column at a time
+        token = np.concatenate(each("token", np.uint64))
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        again = token[1:] == token[:-1]
+        keep = np.concatenate((again, [False])) | np.concatenate(([False], again))  # most shingles are in one set only
+        order, token = order[keep], token[keep]
+        node = each("node", np.uint64)
+        start = np.cumsum([0, *map(len, node[:-1])])
+        owner = np.concatenate([own.astype(np.int64) + at for own, at in zip(each("owner", np.uint32), start, strict=True)])[order]
+        place = np.concatenate(each("place", np.uint32))[order].astype(np.int32)
+        node, m, fp = np.concatenate(node)[owner], np.concatenate(each("m", np.uint32))[owner].astype(np.int64), np.concatenate(each("fp", np.uint64))[owner]
         order = np.lexsort((node, m, token))
         token, place, node, m, fp = (x[order] for x in (token, place, node, m, fp))
         keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies in several blocks
@@ -623,18 +645,25 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
         asked = asked.unionByName(once(rest.filter("id IS NULL")).drop("id").join(ends.filter("id IS NULL").drop("id"), "text_hash").select("t", "node", "to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                rows = []
-                for t, node, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    u = np.unique(shingle_hashes(t, words))
-                    if xxhash.xxh64_intdigest(u.tobytes()) == node % (1 << BITS):
-                        short = u >> np.uint64(16)
-                        own = put(np.diff(short, prepend=np.uint64(0)), np.uint64)
-                        rows += [(x["g"], x["first"], node, own) for x in to]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["g", "first", "node", "s"])
+        def sets(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["g", "first", "node", "s"])
+
+        rows, held = [], 0
+        for b in (piece for whole in batches for piece in _pieces(whole, 256)):
+            for t, node, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                u = np.unique(shingle_hashes(t, words))
+                if xxhash.xxh64_intdigest(u.tobytes()) == node % (1 << BITS):
+                    short = u >> np.uint64(16)
+                    own = put(np.diff(short, prepend=np.uint64(0)), np.uint64)
+                    for x in to:
+                        rows.append((x["g"], x["first"], node, own))
+                        held += len(own) + 32
+                        if held > SENT:
+                            yield sets(rows)
+                            rows, held = [], 0
+        if rows:
+            yield sets(rows)
 
     def compare(t: pa.Table) -> pa.Table:
         rows = {(f, n): np.cumsum(get(s, np.uint64)) for f, n, s in zip(t["first"].to_pylist(), t["node"].to_pylist(), t["s"].to_pylist(), strict=True)}
