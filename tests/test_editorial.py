@@ -1,11 +1,13 @@
 """Ties and rounds of the newsroom's steps."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import slugify_unique
 from tidemill.operators import editorial, stories
+from tidemill.plans import newsroom
 from tidemill.sources.storage import stored
 
 T = dt.datetime(2024, 1, 1)
@@ -80,3 +82,26 @@ def test_bodies_are_cut_and_parted_before_they_are_sorted(spark, monkeypatch):
     assert "10), REPARTITION_BY_NUM" in shuffled[1] and "substring" not in shuffled[0] and "substring(body" in shuffled[1]
     got = {r["story_id"]: r["excerpts"] for r in made.collect()}
     assert got == {s: [f"{8 * s + k} ".ljust(2500, "x") for k in range(6)] for s in range(20)}
+
+
+def test_refreshed_stories_shuffle_members_once(spark):
+    """One shuffle of members by story for all counts and one for their vectors, and one join with sources."""
+    plan = newsroom.refreshed_stories(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and len(re.findall(r"Relation \[l_orderkey", plan)) == 2 and len(re.findall(r"Relation \[s_suppkey", plan)) == 1
+
+
+def test_refreshed_with_odd_members(spark):
+    rows = [(1, 1, 3, T, 5, False), (1, 2, 5, T, None, False), (1, 3, None, T, 2, False), (2, 2, 9, T, 4, True), (2, 1, 5, T, 1, False), (3, 1, 3, None, 7, None), (9, 1, 3, T, 1, False)]
+    m = spark.createDataFrame(rows, "story_id long, position int, source_id long, published_at timestamp, engagement_score int, is_primary boolean")
+    sources = spark.createDataFrame([(3, "n3", False, 0.25), (3, "n3", False, 0.5), (5, "n5", True, 0.75)], "source_id long, name string, is_official boolean, trust_weight double")
+    s = spark.createDataFrame([(1, "Published"), (2, "Draft"), (3, "Published"), (4, "Published")], "story_id long, status string")
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, None), (2, []), (3, [1.0]), (3, [1.0, 2.0])], "story_id long, embedding array<float>")
+    got = {r["story_id"]: r for r in editorial.refreshed(s, m, sources, v).collect()}
+    names = "status", "primary_position", "distinct_source_count", "official_source_count", "max_trust_weight", "engagement", "first_published_at", "last_activity_at", "embedding"
+    assert {k: tuple(r[n] for n in names) for k, r in got.items()} == {
+        1: ("Enriching", 2, 2, 1, 0.75, 12, T, T, [2.0, 3.0]),  # 5 twice, as its source has two rows
+        2: ("Draft", 2, 2, 1, 0.75, 5, T, T, None),
+        3: ("Published", 1, 1, 0, 0.5, 14, None, None, None),
+    }
+    old = stories.aggregates(m, sources).drop("_n").collect()
+    assert all(r[c] == got[r["story_id"]][c] for r in old if r["story_id"] in got for c in r.asDict())

@@ -81,18 +81,32 @@ def queue(df: DataFrame, waiting: Column, order: list[Column], size: int, most:
     return df.filter(waiting).orderBy(*order).limit(min(max(size, 1), most))
 
 
-def refreshed(stories: DataFrame, members: DataFrame, sources: DataFrame) -> DataFrame:
+def refreshed(stories: DataFrame, members: DataFrame, sources: DataFrame, vectors: DataFrame) -> DataFrame:
     """(story_id, status, counts, times, embedding, primary_position) after new coverage. ``members``: story_id, position,
-    source_id, published_at, engagement_score, embedding (nullable), is_primary. A primary member stays; without any the
-    official, then earliest one becomes it. A published story with several members goes back to Enriching; a story without
-    members is unchanged and not in the result."""
-    given = members.filter("is_primary").groupBy("story_id").agg(F.min("position").alias("_given"))
-    chosen = S.primary(members, sources).select("story_id", F.col("position").alias("_chosen"))
-    n = members.groupBy("story_id").agg(F.count(F.lit(1)).alias("_n"))
-    mean = centroid(members, ["story_id"], "embedding", "embedding")
-    j = stories.select("story_id", "status").join(S.aggregates(members, sources), "story_id").join(n, "story_id").join(chosen, "story_id").join(given, "story_id", "left").join(mean, "story_id", "left")
+    source_id, published_at, engagement_score, is_primary; ``vectors``: story_id, embedding (nullable) of its members. A
+    primary member stays; without any the official, then earliest one becomes it. A published story with several members
+    goes back to Enriching; a story without members is unchanged and not in the result.
+
+    Members meet their sources first and are shuffled by story once, for all that is counted of them; vectors are shuffled
+    whole, as a story has few."""
+    known = sources.groupBy("source_id").agg(F.max("is_official").alias("is_official"), F.max("trust_weight").alias("trust_weight"), F.count(F.lit(1)).alias("_n"))
+    t = F.col("published_at")
+    j = members.join(known, "source_id", "left").select(
+        "story_id", "source_id", "is_official", "trust_weight", t, F.when(F.col("is_primary"), F.col("position")).alias("_given"), "position",
+        (F.coalesce("engagement_score", F.lit(0)) * F.coalesce("_n", F.lit(1))).alias("_e"),
+    )
+    first = F.struct((~F.coalesce("is_official", F.lit(False))).alias("o"), t.alias("t"), F.col("position").alias("position"))
+    each = j.repartition("story_id").groupBy("story_id", "source_id").agg(
+        F.sum("_e").alias("_e"), F.min(t).alias("_from"), F.max(t).alias("_to"), F.count(F.lit(1)).alias("_n"), F.max("is_official").alias("is_official"), F.max("trust_weight").alias("trust_weight"), F.min("_given").alias("_given"), F.min(first).alias("_f"),
+    )
+    summed = each.groupBy("story_id").agg(
+        F.count("source_id").cast("int").alias("distinct_source_count"), F.count_if("is_official").cast("int").alias("official_source_count"), F.coalesce(F.max("trust_weight"), F.lit(0.5)).alias("max_trust_weight"), F.sum("_e").alias("engagement"),
+        F.min("_from").alias("first_published_at"), F.max("_to").alias("last_activity_at"), F.sum("_n").alias("_n"), F.coalesce(F.min("_given"), F.min("_f")["position"]).alias("primary_position"),
+    )
+    mean = centroid(vectors.filter(F.size("embedding") > 0).repartition("story_id"), ["story_id"], "embedding", "embedding")
+    out = stories.select("story_id", "status").join(summed, "story_id").join(mean, "story_id", "left")
     status = F.when((F.col("status") == "Published") & (F.col("_n") > 1), "Enriching").otherwise(F.col("status"))
-    return j.withColumns({"status": status, "primary_position": F.coalesce("_given", "_chosen")}).drop("_n", "_given", "_chosen")
+    return out.withColumn("status", status).drop("_n")
 
 
 def enriched(stories: DataFrame, results: DataFrame) -> DataFrame:

@@ -186,11 +186,11 @@ x AS (SELECT story_id, unnest(embedding) AS x, generate_subscripts(embedding, 1)
 SELECT s.story_id, CASE WHEN status = 'Published' AND n > 1 THEN 'Enriching' ELSE status END AS status, distinct_source_count, engagement, last_activity_at, COALESCE(g.position, p.position) AS primary_position, total
 FROM stories s JOIN agg USING (story_id) JOIN n USING (story_id) JOIN primaries p USING (story_id) LEFT JOIN g USING (story_id) LEFT JOIN c USING (story_id)""")
 def refreshed_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "embeddings")
-    m = T.story_members(spark, sf_dir).withColumn("vec_id", F.col("story_id") * 3 + F.col("position")).join(e.select("vec_id", "embedding"), "vec_id", "left")
+    m = T.story_members(spark, sf_dir)
+    v = m.select("story_id", (F.col("story_id") * 3 + F.col("position")).alias("vec_id")).join(T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     m = m.withColumn("is_primary", (F.col("position") == 2) & (F.col("story_id") % 2 == 0))
     total = F.when(F.col("embedding").isNotNull(), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4))
-    return editorial.refreshed(T.stories(spark, sf_dir), m, T.sources(spark, sf_dir)).select("story_id", "status", "distinct_source_count", "engagement", "last_activity_at", "primary_position", total.alias("total"))
+    return editorial.refreshed(T.stories(spark, sf_dir), m, T.sources(spark, sf_dir), v).select("story_id", "status", "distinct_source_count", "engagement", "last_activity_at", "primary_position", total.alias("total"))
 
 
 @R.add(f"""{sql_with('stories')} SELECT story_id, CASE WHEN status = 'Draft' AND story_id % 4 < 3 THEN CASE WHEN story_id % 4 > 0 THEN 'Published' ELSE 'Enriching' END ELSE status END AS status,
