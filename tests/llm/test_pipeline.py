@@ -1,11 +1,14 @@
 """Each stage of the pipeline on its own input."""
 
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid, mixing, secrets, simhash
+from tidemill.llm import common, langid, mixing, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +82,42 @@ def test_near_dedup_checks_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, SF).collect())
     assert got == Counter([(1, texts[0]), (2, texts[1]), (3, plain[0]), (3, plain[1]), (4, plain[2]), (5, rows[7][1]), (None, plain[2])])
+
+
+def test_workers_get_small_batches(spark):
+    """Texts of 19 MB in few rows: a Python worker is never sent much more than BATCH_BYTES of them, where Spark's own limit is 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("abc "), 12000)).alias("text"), F.lit("en").alias("lang"))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+        told = P.language(spark, docs, SF)
+        sent = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in sent) == 400 and max(r["bytes"] for r in sent) < 1.1 * common.BATCH_BYTES
+        back = told.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in back) == 400
+        spark.conf.set(name, "1m")  # a smaller limit of the session's own stays
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_sketches_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 1 << 62, (300, 64)).astype(np.uint64)
+    sketches = simhash.Sketches([w.tobytes() for w in words])
+    x, y = rng.integers(0, 300, 20000), rng.integers(0, 300, 20000)
+    tracemalloc.start()
+    try:
+        got = sketches.apart(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == [int(np.bitwise_count(words[a] ^ words[b]).sum()) for a, b in zip(x, y, strict=True)]
+    assert peak < 8 << 20  # 28 MB in steps of 16,384 pairs of any width

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Hashed n-grams.
 DIM = 1 << 15
 #: Most labelled rows that the model is fitted on, about; statistics use all rows.
@@ -114,7 +116,7 @@ def _features(df: DataFrame) -> DataFrame:
     """(lang, n-grams, counts) as bytes, from (lang, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in pieces(whole)):
             found = [counts(t) for t in b.column(1).to_pylist()]
             at = [a.astype(np.uint16).tobytes() for a, _ in found]
             n = [c.astype(np.uint32).tobytes() for _, c in found]
@@ -128,7 +130,7 @@ def _document_frequencies(texts: DataFrame) -> dict[int, int]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(DIM, np.int64), 0
-        for b in batches:
+        for b in (piece for whole in batches for piece in pieces(whole)):
             for t in b.column(0).to_pylist():
                 df[counts(t)[0]] += 1
             total += b.num_rows
@@ -172,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = ", ".join(f"{c} {t}" for c, t in inner.dtypes) + ", lang_pred string, score double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in pieces(whole)):
             found = [model.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get, hot_join, put, runs, sieve, stored
+from .common import get, hot_join, pieces, put, runs, sieve, stored
 
 BITS = 64
 #: Members of a node of the index.
@@ -89,8 +89,10 @@ class Sketches:
         both = self.width[x] << 32 | self.width[y]
         for b in np.unique(both).tolist():
             of = np.flatnonzero(both == b)
-            for i in range(0, len(of), 1 << 14):  # bounded memory
-                part, wide = of[i : i + (1 << 14)], (b >> 32, b & 0xFFFFFFFF)
+            wide = b >> 32, b & 0xFFFFFFFF
+            step = max(1, SKETCHED // max(wide))
+            for i in range(0, len(of), step):  # bounded memory
+                part = of[i : i + step]
                 one, other = (self._take(at[part], own, min(wide)) for at, own in zip((x, y), wide, strict=True))
                 out[part] = np.bitwise_count(one ^ other).sum(axis=1)
         return out
@@ -357,14 +359,8 @@ COUNTED, FREQUENT = 8192, 1 << 18
 #: Most slots of a sketch. Wider ones rule more of the pairs of long texts out, but weigh more.
 WIDEST = 4096
 #: Partners that a set proposes first, the closest by fingerprint. Sets of a shared shingle above which they are dealt into blocks. Shingles of prefixes in a bucket. Sets
-#: that are compared with another one in one group. Bytes of sets that are sent at once.
-PROPOSED, TOGETHER, PREFIXES, PARTNERS, SENT = 8, 4096, 1 << 19, 256, 1 << 22
-
-
-def _pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """A batch in parts: its texts become Python's a few at a time, whatever the size of a batch."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+#: that are compared with another one in one group. Bytes of sets that are sent at once. Words of sketches that are compared at once.
+PROPOSED, TOGETHER, PREFIXES, PARTNERS, SENT, SKETCHED = 8, 4096, 1 << 19, 256, 1 << 22, 1 << 17
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -375,7 +371,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.nd
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole):
+            for b in pieces(whole):
                 held = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["x"])
 
@@ -410,7 +406,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole):
+            for b in pieces(whole):
                 rows = []
                 for t in b.column(2).to_pylist():
                     h = shingle_hashes(t, words)
@@ -496,10 +492,13 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), *[pa.binary()] * 6], strict=True)], [x.split()[0] for x in _PREFIX.split(", ")])
 
+    def sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return pieces(batch, max(1, batch.num_rows * SENT // max(1, batch.nbytes)))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[int, int, np.ndarray]] = {}
         held = 0
-        for b in (piece for whole in batches for piece in _pieces(whole)):
+        for b in (piece for whole in batches for piece in pieces(whole)):
             for t in b.column(0).to_pylist():
                 h = shingle_hashes(t, words)
                 u = np.unique(h)
@@ -508,10 +507,10 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
                     sets[node] = (len(u), _majority(h), shingle_prefix(u, least, frequent))
                     held += len(sets[node][2])
                 if held > PREFIXES:
-                    yield packed(sets)
+                    yield from sent(packed(sets))
                     held = 0
         if sets:
-            yield packed(sets)
+            yield from sent(packed(sets))
 
     def find(t: pa.Table) -> pa.Table:
         each = lambda k, kind: [get(x, kind) for x in t[k].to_pylist()]  # noqa: E731  a column at a time
@@ -650,7 +649,7 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["g", "first", "node", "s"])
 
         rows, held = [], 0
-        for b in (piece for whole in batches for piece in _pieces(whole, 256)):
+        for b in (piece for whole in batches for piece in pieces(whole, 256)):
             for t, node, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 u = np.unique(shingle_hashes(t, words))
                 if xxhash.xxh64_intdigest(u.tobytes()) == node % (1 << BITS):
