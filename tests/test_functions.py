@@ -309,3 +309,12 @@ def test_python_holds_pieces_of_a_batch(monkeypatch):
     assert max(map(len, parts)) == hashing.PIECE and sum(map(len, parts)) == len(texts)
     alone = [next(hashing.hashed_embedding(iter([texts.slice(i, 1)]), 8))[0].as_py() for i in (0, 300, 699, 700, 701)]
     assert [pa.chunked_array(parts)[i].as_py() for i in (0, 300, 699, 700, 701)] == alone
+
+
+def test_embeddings_are_of_whole_texts(spark):
+    """The last words of a text of 40,000 characters count as its first ones do."""
+    from tidemill.plans import discovery
+
+    rows = [(1, "title", "word " * 8000 + "first end"), (2, "title", "word " * 8000 + "second end"), (3, "title", "word " * 8000 + "first end")]
+    own = [r["e"] for r in spark.createDataFrame(rows, "id long, title string, content string").select("id", discovery.embedding().alias("e")).orderBy("id").collect()]
+    assert own[0] == own[2] != own[1] and any(own[0])
