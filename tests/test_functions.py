@@ -318,3 +318,9 @@ def test_embeddings_are_of_whole_texts(spark):
     rows = [(1, "title", "word " * 8000 + "first end"), (2, "title", "word " * 8000 + "second end"), (3, "title", "word " * 8000 + "first end")]
     own = [r["e"] for r in spark.createDataFrame(rows, "id long, title string, content string").select("id", discovery.embedding().alias("e")).orderBy("id").collect()]
     assert own[0] == own[2] != own[1] and any(own[0])
+
+
+def test_readable_body_of_a_long_page():
+    """A body of over 50,000 characters is taken to its end."""
+    body = readable("<article>" + "".join(f"<p>Paragraph {i} of a page that goes on and on, with words enough.</p>" for i in range(2000)) + "</article>")
+    assert len(body) > 120_000 and body.endswith("Paragraph 1999 of a page that goes on and on, with words enough.")
