@@ -121,3 +121,20 @@ def test_sketches_are_compared_in_bounded_memory():
         tracemalloc.stop()
     assert got.tolist() == [int(np.bitwise_count(words[a] ^ words[b]).sum()) for a, b in zip(x, y, strict=True)]
     assert peak < 8 << 20  # 28 MB in steps of 16,384 pairs of any width
+
+
+def test_near_dedup_finds_copies_that_share_frequent_shingles_only(spark, monkeypatch):
+    """Sets with a shingle of very many texts are dealt over buckets; two copies that are dealt apart, and are alone with
+    their size there, still meet."""
+    monkeypatch.setattr(simhash, "CROWDED", 1)
+    monkeypatch.setattr(simhash, "PREFIXES", 64)
+    texts = []
+    for k in range(6):  # two near copies, whose shared shingles are in 30 long texts too
+        common = " ".join(f"c{k}x{i}" for i in range(22))
+        texts += [f"{common} one{k} two{k}", f"{common} three{k} four{k}"]
+        texts += [f"{common} " + " ".join(f"w{k}x{j}x{i}" for i in range(60 + 4 * j)) for j in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [set(simhash.shingle_hashes(t, P.WORDS).tolist()) for t in texts]
+    copies = {j for i in range(0, len(texts), 32) for j in range(i + 1, i + 32) if any(len(sets[j] & sets[h]) >= P.SIMILARITY * len(sets[j] | sets[h]) for h in range(i, j))}
+    assert copies == {32 * k + 1 for k in range(6)}
+    assert {r["doc_id"] for r in P.near_dedup(spark, docs, SF).collect()} == set(range(len(texts))) - copies

@@ -455,10 +455,12 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
     Prefixes are shuffled as arrays, by bucket of shingle and with each distinct set of a block of texts once. A shingle is
     told by 48 bits; a false match is one more pair to check. Shingles of a large part of the sample are dealt over
     several buckets, in another way for each shingle, so that a family which holds any share of all rows is linked by
-    some of its shingles."""
+    some of its shingles; all sets with such a shingle are given, as one that is alone in its bucket may have a partner in
+    another one, which it meets where sets are put together by shingle again."""
     buckets = max(1, math.ceil(size / 6 * (1 - least) / PREFIXES))
     some, count = frequent
     hot, slices = some[count * n > sampled * CROWDED], (count[count * n > sampled * CROWDED] * n // (sampled * CROWDED) + 1).astype(np.uint64)
+    sliced = hot >> np.uint64(16)
 
     def mixed(x: np.ndarray) -> np.ndarray:
         x = x ^ (x >> np.uint64(29))
@@ -518,7 +520,7 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
         order = np.argsort(token, kind="stable")
         token = token[order]
         again = token[1:] == token[:-1]
-        keep = np.concatenate((again, [False])) | np.concatenate(([False], again))  # most shingles are in one set only
+        keep = np.concatenate((again, [False])) | np.concatenate(([False], again)) | np.isin(token, sliced)  # most shingles are in one set only
         order, token = order[keep], token[keep]
         node = each("node", np.uint64)
         start = np.cumsum([0, *map(len, node[:-1])])
@@ -527,10 +529,10 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, least: float, fr
         node, m, fp = np.concatenate(node)[owner], np.concatenate(each("m", np.uint32))[owner].astype(np.int64), np.concatenate(each("fp", np.uint64))[owner]
         order = np.lexsort((node, m, token))
         token, place, node, m, fp = (x[order] for x in (token, place, node, m, fp))
-        keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies in several blocks
+        keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))[: len(token)]  # copies in several blocks
         token, place, node, m, fp = (x[keep] for x in (token, place, node, m, fp))
         like = (token[1:] == token[:-1]) & (m[:-1] + 1e-9 >= least * m[1:])  # sorted by size: with the next one
-        keep = np.concatenate((like, [False])) | np.concatenate(([False], like))
+        keep = (np.concatenate((like, [False])) | np.concatenate(([False], like)))[: len(token)] | np.isin(token, sliced)
         token, place, node, m, fp = (x[keep] for x in (token, place, node, m, fp))
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
         sizes = np.diff(np.append(starts, len(token)))
