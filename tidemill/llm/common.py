@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import Stored, new_path, stored  # noqa: F401
+from ..sources.storage import BATCH_BYTES, Stored, new_path, small_batches, stored  # noqa: F401
 
 #: A word is a run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,20 +31,6 @@ def get(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-#: Bytes of texts that a Python worker is sent at once, by a session with ``small_batches``.
-BATCH_BYTES = 1 << 22
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on this session sends rows to Python workers in batches of about BATCH_BYTES, or fewer if it did so before.
-    Spark's own limit is 10,000 rows, of any size: such a batch of texts is held by the executor and by its worker, with what
-    each makes of it. Batches are only a way of sending, no result depends on them."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 def pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """A batch in parts: its texts become Python's a few at a time, whatever the size of a batch."""
     for i in range(0, batch.num_rows, rows):
